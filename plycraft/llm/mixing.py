@@ -71,7 +71,7 @@ def _split(leaves: int, quotas: DataFrame, seed: int) -> DataFrame:
         mid = F.col("lo") + F.floor((F.col("hi") - F.col("lo")) / 2)
         want = F.when(F.col("hi") - F.col("lo") > 1, F.floor(F.col("all") * (mid - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(F.lit(0)).cast("long")
 
-        def draw(acc: Column, it: Column, depth: int = depth) -> Column:
+        def draw(acc: Column, it: Column) -> Column:
             # Of this source's n draws, how many go left: each goes with probability (still
             # wanted) / (still unseen), so the total is exact.
             one = F.aggregate(
