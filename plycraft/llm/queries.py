@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, documents, table
+from . import pieces, toxicity
 from .mixing import mix_plan
 from .quality import quality_rules
 
@@ -21,4 +22,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_row.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op5_mixing)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(documents(spark, sf_dir), keep=["doc_id"], finish=pieces.digests, schema="n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+QUERIES = {f.__name__: f for f in (op5_mixing, op8_quality_rules, op9_toxicity, op10_sentencepiece)}
