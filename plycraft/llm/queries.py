@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, documents, table
-from . import pieces, toxicity
+from . import media, pieces, tokens, toxicity, warc
 from .mixing import mix_plan
 from .quality import quality_rules
 
@@ -22,6 +22,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_row.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))[2]
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = tokens.token_files(documents(spark, sf_dir))
+    return tokens.read_docs(spark, folder, files)
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(documents(spark, sf_dir)).drop("tile")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -33,4 +46,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(documents(spark, sf_dir), keep=["doc_id"], finish=pieces.digests, schema="n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op8_quality_rules, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op3_warc, op4_token_ids, op5_mixing, op6_media, op8_quality_rules, op9_toxicity, op10_sentencepiece)}
