@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, table
+from .common import crc_mod, documents, table, workspace
 from . import media, pieces, tokens, toxicity, warc
 from .mixing import mix_plan
 from .quality import quality_rules
+from .sharding import ShardStore
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,19 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir)).drop("tile")
 
 
+#: The documents arrive in so many parts.
+ARRIVALS = 3
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    store = ShardStore(spark, workspace(spark, "shards"))
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+    store.compact_fully()
+    return store.located("doc_id").withColumn("version", F.lit(store.versions()[-1]).cast("long"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -46,4 +60,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(documents(spark, sf_dir), keep=["doc_id"], finish=pieces.digests, schema="n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_token_ids, op5_mixing, op6_media, op8_quality_rules, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op3_warc, op4_token_ids, op5_mixing, op6_media, op7_sharding, op8_quality_rules, op9_toxicity, op10_sentencepiece)}
