@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, documents, table, workspace
-from . import media, pieces, tokens, toxicity, warc
+from . import lm, media, pieces, tokens, toxicity, warc
 from .mixing import mix_plan
 from .quality import quality_rules
 from .sharding import ShardStore
@@ -23,6 +23,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_row.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(documents(spark, sf_dir))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))[2]
 
@@ -60,4 +64,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(documents(spark, sf_dir), keep=["doc_id"], finish=pieces.digests, schema="n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_token_ids, op5_mixing, op6_media, op7_sharding, op8_quality_rules, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_ppm, op3_warc, op4_token_ids, op5_mixing, op6_media, op7_sharding, op8_quality_rules, op9_toxicity, op10_sentencepiece)}
