@@ -3,31 +3,28 @@
 An arrival is appended as small immutable shards: files of a new folder, never touched
 again. A version of the manifest is a table of the live files (shard, path, rows, bytes,
 tier). Compaction reads the newest manifest, puts files into tiers by the power of
-``fanout`` of their size, and in every tier with enough similar runs packs them, in name
-order, into groups of about the target size; each group becomes one new file. Files of the
-target size and lone runs stay as they are. The new version is written beside the old one
-and becomes visible by one rename of its folder, so readers see either version whole, and
-of two writers of a version one fails; nothing is deleted before ``vacuum``.
+``fanout`` of their size, and merges the similarly sized runs of a tier into files of about
+the target size, if that at least halves their number. Files of the target size and lone
+runs stay as they are. The new version is written beside the old one and becomes visible
+by one rename of its folder, so readers see either version whole, and of two writers of a
+version one fails; nothing is deleted before ``vacuum``.
 
-Rows are sent to their group by one shuffle of the rows that move; groups are bounded by
-the target size, so no key is hot. Manifest rows are per file, not per document.
+Rows never cross a shuffle: a task appends or merges whole files, and the target size
+bounds what it writes. Manifest rows are per file, not per document.
 
 Defined results: every row of an arrival is in exactly one live shard, repeated rows as
 often as they were given; nulls are stored as they are; an empty arrival adds no rows; a
-document longer than the target fills a group of its own; extra columns are stored; a
-column named like a helper keeps its name.
+document longer than the target is in a file beyond the target; extra columns are stored.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh, materialise
-
 TARGET_BYTES, FANOUT, MIN_RUNS = 32 << 20, 4, 2
 MANIFEST = "shard string, path string, rows bigint, bytes bigint, tier int"
 
@@ -102,37 +99,31 @@ class ShardStore:
         arrival.write.option("compression", self.codec).mode("errorifexists").parquet(f"{self.folder}/data/{batch}")
         return self.commit(self.manifest().unionByName(self._listed(batch, arrival.schema)), version)
 
-    def plan(self) -> DataFrame:
-        """path, grp for the files to merge: in tiers with ``min_runs`` or more files below
-        the target size, runs in name order fill groups of the target size."""
-        small = self.manifest().where(F.col("bytes") < self.target)
-        in_tier = Window.partitionBy("tier")
-        before = in_tier.orderBy("shard", "path").rowsBetween(Window.unboundedPreceding, -1)
-        rich = small.withColumn("runs", F.count("*").over(in_tier)).where(F.col("runs") >= self.min_runs)
-        packed = rich.withColumn("slot", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / self.target))
-        groups = packed.groupBy("tier", "slot").agg(F.count("*").alias("n")).where("n > 1")
-        numbered = groups.withColumn("grp", (F.row_number().over(Window.orderBy("tier", "slot")) - 1).cast("int")).drop("n")
-        return packed.join(numbered, ["tier", "slot"]).select("path", "grp")
+    def plan(self, version: int) -> dict[int, int]:
+        """tier -> number of new files: tiers whose small runs fill at most half as many
+        files of the target size. A row per tier reaches the driver."""
+        small = self.manifest(version).where(F.col("bytes") < self.target)
+        rows = small.groupBy("tier").agg(F.count("*").alias("runs"), F.sum("bytes").alias("bytes")).collect()
+        filled = {r["tier"]: (r["runs"], -(-r["bytes"] // self.target)) for r in rows}
+        return {tier: n for tier, (runs, n) in sorted(filled.items()) if runs >= self.min_runs and 2 * n <= runs}
 
     def compact(self) -> int | None:
-        """One round; the new version, or None if no tier has runs to merge."""
+        """One round; the new version, or None if no tier has runs to merge. A tier's runs
+        are read side by side and laid into its new files without a shuffle; their sizes
+        are alike, so the new files are too."""
         have = self.versions()
-        if not have:
+        plan = self.plan(have[-1]) if have else {}
+        if not plan:
             return None
-        version = have[-1] + 1
+        version, old = have[-1] + 1, self.manifest(have[-1])
         batch = f"c{version:08d}"
-        plan = materialise(self.plan(), "shard-plan")
-        n = plan.agg((F.max("grp") + 1).alias("n")).first()["n"]
-        if not n:
-            return None
-        live = self.read(have[-1], only=plan)
-        path, group = fresh(live, "shard_path"), fresh(live, "shard_group")
-        of = plan.select(F.col("path").alias(f"_{path}"), F.col("grp").alias(group))
-        moving = live.withColumn(path, F.col("_metadata.file_path")).join(of, F.col(path) == F.col(f"_{path}"))
-        # one writer task a group, which the target size bounds
-        moving.repartitionById(n, F.col(group)).drop(path, f"_{path}", group).write.option("compression", self.codec).mode("errorifexists").parquet(f"{self.folder}/data/{batch}")
-        kept = self.manifest(have[-1]).join(plan, "path", "left_anti").select("shard", "path", "rows", "bytes", "tier")
-        return self.commit(kept.unionByName(self._listed(batch, live.schema)), version)
+        moved = (F.col("bytes") < self.target) & F.col("tier").isin(*plan)
+        parts = [self.read(have[-1], only=old.where(moved & (F.col("tier") == tier))).coalesce(n) for tier, n in plan.items()]
+        merged = parts[0]
+        for part in parts[1:]:
+            merged = merged.union(part)
+        merged.write.option("compression", self.codec).mode("errorifexists").parquet(f"{self.folder}/data/{batch}")
+        return self.commit(old.where(~moved).unionByName(self._listed(batch, merged.schema)), version)
 
     def compact_fully(self, rounds: int = 16) -> int | None:
         """Rounds until nothing merges; a row is rewritten once per tier that it climbs."""
