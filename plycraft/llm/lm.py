@@ -23,6 +23,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 
@@ -34,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ppm
-from .common import LOWER, crc_mod, materialise, pieces_by_bytes, shuffle_partitions, span_hashes, string_bytes, text_of, word_spans
+from .common import LOWER, crc_mod, filesystem, materialise, pieces_by_bytes, put_file, shuffle_partitions, span_hashes, string_bytes, text_of, word_spans, workspace
 
 #: Bounds of what is broadcast: words (12 bytes each) and trie cells (8 bytes each).
 HEAVY, CELLS = 1 << 18, 10_000_000
 #: Contexts seen less often are never in the trie.
-LEAST_SEEN = 8
+LEAST_SEEN = 4
 #: Distinct keys that a task holds before it sends them out.
 HELD = 2_000_000
 BLOBS = "kind string, part int, degree int, total bigint, distinct bigint, keys binary, counts binary"
@@ -164,8 +165,8 @@ def cut_at(bins: pd.DataFrame, most: int) -> int:
     return int(bins["bin"][ok].min()) if ok.any() else 1 << 40
 
 
-def chosen(merged: DataFrame, kind: str, least: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int]:
-    """Words, or grams per order, of the chosen bins: a bounded number of rows."""
+def picked(merged: DataFrame, kind: str, least: int, degree: int | None = None) -> DataFrame:
+    """degree, keys, counts: words, or the grams of contexts, of the chosen bins."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -180,8 +181,47 @@ def chosen(merged: DataFrame, kind: str, least: int) -> tuple[dict[int, tuple[np
                     keep = np.ones(len(g), bool)
                 yield pd.DataFrame({"degree": [r.degree], "keys": [g[keep].tobytes()], "counts": [n[keep].tobytes()]})
 
-    got = merged.where(F.col("kind") == kind).select("kind", "degree", "keys", "counts").mapInPandas(work, "degree int, keys binary, counts binary").toPandas()
-    return {int(k): ppm.counted(*_unpack(rows)) for k, rows in got.groupby("degree")}, len(got)
+    rows = merged.where(F.col("kind") == kind)
+    rows = rows if degree is None else rows.where(F.col("degree") == degree)
+    return rows.select("kind", "degree", "keys", "counts").mapInPandas(work, "degree int, keys binary, counts binary")
+
+
+def chosen(merged: DataFrame, kind: str, least: int, degree: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """``picked`` on the driver: at most HEAVY words, or the symbols of order 0."""
+    got = picked(merged, kind, least, degree).toPandas()
+    return {int(k): ppm.counted(*_unpack(rows)) for k, rows in got.groupby("degree")}
+
+
+def build_trie(merged: DataFrame, least: int) -> str:
+    """Build the trie in one task, from a bounded number of grams (at most CELLS), and put it
+    into the shared folder, from where each worker loads it once."""
+    path = f"{workspace(merged.sparkSession, 'lm-trie')}/trie.npz"
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        trie = ppm.build({int(k): ppm.counted(*_unpack(rows)) for k, rows in pdf.groupby("degree")})
+        out = io.BytesIO()
+        np.savez(out, logp=trie.logp, step=trie.step, cls=trie.cls, at=np.array([trie.start, trie.order]))
+        put_file(path, out.getvalue())
+        return pd.DataFrame({"contexts": [len(trie.logp)]})
+
+    made = picked(merged, "g", least).groupBy(F.lit(0).alias("all")).applyInPandas(build, "contexts bigint").collect()
+    return path if made else ""
+
+
+_tries: dict[str, ppm.Trie] = {}
+
+
+def load_trie(path: str) -> ppm.Trie:
+    if path not in _tries:
+        _tries.clear()  # one model at a time
+        if path:
+            store, name = filesystem(path)
+            with store.open_input_file(name) as src:
+                z = np.load(io.BytesIO(src.read()))
+                _tries[path] = ppm.Trie(z["logp"], z["step"], z["cls"], int(z["at"][0]), int(z["at"][1]))
+        else:
+            _tries[path] = ppm.build({})
+    return _tries[path]
 
 
 def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 10, parts: int | None = None) -> DataFrame:
@@ -196,12 +236,13 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
     n_all, n_distinct = of("w", "total") + ends, of("w", "distinct") + (ends > 0)
     bins = histograms(merged)
     heavy_from = cut_at(bins[bins["kind"] == "w"], HEAVY)
-    heavy, heavy_n = chosen(merged, "w", heavy_from)[0].get(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    trie = ppm.build(chosen(merged, "g", cut_at(bins[bins["kind"] == "g"], CELLS // 256))[0])
-    shipped = spark.sparkContext.broadcast((trie, heavy, heavy_n))
+    heavy, heavy_n = chosen(merged, "w", heavy_from).get(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    width = len(chosen(merged, "g", 1 << 40, degree=0).get(0, (np.zeros(0),))[0]) + 1
+    trie_path = build_trie(merged, cut_at(bins[bins["kind"] == "g"], CELLS // width))
+    shipped = spark.sparkContext.broadcast((heavy, heavy_n))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, heavy, heavy_n = shipped.value
+        (heavy, heavy_n), trie = shipped.value, load_trie(trie_path)
         key = TaskContext.get().partitionId() << 33
         for batch in pieces_by_bytes(batches, "t"):
             data, offsets = string_bytes(batch.column(2))

@@ -1,8 +1,8 @@
 """Prediction by partial matching over bytes: count tables, a context trie, and scoring.
 
 The model predicts each byte of a text, and an end symbol, from the longest context of up
-to ``ORDER`` bytes that the trie has. Escapes follow method C: a context with q distinct
-symbols in T observations escapes with q / (T + q). Symbols of a longer context are
+to ``ORDER`` bytes that the trie has. Escapes follow method D: a context with q distinct
+symbols in T observations escapes with q / 2T, half a count of each symbol. Symbols of a longer context are
 excluded below it. In a trie of complete counts a context's symbols are a subset of its
 suffix's, so what exclusion removes at the next level depends on the context alone, and
 every conditional probability can be tabulated once: a table row per context, a column per
@@ -18,7 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-ORDER = 5
+ORDER = 6
+DISCOUNT = 0.5
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 SYMBOLS = 255  # what may follow: any byte but START (END stands for the end)
 SEGMENT = 1024
@@ -95,20 +96,23 @@ def build(grams: dict[int, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -
         count = np.zeros((len(contexts), width), np.float32)
         count[np.searchsorted(contexts, g >> np.uint64(8)), cls[suffix(g, 1).astype(np.int64)]] = n
         has = count > 0
-        total, distinct = count.sum(1, dtype=np.float64), has.sum(1).astype(np.float64)
+        count[has] -= DISCOUNT
+        total, distinct = count.sum(1, dtype=np.float64), DISCOUNT * has.sum(1)  # what symbols and the escape weigh
         if above is None:
-            lower = np.full((1, width), 1 / max(1.0, SYMBOLS - distinct[0]))
+            lower = np.full((1, width), 1 / max(1.0, SYMBOLS - has.sum()))
         else:
             p_keys, p_prob, p_total, p_distinct, p_has, p_count = above
             parent = np.searchsorted(p_keys, suffix(contexts, k - 1))
             left_t = p_total[parent] - np.where(has, p_count[parent], 0).sum(1, dtype=np.float64)
             left_q = p_distinct[parent] - distinct
             all_t, all_q = p_total[parent], p_distinct[parent]
-            inside = (all_t + all_q) / np.maximum(left_t + left_q, 1)
-            outside = np.where(left_q > 0, left_q / np.maximum(left_t + left_q, 1), 1.0) / (all_q / (all_t + all_q))
+            some = left_q > 0
+            left = np.where(some, left_t + left_q, 1.0)
+            inside = (all_t + all_q) / left
+            outside = np.where(some, left_q / left, 1.0) / (all_q / (all_t + all_q))
             lower = p_prob[parent] * np.where(p_has[parent], inside[:, None], outside[:, None])
-        escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
-        prob = np.where(has, count / np.maximum(total + distinct, 1)[:, None], escape[:, None] * lower)
+        escape = np.where(distinct > 0, distinct / np.maximum(total + distinct, DISCOUNT), 1.0)
+        prob = np.where(has, count / np.maximum(total + distinct, DISCOUNT)[:, None], escape[:, None] * lower)
         logs.append(np.log10(prob).astype(np.float32))
         ids[k] = (contexts, base)
         names.append(contexts)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, documents, table, workspace
 from . import lm, media, pieces, tokens, toxicity, warc
 from .mixing import mix_plan
+from .neardup import classes
 from .quality import quality_rules
 from .sharding import ShardStore
 
@@ -23,6 +24,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_row.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"))
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(documents(spark, sf_dir)).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(documents(spark, sf_dir))
 
@@ -64,4 +69,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(documents(spark, sf_dir), keep=["doc_id"], finish=pieces.digests, schema="n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op2_ppm, op3_warc, op4_token_ids, op5_mixing, op6_media, op7_sharding, op8_quality_rules, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_ppm, op3_warc, op4_token_ids, op5_mixing, op6_media, op7_sharding, op8_quality_rules, op9_toxicity, op10_sentencepiece)}
