@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,12 +185,21 @@ def score_batch(model: Model, column: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, folds: int = 5, **how) -> Model:
     """Fit on labelled documents outside the held-out fold. The ids come first, from the
-    narrow label table; only their texts reach the driver (at most 2 * per_class)."""
+    narrow label table; their texts (at most 2 * per_class) meet in one task, which trains."""
     y = labels.where(F.col("toxic").isNotNull() & (crc_mod(F.col(doc_id), folds) != 0)).groupBy(F.col(doc_id).alias("_id")).agg(F.max("toxic").alias("_y"))
     order = F.xxhash64(F.lit(11), F.col("_id"))
     some = y.where("_y = 1").orderBy(order, "_id").limit(per_class).unionByName(y.where("_y = 0").orderBy(order, "_id").limit(per_class))
-    got = docs.select(F.col(doc_id).alias("_d"), text_of(F.col(text)).alias("_t")).join(F.broadcast(some), F.col("_d") == F.col("_id")).dropDuplicates(["_d"]).select("_d", "_t", "_y").toPandas().sort_values("_d")
-    return train(got["_t"].tolist(), got["_y"].to_numpy() == 1, **how) if len(got) else Model(np.zeros(BUCKETS, np.float32), -1e3)
+    rows = docs.select(F.col(doc_id).alias("_d"), text_of(F.col(text)).alias("_t")).join(F.broadcast(some), F.col("_d") == F.col("_id")).dropDuplicates(["_d"]).select("_d", "_t", "_y")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_d")
+        model = train(pdf["_t"].tolist(), pdf["_y"].to_numpy() == 1, **how)
+        return pd.DataFrame({"theta": [model.theta.astype(np.float32).tobytes()], "bias": [model.bias]})
+
+    got = rows.groupBy(F.lit(0).alias("_all")).applyInPandas(one, "theta binary, bias double").collect()  # one row of fixed size
+    if not got:
+        return Model(np.zeros(BUCKETS, np.float32), -1e3)
+    return Model(np.frombuffer(got[0]["theta"], np.float32), got[0]["bias"], how.get("window", WINDOW))
 
 
 def scored(docs: DataFrame, model: Model, *, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:
