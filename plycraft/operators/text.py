@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"\b\w\w+\b"
 MAX_TERMS = 512
@@ -19,7 +20,7 @@ def stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unaccented(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Without combining marks: the compatibility decomposition leaves base letters."""
     for s in texts:
