@@ -2,7 +2,7 @@
 
 Counting reads all training text once. A task adds up its words and its packed byte grams
 in numpy and sends them out as sorted blobs, dealt by hash (words) or by the context's last
-two bytes (grams); so each distinct key of a task crosses the shuffle once, and each part
+three bytes (grams); so each distinct key of a task crosses the shuffle once, and each part
 is merged in one place whose size falls with the number of parts. Two histograms then fix
 which words are frequent (at most ``HEAVY``) and which contexts the trie keeps (at most
 ``CELLS`` table cells): only these bounded tables are broadcast.
@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ppm
-from .common import LOWER, crc_mod, filesystem, materialise, pieces_by_bytes, put_file, shuffle_partitions, span_hashes, string_bytes, text_of, word_spans, workspace
+from .common import LOWER, crc_mod, filesystem, materialise, mix, pieces_by_bytes, put_file, shuffle_partitions, span_hashes, string_bytes, text_of, word_spans, workspace
 
 #: Bounds of what is broadcast: words (12 bytes each) and trie cells (8 bytes each).
 HEAVY, CELLS = 1 << 18, 10_000_000
+#: Contexts up to this order are always in the trie (at most 256**2 of order 2).
+LOCAL = 2
 #: Contexts seen less often are never in the trie.
 LEAST_SEEN = 4
 #: Distinct keys that a task holds before it sends them out.
@@ -76,10 +78,10 @@ def count_blobs(docs: DataFrame, parts: int) -> DataFrame:
         def send(kind: str) -> pa.RecordBatch:
             keys, counts = ppm.counted(np.concatenate([k for k, _ in held[kind]]), np.concatenate([n for _, n in held[kind]]))
             held[kind] = []
-            deal = keys if kind == "w" else ((keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+            deal = keys if kind == "w" else mix((keys >> np.uint64(8)) & np.uint64(0xFFFFFF))
             return _batch(_dealt(kind, keys, counts, (deal % np.uint64(parts)).astype(np.int64)))
 
-        for batch in pieces_by_bytes(batches, "t"):
+        for batch in pieces_by_bytes(batches, "t", 2 << 20):
             rows += batch.num_rows
             data, offsets = string_bytes(batch.column(0))
             data = LOWER[data]
@@ -112,7 +114,7 @@ def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def merge_parts(blobs: DataFrame) -> DataFrame:
     """One blob per part: all words; and, per context order, the grams of contexts that are
-    seen often enough (orders 0 and 1 span parts and are added up when they are used)."""
+    seen often enough (orders 0 to 2 span parts, are all kept, and are added up when used)."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, part = pdf["kind"].iloc[0], int(pdf["part"].iloc[0])
@@ -125,7 +127,7 @@ def merge_parts(blobs: DataFrame) -> DataFrame:
         for k in range(ppm.ORDER, -1, -1):
             keys, counts = ppm.counted(ppm.suffix(keys, k + 1), counts)
             g, n = keys, counts
-            if k > 1:
+            if k > LOCAL:
                 first = np.flatnonzero(np.r_[True, (g[1:] >> np.uint64(8)) != (g[:-1] >> np.uint64(8))])
                 total = np.add.reduceat(n, first)
                 often = np.repeat(total >= LEAST_SEEN, np.diff(np.r_[first, len(g)]))
@@ -143,7 +145,7 @@ def _context_totals(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def histograms(merged: DataFrame) -> pd.DataFrame:
-    """kind, bin, n: words by count, contexts of order 2 and more by total."""
+    """kind, bin, n: words by count, contexts of order 3 and more by total."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -154,7 +156,7 @@ def histograms(merged: DataFrame) -> pd.DataFrame:
                 bins, number = np.unique(level(n), return_counts=True)
                 yield pd.DataFrame({"kind": r.kind, "bin": bins, "n": number.astype(np.int64)})
 
-    rows = merged.where("kind = 'w' or degree > 1").select("kind", "keys", "counts").mapInPandas(work, "kind string, bin bigint, n bigint")
+    rows = merged.where(f"kind = 'w' or degree > {LOCAL}").select("kind", "keys", "counts").mapInPandas(work, "kind string, bin bigint, n bigint")
     return rows.groupBy("kind", "bin").agg(F.sum("n").alias("n")).toPandas()  # a few hundred bins
 
 
@@ -174,7 +176,7 @@ def picked(merged: DataFrame, kind: str, least: int, degree: int | None = None)
                 g, n = np.frombuffer(r.keys, np.uint64), np.frombuffer(r.counts, np.int64)
                 if kind == "w":
                     keep = level(n) >= least
-                elif r.degree > 1:
+                elif r.degree > LOCAL:
                     total, size = _context_totals(g, n)
                     keep = np.repeat(level(total) >= least, size)
                 else:
@@ -244,7 +246,7 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (heavy, heavy_n), trie = shipped.value, load_trie(trie_path)
         key = TaskContext.get().partitionId() << 33
-        for batch in pieces_by_bytes(batches, "t"):
+        for batch in pieces_by_bytes(batches, "t", 2 << 20):
             data, offsets = string_bytes(batch.column(2))
             data, rows = LOWER[data], batch.num_rows
             hashes, row = _words(data, offsets)
