@@ -153,7 +153,7 @@ class ShardStore:
         schema = self.spark.read.parquet(f"{self.folder}/schema").schema
         files = self.manifest(version) if only is None else only
         paths = [r[0] for r in files.select("path").orderBy("path").collect()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(paths or [f"{self.folder}/schema"]))  # that folder has no rows
 
     def located(self, *columns: str, version: int | None = None) -> DataFrame:
         """Rows with the shard that holds them: the columns, shard, shard_rows, tier."""

@@ -13,7 +13,7 @@ first by a hash of their id (documented bound); everything is scored. Only the t
 input. Scoring is linear: each distinct word of a batch gets one scalar, once.
 
 Defined results: null and empty texts have no passage and get the score of the bias alone;
-equal texts get equal scores; without labels of both classes every score is 0; an id with
+equal texts get equal scores; without labels of both classes every score is that class's (about 0 without any); an id with
 contradicting labels counts as toxic; extra columns are not read.
 """
 
