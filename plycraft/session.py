@@ -21,3 +21,26 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application, unless their path has it."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    known = {Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(":")} | {Path.cwd().resolve()}
+    app = spark.sparkContext.applicationId
+    if root in known or app in _shipped:
+        return
+    _shipped.add(app)
+    archive = Path(tempfile.mkdtemp()) / "plycraft.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for p in sorted((root / "plycraft").rglob("*.py")):
+            out.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
