@@ -13,11 +13,13 @@ binned: a round deals shingles to 16 bins by hash and draws once in each bin (an
 takes another's draw in a fixed order); six rounds give 96 draws, 24 bands of 4. At
 similarity 0.8 a pair shares no band with probability about 3e-6.
 
-Candidates are verified exactly, without listing all pairs of a bucket: each bucket's
-members are compared with its first member, verified links are contracted to components,
-and only pairs of *different* components in a bucket are left; they are all compared as
-soon as they are few, else the next member takes its turn. So every pair that shares a
-bucket is either compared or already in one class: no link is lost.
+Candidates are verified exactly, without listing all pairs of a bucket. Each bucket's
+members are first compared with its most central member (the one whose buckets are the
+fullest: an original rather than one of its copies), and verified links are contracted to
+components. What is left are pairs of *different* components in a bucket. Buckets are dealt
+into blocks, and pairs of blocks compare them inside a task, each pair once; of 96 one-byte
+draws 59 must agree (4.5 standard deviations below 0.8) before a pair is verified. So every
+pair that shares a bucket is compared or in one class already; only links leave a task.
 
 Defined results: null and empty texts, and texts of white space only, have no words and
 form one class; equal rows are copies; a null id counts as the smallest long; very long
@@ -32,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, materialise, mix, pieces_by_bytes, span_hashes, string_bytes, text_of, word_spans
@@ -42,7 +44,13 @@ WORDS, THRESHOLD, IDF_GAIN = 5, 0.8, 0.1
 ROUNDS, BINS, BAND = 6, 16, 4
 SKETCH_ROWS, SKETCH = 2, 1 << 19
 CHUNKS, SPREAD = 64, 1024
+#: Bits of the filter of candidate ids (8 MB): a fuller one lets more texts through, no fewer.
+FILTER_BITS = 1 << 26
 NULL_ID = -(1 << 63)
+#: Of 96 draws, how many one-byte images must agree before a pair is verified.
+AGREE = 59
+#: Members of a bucket that one side of a comparison holds.
+BLOCK = 1024
 _FEATURE = np.uint64((1 << 50) - 1)
 #: For an empty bin, the order in which the others are asked.
 _ASK = np.stack([np.r_[b, np.random.Generator(np.random.PCG64(b)).permutation(np.delete(np.arange(BINS), b))] for b in range(BINS)])
@@ -176,34 +184,65 @@ def bands(drawn: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, sketch: np.ndarray, n: int) -> DataFrame:
-    """doc_id, k1, k2 (key of the words), bands (null without words)."""
+    """doc_id, k1, k2 (key of the words), bands (null without words), sketch (a byte of each
+    draw, packed in longs)."""
     shipped = texts.sparkSession.sparkContext.broadcast((sketch.astype(np.int64), n))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_by_bytes(batches, "t", 3 << 20):
             row, feature, tf, key = features(*string_bytes(batch.column(1)))
             rows = batch.num_rows
-            h = bands(draws(row, feature, weights(feature, tf, *shipped.value), rows))
+            drawn = draws(row, feature, weights(feature, tf, *shipped.value), rows)
             none = np.bincount(row, minlength=rows) == 0
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * h.shape[1]), pa.array(h.reshape(-1)), mask=pa.array(none))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key[:, 0].copy().view(np.int64)), pa.array(key[:, 1].copy().view(np.int64)), lists], names=["doc_id", "k1", "k2", "bands"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * h.shape[1]), pa.array(h.reshape(-1)), mask=pa.array(none)) for h in (bands(drawn), np.ascontiguousarray(drawn.astype(np.uint8)).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key[:, 0].copy().view(np.int64)), pa.array(key[:, 1].copy().view(np.int64)), *lists], names=["doc_id", "k1", "k2", "bands", "sketch"])
 
-    return texts.select("d", "t").mapInArrow(work, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return texts.select("d", "t").mapInArrow(work, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>")
 
 
-def packed_features(texts: DataFrame, sketch: np.ndarray, n: int) -> DataFrame:
-    """id, f (sorted 32-bit shingle hashes), w (their weights): what verification compares."""
-    shipped = texts.sparkSession.sparkContext.broadcast((sketch.astype(np.int64), n))
+def _filter_places(column: str) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(k), F.col(column)), F.lit(FILTER_BITS)) for k in (1, 2)]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter (fixed size) of the ids in column ``rep``: their distinct places are
+    found by Spark, and set in 64 pieces."""
+    size = FILTER_BITS // CHUNKS
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(size, np.uint8)
+        bits[pdf["place"].to_numpy() % size] = 1
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    places = ids.select(F.explode(F.array(*_filter_places("rep"))).alias("place")).distinct().withColumn("chunk", F.floor(F.col("place") / size).cast("int"))
+    out = np.zeros((CHUNKS, size // 8), np.uint8)
+    for r in places.groupBy("chunk").applyInPandas(fill, "chunk int, bits binary").collect():  # at most 64 rows
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def packed_features(texts: DataFrame, sketch: np.ndarray, n: int, ids: DataFrame) -> DataFrame:
+    """id, f (sorted 32-bit shingle hashes), w (their weights) of the candidates (and of a few
+    other texts that the filter lets through): what verification compares. Texts stay where
+    they are read; no shuffle carries them."""
+    shipped = texts.sparkSession.sparkContext.broadcast((sketch.astype(np.int64), n, id_filter(ids)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, n, bits = shipped.value
         for batch in pieces_by_bytes(batches, "t", 3 << 20):
+            places = [batch.column(i).to_numpy() for i in (2, 3)]
+            hit = np.logical_and.reduce([(bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0 for p in places])
+            batch = batch.filter(pa.array(hit))
+            if not batch.num_rows:
+                continue
             row, feature, tf, _ = features(*string_bytes(batch.column(1)))
-            w = weights(feature, tf, *shipped.value).astype(np.float32)
+            w = weights(feature, tf, sketch, n).astype(np.float32)
             short = (feature >> np.uint64(18)).astype(np.uint32)  # the leading bits: already sorted
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([short[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([w[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["id", "f", "w"])
 
-    return texts.select("d", "t").mapInArrow(work, "id bigint, f binary, w binary")
+    one, two = _filter_places("d")
+    return texts.select("d", "t", one.alias("p1"), two.alias("p2")).mapInArrow(work, "id bigint, f binary, w binary")
 
 
 def weighted_jaccard(f: np.ndarray, w: np.ndarray, g: np.ndarray, v: np.ndarray) -> float:
@@ -219,7 +258,7 @@ def verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose weighted Jaccard similarity is the threshold or more."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_by_bytes(batches, "f", 1 << 20):
             keep = []
             for f, w, g, v in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 keep.append(weighted_jaccard(np.frombuffer(f, np.uint32), np.frombuffer(w, np.float32), np.frombuffer(g, np.uint32), np.frombuffer(v, np.float32)) >= threshold)
@@ -234,56 +273,78 @@ def verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
 # ---------------------------------------------------------------- classes
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, few_pairs: int = 100_000) -> DataFrame:
-    """doc_id, copy_of (the least id with equal words), class_id (the least id of the class)
-    and bands_shared, for every row."""
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """doc_id, copy_of (the least id with equal words) and class_id (the least id of the
+    class), for every row."""
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), text_of(F.col(text)).alias("t"))
     sketch, n = document_frequencies(texts)
     signed = materialise(signatures(texts, sketch, n), "near-signed")
-    reps = materialise(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-reps")
+    reps = materialise(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "sketch")).alias("s")).select("k1", "k2", "rep", "s.bands", "s.sketch"), "near-reps")
     placed = reps.where("bands is not null").select("rep", F.explode("bands").alias("key"))
     # buckets of one text are dropped before anything is joined
-    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1").select("key", "hub")
-    members = materialise(placed.join(shared, "key").select("key", "rep", "hub"), "near-members")
-    candidates = members.select("rep").distinct()
-    chosen = texts.join(candidates, F.col("d") == F.col("rep"), "left_semi")
-    feats = materialise(packed_features(chosen, sketch, n).dropDuplicates(["id"]), "near-feats")
-
-    label = None  # (u, v): u belongs to v's class
-    n_members = members.count()
-    while n_members:
-        now = members if label is None else members.join(label.select(F.col("u").alias("rep"), F.col("v").alias("class")), "rep", "left")
-        now = now.withColumn("comp", F.col("rep") if label is None else F.coalesce("class", "rep"))
-        hub_comp = F.max(F.when(F.col("rep") == F.col("hub"), F.col("comp")))
-        with_hub = now.join(now.groupBy("key").agg(hub_comp.alias("hub_comp")), "key")
-        pairs = with_hub.where((F.col("rep") > F.col("hub")) & (F.col("comp") != F.col("hub_comp"))).select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-        label = _join_classes(label, verified(pairs, feats, threshold))
-        # what is left: members after the hub, in buckets of more than one class
-        named = members.where("rep > hub").join(label.select(F.col("u").alias("rep"), F.col("v").alias("class")), "rep", "left").select("key", "rep", F.coalesce("class", "rep").alias("comp"))
-        sizes = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("comps")).where("comps > 1")
-        left = materialise(sizes.withColumn("cross", (F.col("m") * F.col("m") - F.col("s")) / 2).select("key", "cross"), "near-left")
-        total = left.agg(F.sum("cross").alias("x")).first()["x"] or 0
-        if not total:
-            break
-        rest = materialise(named.join(left.select("key"), "key", "left_semi"), "near-rest")
-        if total <= max(few_pairs, n_members):
-            a = rest.select("key", F.col("rep").alias("u"), F.col("comp").alias("cu"))
-            b = rest.select("key", F.col("rep").alias("v"), F.col("comp").alias("cv"))
-            pairs = a.join(b, "key").where("u < v and cu <> cv").select("u", "v").distinct()
-            label = _join_classes(label, verified(pairs, feats, threshold))
-            break
-        members = materialise(rest.select("key", "rep").join(rest.groupBy("key").agg(F.min("rep").alias("hub")), "key"), "near-members")
-        n_members = members.count()
+    shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    full = placed.join(shared, "key")
+    central = full.groupBy("rep").agg(F.sum("n").alias("degree"))
+    members = materialise(full.select("key", "rep").join(central, "rep"), "near-members")
+    ids = members.select("rep").distinct()
+    feats = materialise(packed_features(texts, sketch, n, ids).join(ids, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]), "near-feats")
+
+    # 1. every member against the most central of its bucket
+    hubs = members.groupBy("key").agg(F.max_by("rep", F.struct("degree", "rep")).alias("hub"))
+    pairs = members.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
+    label = stars(verified(pairs, feats, threshold))  # (u, v): u belongs to v's class
+    # 2. buckets that still hold more than one class: their pairs of different classes, in blocks
+    named = _in_class(members.select("key", "rep"), label, "rep", "comp")
+    sizes = named.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    rest = materialise(named.join(sizes, "key"), "near-rest")
+    linked = block_links(rest, reps.select("rep", "bands", "sketch"), feats, threshold)
+    label = stars(linked.unionByName(label))
 
     copies = signed.select("doc_id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"])
-    if label is None:
-        return copies.select("doc_id", F.col("rep").alias("copy_of"), F.col("rep").alias("class_id"))
-    return copies.join(label.select(F.col("u").alias("rep"), F.col("v").alias("class")), "rep", "left").select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("class", "rep").alias("class_id"))
-
-
-def _join_classes(label: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Contract verified links together with the classes so far."""
-    return stars(links if label is None else links.unionByName(label))
+    return _in_class(copies, label, "rep", "class_id").select("doc_id", F.col("rep").alias("copy_of"), "class_id")
+
+
+def _in_class(rows: DataFrame, label: DataFrame, node: str, into: str) -> DataFrame:
+    """``rows`` with the class of a node so far."""
+    return rows.join(label.select(F.col("u").alias(node), F.col("v").alias("_class")), node, "left").withColumn(into, F.coalesce("_class", node)).drop("_class")
+
+
+def block_links(rest: DataFrame, reps: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links between different classes within buckets. ``rest``: key, rep, comp,
+    blocks.
+
+    A bucket is dealt into blocks, and a group is a pair of blocks, so its size is bounded
+    whatever the bucket's. A pair is compared in the first band that it shares, and only if
+    enough one-byte draws agree; only links leave the task."""
+    here = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    spots = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(here, o).alias("i"), F.greatest(here, o).alias("j")))
+    dealt = rest.select("key", "rep", "comp", here.alias("mine"), F.explode(spots).alias("at")).select("key", "rep", "comp", "mine", "at.i", "at.j")
+    known = dealt.join(reps, "rep").join(feats, F.col("rep") == F.col("id")).select("key", "i", "j", "rep", "comp", "mine", "bands", "sketch", "f", "w")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        n = group.num_rows
+        column = lambda name: group.column(name).to_numpy()
+        lists = lambda name: np.stack(group.column(name).to_pylist()).astype(np.int64)
+        key, i, j = group.column("key")[0].as_py(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        rep, comp, mine = column("rep"), column("comp"), column("mine")
+        band, draws = lists("bands"), lists("sketch").view(np.uint8).reshape(n, -1)
+        where = int(np.flatnonzero((band == key).all(0))[0])
+        feature = [(np.frombuffer(f, np.uint32), np.frombuffer(w, np.float32)) for f, w in zip(group.column("f").to_pylist(), group.column("w").to_pylist(), strict=True)]
+        out: list[tuple[int, int]] = []
+        for a in range(n):
+            others = np.arange(a + 1, n)
+            ok = comp[others] != comp[a]
+            if i != j:
+                ok &= mine[others] != mine[a]
+            others = others[ok]
+            if where:
+                others = others[~(band[others, :where] == band[a, :where]).any(1)]
+            others = others[(draws[others] == draws[a]).sum(1) >= AGREE]
+            out += [(int(rep[a]), int(rep[b])) for b in others if weighted_jaccard(*feature[a], *feature[b]) >= threshold]
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    return known.groupBy("key", "i", "j").applyInArrow(compare, "u bigint, v bigint")
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
