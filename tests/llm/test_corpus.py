@@ -415,6 +415,25 @@ def test_pieces_equal_the_library(docs, none):
     assert pieces.encoded(none, keep=["doc_id"]).count() == 0
 
 
+# ---------------------------------------------------------------- queries
+
+
+def test_queries_equal_sql(spark, small):
+    import duckdb
+    import pandas as pd
+
+    from plycraft.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
+    for name, sql in queries.ORACLES.items():
+        got, want = queries.QUERIES[name](spark, small).toPandas(), con.sql(sql).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        plain = lambda f: sorted(repr([None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r]) for r in f[sorted(f.columns)].itertuples(index=False))
+        assert [x.replace(".0", "") for x in plain(got)] == [x.replace(".0", "") for x in plain(want)]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
