@@ -370,3 +370,87 @@ def extra_trees_rules(spark, d):
     rows = _rule_rows(spark, d).where("partition = 'discovery'").select("decision_id", F.array(F.col("rating").cast("int"), F.col("weekday"), (F.col("ord") % 24).cast("int")).alias("feats"), "loss")
     found = rules.fit_rules(rows, ["rating", "weekday", "hour"], trees=20, seed=SEED)
     return spark.createDataFrame([(i, str(r)) for i, r in enumerate(found)], "rule bigint, conditions string")
+
+
+# ---------------------------------------------------------------- rules kernel
+
+
+def games(spark, d):
+    """A recorded game for every user: legal moves drawn by a generator seeded with the id,
+    written as notation, so the whole path from text to decisions runs."""
+    import random
+
+    import pandas as pd
+
+    from .kernel.board import START_FEN, Board
+    from .kernel.notation import Line, write_game
+
+    def one(i: int) -> str:
+        r, board, root = random.Random(i), Board.from_fen(START_FEN), []
+        at = root
+        for _ in range(12):
+            move = r.choice(board.legal())
+            at.append(Line(move))
+            at, board = at[0].next, board.play(move)
+        return write_game({"Event": "Rated Rapid game", "Site": f"u/{i}", "White": f"w{i}", "Black": f"b{i}", "WhiteElo": str(400 + i % 400), "BlackElo": str(400 + i * 7 % 400)}, Board.from_fen(START_FEN), root)
+
+    def make(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"game_ordinal": pdf["user_id"], "text": [one(int(i)) for i in pdf["user_id"]]})
+
+    return table(spark, d, "events").select("user_id").distinct().mapInPandas(make, "game_ordinal bigint, text string")
+
+
+def _recorded(spark, d):
+    from .sources import archive
+
+    return archive.candidates(games(spark, d), seed=SEED)
+
+
+@query()
+def archive_decisions(spark, d):
+    return _recorded(spark, d).select("decision_id", "player", "rating", "ply", "move", "position", "partition")
+
+
+@query()
+def relation_features(spark, d):
+    from .operators import encoding
+
+    return encoding.relation_features(_recorded(spark, d).where("ply > 7")).select("decision_id", F.aggregate("feats", F.lit(0), lambda a, x: a + x).alias("relations"), F.sha2(F.to_json("feats"), 256).alias("feats_sha256"))
+
+
+def _scored(spark, d):
+    """Continuations for each decision: what was played later in the game, and the first
+    legal alternative, one ply each."""
+    from .kernel.board import uci
+    from .operators import encoding
+
+    def lines(row):
+        board = encoding.start_of(row)
+        other = [uci(m) for m in board.legal() if uci(m) != row["move"]]
+        after = board.play(encoding.legal_line(board, [row["move"]], "played")[0])
+        return {"before_pv": other[:1] or [row["move"]], "after_pv": [uci(m) for m in after.legal()[:1]]}
+
+    return encoding.kernel_map(_recorded(spark, d).where("ply > 7"), lines, "before_pv array<string>; after_pv array<string>")
+
+
+@query()
+def trajectory_vectors(spark, d):
+    from .operators import encoding
+
+    return encoding.encode_episodes(_scored(spark, d), 1).select("decision_id", "available", "informative", F.sha2(F.to_json("vector"), 256).alias("vector_sha256"))
+
+
+@query()
+def continuation_problems(spark, d):
+    from .operators import encoding
+
+    return encoding.with_pv_problem(_scored(spark, d)).select("decision_id", F.coalesce("pv_problem", F.lit("")).alias("pv_problem"))
+
+
+@query()
+def context_concentration(spark, d):
+    from .operators import encoding
+
+    rows = encoding.with_context(_recorded(spark, d))
+    return vectors.concentration(rows.withColumn("band", S.band_of(F.col("rating"))), "band", "opening_prefix")
