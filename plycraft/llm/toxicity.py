@@ -94,6 +94,24 @@ def word_scalars(theta: np.ndarray, ids: np.ndarray, words: np.ndarray, n: int)
     return np.bincount(words, theta[ids], minlength=n) / np.maximum(count, 1)
 
 
+def seed_scores(inverse: np.ndarray, row: np.ndarray, toxic: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A first guess for each distinct word: the mean log-odds of its n-grams, counted over
+    the distinct words of toxic and of other documents."""
+    pairs = np.unique(row * np.int64(len(first)) + inverse)
+    doc, word = pairs // len(first), pairs % len(first)
+    counts = np.zeros((2, BUCKETS))
+    for a in range(0, len(word), 100_000):
+        some = word[a : a + 100_000]
+        size = first[some + 1] - first[some]
+        at = np.repeat(first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        label = np.repeat(toxic[doc[a : a + 100_000]], size)
+        for k in (0, 1):
+            counts[k] += np.bincount(ids[at[label == k]], minlength=BUCKETS)
+    docs = np.array([(~toxic).sum(), toxic.sum()])
+    odds = np.log((counts[1] + 0.5) / (docs[1] + 1)) - np.log((counts[0] + 0.5) / (docs[0] + 1))
+    return np.add.reduceat(odds[ids], first[:-1]) / np.maximum(np.diff(first), 1)
+
+
 def train(texts: list[str], toxic: np.ndarray, *, seed: int = 3, rounds: int = 14, rate: float = 0.5, decay: float = 1e-4, window: int = WINDOW) -> Model:
     """Fit on whole texts. Stochastic gradient steps (Adagrad) on one passage a document
     and one more random passage of each clean document, chosen anew in each round."""
@@ -121,20 +139,25 @@ def train(texts: list[str], toxic: np.ndarray, *, seed: int = 3, rounds: int = 1
     emb = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
     w, b = (rng.standard_normal(DIM) * 0.5).astype(np.float32), np.float32(0)
     g_emb, g_w, g_b = np.full((BUCKETS, 1), 1e-3, np.float32), np.full(DIM, 1e-3, np.float32), np.float32(1e-3)
+    first_guess = seed_scores(inverse, row, toxic, ids, first)[inverse]
+    guess = np.maximum.reduceat(first_guess, begin)
+
+    def best_passage(z: np.ndarray) -> np.ndarray:
+        order = np.lexsort((-z, owner))
+        return order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
+
     for step in range(rounds):
         any_one = lo[have] + (rng.random(len(have)) * (hi - lo)[have]).astype(np.int64)
-        if step < 2:  # nothing is known yet: random passages of both classes
-            more = lo[have] + (rng.random(len(have)) * (hi - lo)[have]).astype(np.int64)
-            picked = np.r_[any_one, more]
+        if step < 4:  # the model knows little yet
+            top = best_passage(guess)
         else:
-            s = word_scalars(emb @ w, ids, words, len(start))[inverse]
-            z = np.add.reduceat(s, begin) / (stop - begin)
-            order = np.lexsort((-z, owner))
-            top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
-            picked = np.r_[top, any_one[~toxic[have]]]
+            z = np.add.reduceat(word_scalars(emb @ w, ids, words, len(start))[inverse], begin) / (stop - begin)
+            top = best_passage(z)
+        picked = np.r_[top, any_one[~toxic[have]]]
         rng.shuffle(picked)
-        for a in range(0, len(picked), 256):
-            p = picked[a : a + 256]
+        batch = min(256, max(16, len(picked) // 16))  # few documents still take enough steps
+        for a in range(0, len(picked), batch):
+            p = picked[a : a + batch]
             y = toxic[owner[p]].astype(np.float32)
             size = stop[p] - begin[p]
             occ = np.repeat(begin[p] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
