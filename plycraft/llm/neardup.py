@@ -42,10 +42,10 @@ from .components import stars
 
 WORDS, THRESHOLD, IDF_GAIN = 5, 0.8, 0.1
 ROUNDS, BINS, BAND = 6, 16, 4
-SKETCH_ROWS, SKETCH = 2, 1 << 19
+SKETCH_ROWS, SKETCH = 2, 1 << 18
 CHUNKS, SPREAD = 64, 1024
-#: Bits of the filter of candidate ids (8 MB): a fuller one lets more texts through, no fewer.
-FILTER_BITS = 1 << 26
+#: Bits of the filter of candidate ids (2 MB): a fuller one lets more texts through, no fewer.
+FILTER_BITS = 1 << 24
 NULL_ID = -(1 << 63)
 #: Of 96 draws, how many one-byte images must agree before a pair is verified.
 AGREE = 59
@@ -127,6 +127,11 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return np.frombuffer(b"".join(got.sort_values("chunk")["counts"]), np.int64).reshape(SKETCH_ROWS, SKETCH), int(got["n"].sum())
 
 
+def narrow(sketch: np.ndarray) -> np.ndarray:
+    """The sketch to ship: four bytes a count if they hold it."""
+    return sketch.astype(np.uint32 if sketch.max(initial=0) < 1 << 32 else np.int64)
+
+
 def weights(feature: np.ndarray, tf: np.ndarray, sketch: np.ndarray, n: int) -> np.ndarray:
     """Count times damped inverse document frequency."""
     df = np.minimum.reduce([sketch[r][cell] for r, cell in enumerate(_cells(feature))])
@@ -186,10 +191,10 @@ def bands(drawn: np.ndarray) -> np.ndarray:
 def signatures(texts: DataFrame, sketch: np.ndarray, n: int) -> DataFrame:
     """doc_id, k1, k2 (key of the words), bands (null without words), sketch (a byte of each
     draw, packed in longs)."""
-    shipped = texts.sparkSession.sparkContext.broadcast((sketch.astype(np.int64), n))
+    shipped = texts.sparkSession.sparkContext.broadcast((narrow(sketch), n))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_by_bytes(batches, "t", 3 << 20):
+        for batch in pieces_by_bytes(batches, "t"):
             row, feature, tf, key = features(*string_bytes(batch.column(1)))
             rows = batch.num_rows
             drawn = draws(row, feature, weights(feature, tf, *shipped.value), rows)
@@ -225,11 +230,11 @@ def packed_features(texts: DataFrame, sketch: np.ndarray, n: int, ids: DataFrame
     """id, f (sorted 32-bit shingle hashes), w (their weights) of the candidates (and of a few
     other texts that the filter lets through): what verification compares. Texts stay where
     they are read; no shuffle carries them."""
-    shipped = texts.sparkSession.sparkContext.broadcast((sketch.astype(np.int64), n, id_filter(ids)))
+    shipped = texts.sparkSession.sparkContext.broadcast((narrow(sketch), n, id_filter(ids)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, n, bits = shipped.value
-        for batch in pieces_by_bytes(batches, "t", 3 << 20):
+        for batch in pieces_by_bytes(batches, "t"):
             places = [batch.column(i).to_numpy() for i in (2, 3)]
             hit = np.logical_and.reduce([(bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0 for p in places])
             batch = batch.filter(pa.array(hit))

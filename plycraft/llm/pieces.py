@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import pieces_by_bytes
 
 #: A worker's table is emptied when it holds this many chunks; only speed depends on it.
-TABLE_CHUNKS = 250_000
+TABLE_CHUNKS = 120_000
 MARK = "▁"
 
 

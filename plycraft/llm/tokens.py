@@ -189,7 +189,7 @@ def write_ids(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str
             put_file(f"{folder}/{name}", rans.encode(np.concatenate(ids), docs, np.concatenate(sizes)))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64())], names=["file", "docs", "ids"])
 
-        for batch in pieces_by_bytes(batches, "t"):
+        for batch in pieces_by_bytes(batches, "t", 4 << 20):
             got, lengths = t.encode(batch.column(1), END_ID)
             ids.append(got)
             sizes.append(lengths)
