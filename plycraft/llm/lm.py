@@ -1,16 +1,18 @@
-"""Language-model scoring: a PPM trie pretrained on the training fold, beside a unigram base.
+"""Language-model scoring: PPM pretrained on the training fold, beside a unigram base.
 
 Counting reads all training text once. A task adds up its words and its packed byte grams
 in numpy and sends them out as sorted blobs, dealt by hash (words) or by the context's last
 three bytes (grams); so each distinct key of a task crosses the shuffle once, and each part
-is merged in one place whose size falls with the number of parts. Two histograms then fix
-which words are frequent (at most ``HEAVY``) and which contexts the trie keeps (at most
-``CELLS`` table cells): only these bounded tables are broadcast.
+is merged in one place whose size falls with the number of parts. Every gram is kept: the
+model grows with the text. Only tables of bounded size go everywhere: at most ``HEAVY``
+frequent words, and the contexts of up to two bytes.
 
-Scoring reads all text once. The trie gives the text's log10 probability; frequent words
-are looked up at once, and every other token is sent, as (hash, row) in blobs, to the part
-that holds its count, from where sums per document come back. Nothing is dropped: the base
-score uses the exact count of every token.
+Scoring reads all text once. Frequent words are looked up at once, and every other token is
+sent, as (hash, row) in blobs, to the part that holds its count, from where sums per document
+come back. The distinct grams of ``TEXT`` bytes of text at a time are sent to the parts that
+hold their contexts of three to six bytes, and their log10 probabilities come back to the
+text, where each document's are added up. Nothing is dropped: the base score uses the exact
+count of every token, the score the exact counts of every context.
 
 Words are known by 64-bit hashes. The model predicts lower-cased (A-Z) bytes, spaces
 included, and the end of the text.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import io
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +40,10 @@ from pyspark.sql import functions as F
 from . import ppm
 from .common import LOWER, crc_mod, filesystem, materialise, mix, pieces_by_bytes, put_file, shuffle_partitions, span_hashes, string_bytes, text_of, word_spans, workspace
 
-#: Bounds of what is broadcast: words (12 bytes each) and trie cells (8 bytes each).
-HEAVY, CELLS = 1 << 18, 10_000_000
-#: Contexts up to this order are always in the trie (at most 256**2 of order 2).
-LOCAL = 2
-#: Contexts seen less often are never in the trie.
-LEAST_SEEN = 4
+#: Bound of what is broadcast: words (12 bytes each).
+HEAVY = 1 << 18
+#: Bytes of text whose distinct grams are asked for together.
+TEXT = 16 << 20
 #: Distinct keys that a task holds before it sends them out.
 HELD = 2_000_000
 BLOBS = "kind string, part int, degree int, total bigint, distinct bigint, keys binary, counts binary"
@@ -68,6 +69,11 @@ def _dealt(kind: str, keys: np.ndarray, counts: np.ndarray, part: np.ndarray) ->
     return out
 
 
+def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The part that holds a gram's context and its suffixes down to three bytes."""
+    return (mix(ppm.suffix(grams >> np.uint64(8), ppm.LOW + 1)) % np.uint64(parts)).astype(np.int64)
+
+
 def count_blobs(docs: DataFrame, parts: int) -> DataFrame:
     """Word and gram counts of ``docs`` (column t), a blob per task and part."""
 
@@ -78,8 +84,7 @@ def count_blobs(docs: DataFrame, parts: int) -> DataFrame:
         def send(kind: str) -> pa.RecordBatch:
             keys, counts = ppm.counted(np.concatenate([k for k, _ in held[kind]]), np.concatenate([n for _, n in held[kind]]))
             held[kind] = []
-            deal = keys if kind == "w" else mix((keys >> np.uint64(8)) & np.uint64(0xFFFFFF))
-            return _batch(_dealt(kind, keys, counts, (deal % np.uint64(parts)).astype(np.int64)))
+            return _batch(_dealt(kind, keys, counts, (keys % np.uint64(parts)).astype(np.int64) if kind == "w" else part_of(keys, parts)))
 
         for batch in pieces_by_bytes(batches, "t", 2 << 20):
             rows += batch.num_rows
@@ -113,8 +118,8 @@ def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merge_parts(blobs: DataFrame) -> DataFrame:
-    """One blob per part: all words; and, per context order, the grams of contexts that are
-    seen often enough (orders 0 to 2 span parts, are all kept, and are added up when used)."""
+    """One blob per part: all words; all grams; and, per order, the grams of the low orders
+    (which span parts, and are added up when used)."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, part = pdf["kind"].iloc[0], int(pdf["part"].iloc[0])
@@ -124,40 +129,26 @@ def merge_parts(blobs: DataFrame) -> DataFrame:
         if kind == "w":
             return pd.DataFrame([(kind, part, 0, int(counts.sum()), len(keys), keys.tobytes(), counts.tobytes())], columns=NAMES)
         rows = []
-        for k in range(ppm.ORDER, -1, -1):
+        for k in (ppm.ORDER, *range(ppm.LOW, -1, -1)):
             keys, counts = ppm.counted(ppm.suffix(keys, k + 1), counts)
-            g, n = keys, counts
-            if k > LOCAL:
-                first = np.flatnonzero(np.r_[True, (g[1:] >> np.uint64(8)) != (g[:-1] >> np.uint64(8))])
-                total = np.add.reduceat(n, first)
-                often = np.repeat(total >= LEAST_SEEN, np.diff(np.r_[first, len(g)]))
-                g, n = g[often], n[often]
-            rows.append((kind, part, k, int(n.sum()), len(g), g.tobytes(), n.tobytes()))
+            rows.append((kind, part, k, int(counts.sum()), len(keys), keys.tobytes(), counts.tobytes()))
         return pd.DataFrame(rows, columns=NAMES)
 
     NAMES = [x.split()[0] for x in BLOBS.split(", ")]
     return blobs.groupBy("kind", "part").applyInPandas(merge, BLOBS)
 
 
-def _context_totals(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.r_[True, (g[1:] >> np.uint64(8)) != (g[:-1] >> np.uint64(8))]) if len(g) else np.zeros(0, np.int64)
-    return (np.add.reduceat(n, first) if len(g) else n), np.diff(np.r_[first, len(g)])
-
-
-def histograms(merged: DataFrame) -> pd.DataFrame:
-    """kind, bin, n: words by count, contexts of order 3 and more by total."""
+def histogram(merged: DataFrame) -> pd.DataFrame:
+    """bin, n: words by count."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for r in pdf.itertuples():
-                n = np.frombuffer(r.counts, np.int64)
-                if r.kind == "g":
-                    n = _context_totals(np.frombuffer(r.keys, np.uint64), n)[0]
-                bins, number = np.unique(level(n), return_counts=True)
-                yield pd.DataFrame({"kind": r.kind, "bin": bins, "n": number.astype(np.int64)})
+            for counts in pdf["counts"]:
+                bins, number = np.unique(level(np.frombuffer(counts, np.int64)), return_counts=True)
+                yield pd.DataFrame({"bin": bins, "n": number.astype(np.int64)})
 
-    rows = merged.where(f"kind = 'w' or degree > {LOCAL}").select("kind", "keys", "counts").mapInPandas(work, "kind string, bin bigint, n bigint")
-    return rows.groupBy("kind", "bin").agg(F.sum("n").alias("n")).toPandas()  # a few hundred bins
+    rows = merged.where("kind = 'w'").select("counts").mapInPandas(work, "bin bigint, n bigint")
+    return rows.groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # a few hundred bins
 
 
 def cut_at(bins: pd.DataFrame, most: int) -> int:
@@ -167,63 +158,86 @@ def cut_at(bins: pd.DataFrame, most: int) -> int:
     return int(bins["bin"][ok].min()) if ok.any() else 1 << 40
 
 
-def picked(merged: DataFrame, kind: str, least: int, degree: int | None = None) -> DataFrame:
-    """degree, keys, counts: words, or the grams of contexts, of the chosen bins."""
+def frequent(merged: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the chosen bins, on the driver: at most HEAVY."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples():
-                g, n = np.frombuffer(r.keys, np.uint64), np.frombuffer(r.counts, np.int64)
-                if kind == "w":
-                    keep = level(n) >= least
-                elif r.degree > LOCAL:
-                    total, size = _context_totals(g, n)
-                    keep = np.repeat(level(total) >= least, size)
-                else:
-                    keep = np.ones(len(g), bool)
-                yield pd.DataFrame({"degree": [r.degree], "keys": [g[keep].tobytes()], "counts": [n[keep].tobytes()]})
-
-    rows = merged.where(F.col("kind") == kind)
-    rows = rows if degree is None else rows.where(F.col("degree") == degree)
-    return rows.select("kind", "degree", "keys", "counts").mapInPandas(work, "degree int, keys binary, counts binary")
+                keys, counts = np.frombuffer(r.keys, np.uint64), np.frombuffer(r.counts, np.int64)
+                keep = level(counts) >= least
+                yield pd.DataFrame({"keys": [keys[keep].tobytes()], "counts": [counts[keep].tobytes()]})
 
+    return ppm.counted(*_unpack(merged.where("kind = 'w'").select("keys", "counts").mapInPandas(work, "keys binary, counts binary").toPandas()))
 
-def chosen(merged: DataFrame, kind: str, least: int, degree: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """``picked`` on the driver: at most HEAVY words, or the symbols of order 0."""
-    got = picked(merged, kind, least, degree).toPandas()
-    return {int(k): ppm.counted(*_unpack(rows)) for k, rows in got.groupby("degree")}
 
-
-def build_trie(merged: DataFrame, least: int) -> str:
-    """Build the trie in one task, from a bounded number of grams (at most CELLS), and put it
-    into the shared folder, from where each worker loads it once."""
-    path = f"{workspace(merged.sparkSession, 'lm-trie')}/trie.npz"
+def build_low(merged: DataFrame) -> str:
+    """Add up the low orders in one task (at most 256**2 contexts), and put their tables into
+    the shared folder, from where each worker loads them once."""
+    path = f"{workspace(merged.sparkSession, 'lm-low')}/low.npz"
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        trie = ppm.build({int(k): ppm.counted(*_unpack(rows)) for k, rows in pdf.groupby("degree")})
+        low = ppm.build_low({int(k): ppm.counted(*_unpack(rows)) for k, rows in pdf.groupby("degree")})
         out = io.BytesIO()
-        np.savez(out, logp=trie.logp, step=trie.step, cls=trie.cls, at=np.array([trie.start, trie.order]))
+        np.savez(out, logp=low.logp, cls=low.cls, **{f"{name}{k}": x for k, pair in enumerate(low.grams) for name, x in zip("gn", pair, strict=True)})
         put_file(path, out.getvalue())
-        return pd.DataFrame({"contexts": [len(trie.logp)]})
+        return pd.DataFrame({"contexts": [len(low.logp)]})
 
-    made = picked(merged, "g", least).groupBy(F.lit(0).alias("all")).applyInPandas(build, "contexts bigint").collect()
-    return path if made else ""
+    rows = merged.where((F.col("kind") == "g") & (F.col("degree") <= ppm.LOW)).select("degree", "keys", "counts")
+    return path if rows.groupBy(F.lit(0).alias("all")).applyInPandas(build, "contexts bigint").collect() else ""
 
 
-_tries: dict[str, ppm.Trie] = {}
+_lows: dict[str, ppm.Low] = {}
 
 
-def load_trie(path: str) -> ppm.Trie:
-    if path not in _tries:
-        _tries.clear()  # one model at a time
+def load_low(path: str) -> ppm.Low:
+    if path not in _lows:
+        _lows.clear()  # one model at a time
         if path:
             store, name = filesystem(path)
             with store.open_input_file(name) as src:
                 z = np.load(io.BytesIO(src.read()))
-                _tries[path] = ppm.Trie(z["logp"], z["step"], z["cls"], int(z["at"][0]), int(z["at"][1]))
+                _lows[path] = ppm.Low([(z[f"g{k}"], z[f"n{k}"]) for k in range(ppm.LOW + 1)], z["logp"], z["cls"])
         else:
-            _tries[path] = ppm.build({})
-    return _tries[path]
+            _lows[path] = ppm.build_low({})
+    return _lows[path]
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as compressed differences, byte by byte."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def text_pieces(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes, or of one row."""
+    row = 0
+    while row < len(offsets) - 1:
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+        yield row, to
+        row = to
+
+
+def by_part(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of distinct ascending grams by part, the parts there are, where each begins)."""
+    part = part_of(grams, parts)
+    order = np.argsort(part, kind="stable")
+    which, begin = np.unique(part[order], return_index=True)
+    return order, which, begin
+
+
+ROWS = pa.schema([
+    ("kind", pa.string()), ("part", pa.int32()), ("row", pa.int64()), ("d", pa.int64()), ("h", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
+    ("keys", pa.binary()), ("rows", pa.binary()),
+])
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    """A batch of ROWS; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in ROWS], schema=ROWS)
 
 
 def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 10, parts: int | None = None) -> DataFrame:
@@ -236,32 +250,40 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
     of = lambda kind, what: int(sums[what].get(kind, 0))
     ends = of("n", "total")
     n_all, n_distinct = of("w", "total") + ends, of("w", "distinct") + (ends > 0)
-    bins = histograms(merged)
-    heavy_from = cut_at(bins[bins["kind"] == "w"], HEAVY)
-    heavy, heavy_n = chosen(merged, "w", heavy_from).get(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    width = len(chosen(merged, "g", 1 << 40, degree=0).get(0, (np.zeros(0),))[0]) + 1
-    trie_path = build_trie(merged, cut_at(bins[bins["kind"] == "g"], CELLS // width))
+    heavy, heavy_n = frequent(merged, cut_at(histogram(merged), HEAVY))
+    low_path = build_low(merged)
     shipped = spark.sparkContext.broadcast((heavy, heavy_n))
 
+    def ask_grams(texts: list[bytes], sizes: list[np.ndarray], grams: np.ndarray, key: int) -> pa.RecordBatch:
+        """The text (part null), and its distinct grams by part; ``row`` is its first row."""
+        order, which, begin = by_part(grams, parts)
+        n = len(which)
+        blobs = [pack_keys(grams[order[a:b]]) for a, b in zip(begin, [*begin[1:], len(order)], strict=True)]
+        return _rows(n + 1, kind=pa.array(["t"] + ["g"] * n), part=pa.array([None, *which.tolist()], pa.int32()), row=pa.array([key] * (n + 1), pa.int64()), keys=pa.array([zlib.compress(b"".join(texts), 1), *blobs], pa.binary()), rows=pa.array([np.concatenate(sizes).tobytes()] + [None] * n, pa.binary()))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (heavy, heavy_n), trie = shipped.value, load_trie(trie_path)
-        key = TaskContext.get().partitionId() << 33
+        heavy, heavy_n = shipped.value
+        key = first_key = TaskContext.get().partitionId() << 33
+        texts, sizes, grams = [], [], np.zeros(0, np.uint64)
         for batch in pieces_by_bytes(batches, "t", 2 << 20):
             data, offsets = string_bytes(batch.column(2))
             data, rows = LOWER[data], batch.num_rows
+            if texts and sum(map(len, texts)) + len(data) > TEXT:
+                yield ask_grams(texts, sizes, grams, first_key)
+                texts, sizes, grams, first_key = [], [], np.zeros(0, np.uint64), key
+            texts.append(data.tobytes())
+            sizes.append(np.diff(offsets))
+            grams = np.union1d(grams, ppm.gram_keys(data, offsets))
             hashes, row = _words(data, offsets)
             distinct, inverse = np.unique(hashes, return_inverse=True)
             at = np.minimum(np.searchsorted(heavy, distinct), max(len(heavy) - 1, 0))
             hit = heavy[at] == distinct if len(heavy) else np.zeros(len(distinct), bool)
             value = np.where(hit, np.log10((heavy_n[at] if len(heavy) else np.zeros(len(at))) + 0.1), 0.0)
             known = hit[inverse]
-            frame = {
-                "part": pa.nulls(rows, pa.int32()), "row": pa.array(key + np.arange(rows)), "d": batch.column(0), "h": batch.column(1),
-                "n_tokens": pa.array(np.bincount(row, minlength=rows) + 1), "n_known": pa.array(np.bincount(row, known, rows).astype(np.int64) + (ends > 0)),
-                "base": pa.array(np.bincount(row, value[inverse], rows) + math.log10(ends + 0.1)), "score": pa.array(ppm.score(trie, data, offsets)),
-                "hashes": pa.nulls(rows, pa.binary()), "rows": pa.nulls(rows, pa.binary()),
-            }
-            yield pa.RecordBatch.from_arrays(list(frame.values()), names=list(frame))
+            yield _rows(
+                rows, row=pa.array(key + np.arange(rows)), d=batch.column(0), h=batch.column(1), n_tokens=pa.array(np.bincount(row, minlength=rows) + 1),
+                n_known=pa.array(np.bincount(row, known, rows).astype(np.int64) + (ends > 0)), base=pa.array(np.bincount(row, value[inverse], rows) + math.log10(ends + 0.1)),
+            )
             ask, who = hashes[~known], row[~known].astype(np.int32)
             part = (ask % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -269,20 +291,43 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
             if len(cuts):
                 spans = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
                 n = len(spans)
-                asked = {
-                    "part": pa.array([int(part[s[0]]) for s in spans], pa.int32()), "row": pa.array([key] * n, pa.int64()), "d": pa.nulls(n, pa.int64()), "h": pa.nulls(n, pa.bool_()), "n_tokens": pa.nulls(n, pa.int64()), "n_known": pa.nulls(n, pa.int64()), "base": pa.nulls(n, pa.float64()), "score": pa.nulls(n, pa.float64()),
-                    "hashes": pa.array([ask[s].tobytes() for s in spans], pa.binary()), "rows": pa.array([who[s].tobytes() for s in spans], pa.binary()),
-                }
-                yield pa.RecordBatch.from_arrays(list(asked.values()), names=list(asked))
+                yield _rows(n, kind=pa.array(["w"] * n), part=pa.array([int(part[s[0]]) for s in spans], pa.int32()), row=pa.array([key] * n, pa.int64()), keys=pa.array([ask[s].tobytes() for s in spans], pa.binary()), rows=pa.array([who[s].tobytes() for s in spans], pa.binary()))
             key += rows
-
-    first = materialise(base.mapInArrow(work, "part int, row bigint, d bigint, h boolean, n_tokens bigint, n_known bigint, base double, score double, hashes binary, rows binary"), "lm-rows")
+        if texts:
+            yield ask_grams(texts, sizes, grams, first_key)
+
+    first = materialise(base.mapInArrow(work, "kind string, part int, row bigint, d bigint, h boolean, n_tokens bigint, n_known bigint, base double, keys binary, rows binary"), "lm-rows")
+
+    def gram_answer(asked: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        """The log10 probabilities of the asked grams, in their order."""
+        low = load_low(low_path)
+        keys, counts = _unpack(have)  # one blob: sorted
+        grams = [unpack_keys(x) for x in asked["keys"]]
+        wanted = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+        value = ppm.answers(keys, counts, low, wanted).astype(np.float32)
+        return pd.DataFrame({"row": asked["row"].astype(np.int64), "part": asked["part"].astype(np.int32), "logp": [value[np.searchsorted(wanted, g)].tobytes() for g in grams]})
+
+    def add_up(text: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        """The score of each row of a text."""
+        data, sizes = np.frombuffer(zlib.decompress(text["keys"].iloc[0]), np.uint8), np.frombuffer(text["rows"].iloc[0], np.int64)
+        offsets = np.r_[0, np.cumsum(sizes)]
+        grams = np.zeros(0, np.uint64)
+        for a, b in text_pieces(offsets):
+            grams = np.union1d(grams, ppm.gram_keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        value = np.empty(len(grams), np.float32)
+        value[by_part(grams, parts)[0]] = np.concatenate([np.frombuffer(x, np.float32) for x in got.sort_values("part")["logp"]])
+        score = np.empty(len(sizes))
+        for a, b in text_pieces(offsets):
+            keys, inverse = np.unique(ppm.gram_keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), return_inverse=True)
+            begin = np.r_[0, np.cumsum(sizes[a : b] + 1)[:-1]]
+            score[a:b] = np.add.reduceat(value[np.searchsorted(grams, keys)][inverse].astype(np.float64), begin)
+        return pd.DataFrame({"row": int(text["row"].iloc[0]) + np.arange(len(sizes)), "score": score})
 
     def answer(asked: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _unpack(have)
         sums, found, rows = [], [], []
         for r in asked.itertuples():
-            h, who = np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.rows, np.int32)
+            h, who = np.frombuffer(r.keys, np.uint64), np.frombuffer(r.rows, np.int32)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 c = np.where(keys[at] == h, counts[at], 0)
@@ -296,12 +341,17 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
             return pd.DataFrame({"row": np.zeros(0, np.int64), "n_known": np.zeros(0, np.int64), "base": np.zeros(0)})
         return pd.DataFrame({"row": np.concatenate(rows), "n_known": np.concatenate(found), "base": np.concatenate(sums)})
 
-    asked = first.where("part is not null").select("part", "row", "hashes", "rows").groupBy("part")
-    have = merged.where("kind = 'w'").select("part", "keys", "counts").groupBy("part")
-    answers = asked.cogroup(have).applyInPandas(answer, "row bigint, n_known bigint, base double")
-    own = first.where("part is null").select("row", "d", "h", "n_tokens", "n_known", "base", "score")
-    null = lambda kind: F.lit(None).cast(kind)
-    both = own.unionByName(answers.select("row", null("bigint").alias("d"), null("boolean").alias("h"), null("bigint").alias("n_tokens"), "n_known", "base", null("double").alias("score")))
+    def asked(kind: str):
+        return first.where(F.col("kind") == kind).select("part", "row", "keys", "rows").groupBy("part")
+
+    def have(kind: str):
+        return merged.where((F.col("kind") == kind) & F.col("degree").isin(0 if kind == "w" else ppm.ORDER)).select("part", "keys", "counts").groupBy("part")
+
+    answers = asked("w").cogroup(have("w")).applyInPandas(answer, "row bigint, n_known bigint, base double")
+    logp = asked("g").cogroup(have("g")).applyInPandas(gram_answer, "row bigint, part int, logp binary")
+    scores = first.where("kind = 't'").select("row", "keys", "rows").groupBy("row").cogroup(logp.groupBy("row")).applyInPandas(add_up, "row bigint, score double")
+    own = first.where("kind is null").select("row", "d", "h", "n_tokens", "n_known", "base")
+    both = own.unionByName(answers, allowMissingColumns=True).unionByName(scores, allowMissingColumns=True)
     whole = both.groupBy("row").agg(F.max("d").alias("doc_id"), F.max("h").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.max("score").alias("score"))
     per_token = math.log10(n_all + 0.1 * (n_distinct + 1))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"), "score")

@@ -8,8 +8,10 @@ suffix's, so what exclusion removes at the next level depends on the context alo
 every conditional probability can be tabulated once: a table row per context, a column per
 byte class, with the next context beside it. Scoring then walks all texts in step.
 
-The trie keeps the most frequent contexts (a PPM coder's usual memory bound: see ``lm``,
-which broadcasts it); counting covers all training text.
+A trie of all contexts grows with the text, so ``lm`` tabulates only the contexts of up to
+``LOW`` bytes that way. Longer contexts with the same last ``LOW + 1`` bytes form a table of
+their own (``Part``), complete by itself above the low orders: ``answers`` gives from it the
+probability that the trie of all contexts would give.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ DISCOUNT = 0.5
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 SYMBOLS = 255  # what may follow: any byte but START (END stands for the end)
 SEGMENT = 1024
+#: Highest order whose contexts are tabulated in one place (at most 256**2).
+LOW = 2
 
 
 def gram_keys(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -178,3 +182,92 @@ def score(trie: Trie, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     last = nth[order] == parts[row] - 1
     total[last] += trie.logp[state[last], trie.cls[END]]
     return np.bincount(row, total, rows)
+
+
+@dataclass
+class Low:
+    """Orders 0 to LOW: sorted grams and counts of each, and the trie's probabilities, whose
+    rows are the contexts of order 0, then 1, then 2."""
+
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    logp: np.ndarray
+    cls: np.ndarray
+
+
+def build_low(grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> Low:
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    kept = {k: grams[k] for k in range(LOW + 1) if k in grams}
+    trie = build(kept, LOW)
+    return Low([kept.get(k, none) for k in range(LOW + 1)], trie.logp, trie.cls)
+
+
+def _place(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in sorted keys, whether it is there)."""
+    if not len(keys):
+        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return at, keys[at] == want
+
+
+def low_logp(low: Low, keys: np.ndarray) -> np.ndarray:
+    """log10 probability of each gram's last byte after the longest low context it has."""
+    row, open_ = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+    contexts = [np.unique(g >> np.uint64(8)) for g, _ in low.grams]
+    base = np.cumsum([0, max(1, len(contexts[0])), *(len(c) for c in contexts[1:])])
+    for k in range(LOW, 0, -1):
+        at, hit = _place(contexts[k], suffix(keys >> np.uint64(8), k))
+        hit &= open_
+        row[hit] = base[k] + at[hit]
+        open_ &= ~hit
+    return low.logp[row, low.cls[suffix(keys, 1).astype(np.int64)]].astype(np.float64)
+
+
+def _by_context(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, first gram, observations, distinct symbols) of sorted grams."""
+    if not len(g):
+        return g, np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    first = np.flatnonzero(np.r_[True, (g[1:] >> np.uint64(8)) != (g[:-1] >> np.uint64(8))])
+    return g[first] >> np.uint64(8), first, np.add.reduceat(n, first).astype(np.float64), np.diff(np.r_[first, len(g)]).astype(np.float64)
+
+
+def answers(keys: np.ndarray, counts: np.ndarray, low: Low, asked: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """log10 probability of the last byte of each asked (order + 1)-gram after the bytes
+    before it. ``keys``, ``counts``: all grams of training, sorted, of the contexts that share
+    their last LOW + 1 bytes with an asked one.
+
+    Where a context lacks the symbol, its suffix's probability is multiplied by a number that
+    depends on the context, and on whether the suffix has the symbol."""
+    total, open_ = np.zeros(len(asked)), np.ones(len(asked), bool)
+    grams = {order: (keys, counts), LOW: low.grams[LOW]}
+    for k in range(order - 1, LOW, -1):
+        grams[k] = counted(suffix(grams[k + 1][0], k + 1), grams[k + 1][1])
+    for k in range(order, LOW, -1):
+        g, n = grams[k]
+        contexts, first, seen, distinct = _by_context(g, n)
+        if not len(g):
+            continue
+        # what each context's symbols weigh in its suffix
+        h, m = grams[k - 1]
+        p_contexts, _, p_seen, p_distinct = _by_context(h, m)
+        parent = np.searchsorted(p_contexts, suffix(contexts, k - 1))
+        shared = np.add.reduceat(m[np.searchsorted(h, suffix(g, k))] - DISCOUNT, first)
+        all_q = DISCOUNT * p_distinct[parent]
+        left_q = all_q - DISCOUNT * distinct
+        left_t = p_seen[parent] - all_q - shared
+        some = left_q > 0
+        left = np.where(some, left_t + left_q, 1.0)
+        escape = DISCOUNT * distinct / seen
+        inside = escape * p_seen[parent] / left
+        outside = escape * np.where(some, left_q / left, 1.0) * p_seen[parent] / all_q
+        want = np.flatnonzero(open_)
+        key = suffix(asked[want], k + 1)
+        at, hit = _place(g, key)
+        context, known = _place(contexts, key >> np.uint64(8))
+        total[want[hit]] += np.log10((n[at[hit]] - DISCOUNT) / seen[context[hit]])
+        open_[want[hit]] = False
+        miss = known & ~hit
+        _, above = _place(h, suffix(key[miss], k))
+        total[want[miss]] += np.log10(np.where(above, inside[context[miss]], outside[context[miss]]))
+    rest = np.flatnonzero(open_)
+    total[rest] += low_logp(low, asked[rest])
+    return total

@@ -237,6 +237,29 @@ def test_scores(spark, docs, none):
     assert lm.scored(none, parts=2).count() == 0
 
 
+def test_scores_use_every_context(spark, docs, monkeypatch):
+    """The scores are those of one trie of all contexts of all training text, however the text is cut."""
+    import pyarrow as pa
+
+    from plycraft.llm import ppm
+    from plycraft.llm.common import LOWER, string_bytes
+
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    bytes_of = lambda texts: string_bytes(pa.array(texts, pa.large_string()))
+    data, offsets = bytes_of([t for i, t in rows if not held(i)])
+    g, n = ppm.counted(ppm.gram_keys(LOWER[data], offsets))
+    assert (n < 4).any()
+    trie = ppm.build({k: ppm.counted(ppm.suffix(g, k + 1), n) for k in range(ppm.ORDER + 1)})
+    data, offsets = bytes_of([t for _, t in rows])
+    want = sorted(zip([-1 if i is None else i for i, _ in rows], ppm.score(trie, LOWER[data], offsets), strict=True))
+    for parts, text in ((3, 1 << 24), (7, 1000)):
+        monkeypatch.setattr(lm, "TEXT", text, raising=False)
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in lm.scored(docs, parts=parts).select("doc_id", "score").collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-5)
+
+
 def test_conditional_probabilities_sum_to_one():
     import pyarrow as pa
 
