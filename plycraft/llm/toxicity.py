@@ -2,7 +2,8 @@
 
 A word is the bag of its byte n-grams (3 to 6, with word-boundary marks) and itself, hashed
 into buckets; its vector is the mean of the buckets' embeddings, so an unseen misspelling
-shares most of its vector with the word it distorts. A passage of ``window`` words is the
+shares most of its vector with the word it distorts. A word of more than 48 bytes counts as
+several, so text without white space is scored whole, passage by passage. A passage of ``window`` words is the
 mean of its word vectors and goes through a two-class linear softmax; embeddings and
 softmax are trained together. A document is scored by its most toxic passage, so a long
 clean text does not dilute a short insult; labels are per document, and training picks the
@@ -32,8 +33,9 @@ from .common import LOWER, crc_mod, mix, pieces_by_bytes, span_hashes, string_by
 
 BUCKETS, DIM, WINDOW, PER_CLASS = 1 << 17, 8, 8, 2000
 GRAMS = (3, 4, 5, 6)
-#: Longest part of a word that gives n-grams, in bytes; the word's own hash covers all of it.
-WORD_BYTES = 48
+#: A longer word (text without white space, say) counts as consecutive words of this many bytes,
+#: which overlap by one byte less than the longest n-gram, so that none is lost.
+WORD_BYTES, OVERLAP = 48, max(GRAMS) - 1
 
 
 @dataclass
@@ -45,7 +47,7 @@ class Model:
 
 def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket ids, word index) of the n-grams of words, sorted by word."""
-    size = np.minimum(end - start, WORD_BYTES)
+    size = end - start  # at most WORD_BYTES
     n = len(start)
     own = (span_hashes(data, start, end) % np.uint64(BUCKETS)).astype(np.int64)
     # words laid out as < bytes > in one row of fixed width
@@ -72,9 +74,18 @@ def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
     return ids[order], words[order]
 
 
+def segments(start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans, with each one longer than WORD_BYTES cut into overlapping ones that cover it."""
+    step = WORD_BYTES - OVERLAP
+    n = np.maximum(1, -(-(end - start - OVERLAP) // step))
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(start, n) + nth * step
+    return start, np.minimum(start + WORD_BYTES, np.repeat(end, n)), np.repeat(row, n)
+
+
 def unique_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end of a first occurrence of each distinct word, occurrence -> word, row of each occurrence, hashes)."""
-    start, end, row = word_spans(data, offsets)
+    start, end, row = segments(*word_spans(data, offsets))
     hashes = span_hashes(data, start, end)
     distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     return start[first], end[first], inverse, row, distinct

@@ -414,6 +414,28 @@ def test_unseen_misspellings_are_caught(spark):
     assert s[1] > 0.5 > s[2]
 
 
+def test_long_words_are_scored_whole():
+    """An insult late in a text without white space is caught, and n-grams of all of it are used."""
+    import pyarrow as pa
+
+    from plycraft.llm.common import string_bytes
+
+    r = random.Random(5)
+    bad = "摘要蠢货白痴滚开"
+    clean = lambda n: "".join(chr(r.randrange(0x5000, 0x5100)) for _ in range(n))
+    texts = [clean(120) + (bad if i % 2 else "") + clean(60) for i in range(200)]
+    model = toxicity.train(texts, np.arange(200) % 2 == 1)
+    new = [clean(2000) + "_" + clean(500), clean(2000) + bad + clean(500)]
+    got = toxicity.score_batch(model, pa.array(new))
+    assert got[0] < 0.5 < got[1], got
+    for n in (1, 47, 48, 49, 91, 92, 500):
+        data, offsets = string_bytes(pa.array(["x " + "".join(chr(r.randrange(97, 123)) for _ in range(n))]))
+        start, end, _ = toxicity.segments(np.array([2]), np.array([2 + n]), np.array([0]))
+        grams = lambda a, b: {bytes(data[i : i + 6]) for i in range(a, b - 5)}
+        assert set().union(*(grams(a, b) for a, b in zip(start, end, strict=True))) == grams(2, 2 + n)
+        assert (end - start).max() <= toxicity.WORD_BYTES and end.max() == 2 + n and len(start) == (1 if n <= 48 else len(start))
+
+
 def test_toxicity_edges(docs, none, labels):
     model = toxicity.fit(docs, labels, rounds=2)
     got = toxicity.scored(docs, model, keep=["doc_id", "kept"]).collect()
