@@ -22,8 +22,9 @@ draws 59 must agree (4.5 standard deviations below 0.8) before a pair is verifie
 pair that shares a bucket is compared or in one class already; only links leave a task.
 
 Defined results: null and empty texts, and texts of white space only, have no words and
-form one class; equal rows are copies; a null id counts as the smallest long; very long
-texts are used whole; an empty table stays empty; extra columns are not read.
+form one class; equal rows are copies; a null id counts as the smallest long; of different
+texts with the same (or no) id one goes by the id, the others by a number of 2**62 or more
+from the hash of their words, so each is compared, classed and kept by itself; very long texts are used whole; an empty table stays empty; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, materialise, mix, pieces_by_bytes, span_hashes, string_bytes, text_of, word_spans
+from .common import LOWER, fresh, materialise, mix, pieces_by_bytes, span_hashes, string_bytes, text_of, word_spans
 from .components import stars
 
 WORDS, THRESHOLD, IDF_GAIN = 5, 0.8, 0.1
@@ -188,6 +190,10 @@ def bands(drawn: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _key_columns(key: np.ndarray) -> list[pa.Array]:
+    return [pa.array(key[:, k].copy().view(np.int64)) for k in (0, 1)]
+
+
 def signatures(texts: DataFrame, sketch: np.ndarray, n: int) -> DataFrame:
     """doc_id, k1, k2 (key of the words), bands (null without words), sketch (a byte of each
     draw, packed in longs)."""
@@ -200,7 +206,7 @@ def signatures(texts: DataFrame, sketch: np.ndarray, n: int) -> DataFrame:
             drawn = draws(row, feature, weights(feature, tf, *shipped.value), rows)
             none = np.bincount(row, minlength=rows) == 0
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * h.shape[1]), pa.array(h.reshape(-1)), mask=pa.array(none)) for h in (bands(drawn), np.ascontiguousarray(drawn.astype(np.uint8)).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key[:, 0].copy().view(np.int64)), pa.array(key[:, 1].copy().view(np.int64)), *lists], names=["doc_id", "k1", "k2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_key_columns(key), *lists], names=["doc_id", "k1", "k2", "bands", "sketch"])
 
     return texts.select("d", "t").mapInArrow(work, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>")
 
@@ -210,7 +216,7 @@ def _filter_places(column: str) -> list[Column]:
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter (fixed size) of the ids in column ``rep``: their distinct places are
+    """A Bloom filter (fixed size) of the ids in column ``id``: their distinct places are
     found by Spark, and set in 64 pieces."""
     size = FILTER_BITS // CHUNKS
 
@@ -219,7 +225,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
         bits[pdf["place"].to_numpy() % size] = 1
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
 
-    places = ids.select(F.explode(F.array(*_filter_places("rep"))).alias("place")).distinct().withColumn("chunk", F.floor(F.col("place") / size).cast("int"))
+    places = ids.select(F.explode(F.array(*_filter_places("id"))).alias("place")).distinct().withColumn("chunk", F.floor(F.col("place") / size).cast("int"))
     out = np.zeros((CHUNKS, size // 8), np.uint8)
     for r in places.groupBy("chunk").applyInPandas(fill, "chunk int, bits binary").collect():  # at most 64 rows
         out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
@@ -227,10 +233,10 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def packed_features(texts: DataFrame, sketch: np.ndarray, n: int, ids: DataFrame) -> DataFrame:
-    """id, f (sorted 32-bit shingle hashes), w (their weights) of the candidates (and of a few
+    """id, k1, k2, f (sorted 32-bit shingle hashes), w (their weights) of the candidates (and of a few
     other texts that the filter lets through): what verification compares. Texts stay where
     they are read; no shuffle carries them."""
-    shipped = texts.sparkSession.sparkContext.broadcast((narrow(sketch), n, id_filter(ids)))
+    shipped = texts.sparkSession.sparkContext.broadcast((narrow(sketch), n, id_filter(ids.select("id"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, n, bits = shipped.value
@@ -240,14 +246,14 @@ def packed_features(texts: DataFrame, sketch: np.ndarray, n: int, ids: DataFrame
             batch = batch.filter(pa.array(hit))
             if not batch.num_rows:
                 continue
-            row, feature, tf, _ = features(*string_bytes(batch.column(1)))
+            row, feature, tf, key = features(*string_bytes(batch.column(1)))
             w = weights(feature, tf, sketch, n).astype(np.float32)
             short = (feature >> np.uint64(18)).astype(np.uint32)  # the leading bits: already sorted
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([short[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([w[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["id", "f", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_key_columns(key), pa.array([short[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([w[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["id", "k1", "k2", "f", "w"])
 
     one, two = _filter_places("d")
-    return texts.select("d", "t", one.alias("p1"), two.alias("p2")).mapInArrow(work, "id bigint, f binary, w binary")
+    return texts.select("d", "t", one.alias("p1"), two.alias("p2")).mapInArrow(work, "id bigint, k1 bigint, k2 bigint, f binary, w binary")
 
 
 def weighted_jaccard(f: np.ndarray, w: np.ndarray, g: np.ndarray, v: np.ndarray) -> float:
@@ -281,18 +287,32 @@ def verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, copy_of (the least id with equal words) and class_id (the least id of the
     class), for every row."""
+    return keyed_classes(docs, doc_id=doc_id, text=text, threshold=threshold, block=block).select("doc_id", "copy_of", "class_id")
+
+
+def _nodes(texts: DataFrame) -> DataFrame:
+    """``texts`` (k1, k2, least, ...) with ``rep``, a number for each text: its least id or, if
+    another text has that one too, one from its key."""
+    clash = texts.groupBy("least").agg(F.count("*").alias("_n"), F.min(F.struct("k1", "k2")).alias("_own")).where("_n > 1").select("least", "_own")
+    other = F.xxhash64("k1", "k2").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return texts.join(clash, "least", "left").withColumn("rep", F.when(F.col("_own") != F.struct("k1", "k2"), other).otherwise(F.col("least"))).drop("_own")
+
+
+def keyed_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """doc_id, k1, k2 (key of the words), rep (the text's number), copy_of, class_id."""
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), text_of(F.col(text)).alias("t"))
     sketch, n = document_frequencies(texts)
     signed = materialise(signatures(texts, sketch, n), "near-signed")
-    reps = materialise(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "sketch")).alias("s")).select("k1", "k2", "rep", "s.bands", "s.sketch"), "near-reps")
+    least = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first(F.struct("bands", "sketch")).alias("s")).select("k1", "k2", "least", "s.bands", "s.sketch")
+    reps = materialise(_nodes(least), "near-reps")
     placed = reps.where("bands is not null").select("rep", F.explode("bands").alias("key"))
     # buckets of one text are dropped before anything is joined
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     full = placed.join(shared, "key")
     central = full.groupBy("rep").agg(F.sum("n").alias("degree"))
     members = materialise(full.select("key", "rep").join(central, "rep"), "near-members")
-    ids = members.select("rep").distinct()
-    feats = materialise(packed_features(texts, sketch, n, ids).join(ids, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]), "near-feats")
+    ids = reps.select("rep", "k1", "k2", F.col("least").alias("id")).join(members.select("rep").distinct(), "rep", "left_semi")
+    feats = materialise(packed_features(texts, sketch, n, ids).join(ids, ["id", "k1", "k2"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "f", "w"), "near-feats")
 
     # 1. every member against the most central of its bucket
     hubs = members.groupBy("key").agg(F.max_by("rep", F.struct("degree", "rep")).alias("hub"))
@@ -305,8 +325,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     linked = block_links(rest, reps.select("rep", "bands", "sketch"), feats, threshold)
     label = stars(linked.unionByName(label))
 
-    copies = signed.select("doc_id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"])
-    return _in_class(copies, label, "rep", "class_id").select("doc_id", F.col("rep").alias("copy_of"), "class_id")
+    copies = signed.select("doc_id", "k1", "k2").join(reps.select("k1", "k2", "rep", F.col("least").alias("copy_of")), ["k1", "k2"])
+    return _in_class(copies, label, "rep", "class_id").select("doc_id", "k1", "k2", "rep", "copy_of", "class_id")
 
 
 def _in_class(rows: DataFrame, label: DataFrame, node: str, into: str) -> DataFrame:
@@ -353,9 +373,30 @@ def block_links(rest: DataFrame, reps: DataFrame, feats: DataFrame, threshold: f
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each class: the one with the least id."""
-    found = materialise(classes(docs, doc_id=doc_id, text=text, **how), "near-classes")
-    stay = found.where("doc_id = class_id").select(F.col("doc_id").alias("_stay")).distinct()
-    rows = docs.join(stay, F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)) == F.col("_stay"), "left_semi")
-    again = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1")
-    return rows if again.isEmpty() else rows.dropDuplicates([doc_id])
+    """One row of each class: the one with the least id. Where several rows have an id, the
+    key of their words tells which of them it is."""
+    found = materialise(keyed_classes(docs, doc_id=doc_id, text=text, **how), "near-classes")
+    stay = found.where("rep = class_id and doc_id = copy_of").select("doc_id", "k1", "k2").distinct()
+    node = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
+    kept = stay.select(F.col("doc_id").alias("_stay")).distinct()
+    rows = docs.join(kept, node == F.col("_stay"), "left_semi")
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")).join(kept, F.col("_again") == F.col("_stay"), "left_semi")
+    if again.isEmpty():
+        return rows
+    d, k1, k2 = (fresh(docs, name) for name in ("_d", "_k1", "_k2"))
+    twice = with_keys(rows.join(again, node == F.col("_again"), "left_semi").withColumn(d, node), text, k1, k2)
+    one = twice.join(stay, (F.col(d) == stay["doc_id"]) & (F.col(k1) == stay["k1"]) & (F.col(k2) == stay["k2"]), "left_semi").dropDuplicates([d, k1, k2])
+    return rows.join(again, node == F.col("_again"), "left_anti").unionByName(one.select(*docs.columns))
+
+
+def with_keys(rows: DataFrame, text: str, k1: str, k2: str) -> DataFrame:
+    """``rows`` and the 128-bit key of the words of each."""
+    t = fresh(rows, "_t")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_by_bytes(batches, t):
+            key = features(*string_bytes(batch.column(batch.num_columns - 1)))[3]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_key_columns(key)], names=[*batch.schema.names[:-1], k1, k2])
+
+    kinds = T.StructType([*rows.schema.fields, T.StructField(k1, T.LongType()), T.StructField(k2, T.LongType())])
+    return rows.withColumn(t, text_of(F.col(text))).mapInArrow(work, kinds)

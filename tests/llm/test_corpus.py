@@ -200,6 +200,17 @@ def test_near_duplicates_edges(docs, none):
     assert classes(none).count() == 0 and deduplicated(none).count() == 0
 
 
+def test_texts_with_one_id_stay_apart(spark):
+    """Different texts without an id, or with the same one, are neither one class nor dropped."""
+    near = prose(501, 200)
+    rows = [(None, prose(500, 80)), (None, near), (None, prose(502, 80)), (None, prose(500, 80)), (7, prose(503, 80)), (7, prose(504, 80)), (8, near.replace(near.split(" ")[90], "changed", 1)), (9, prose(505, 80)), (9, prose(505, 80))]
+    some = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert classes(some).select("class_id").distinct().count() == 6
+    kept = sorted(r["text"] for r in deduplicated(some).collect())
+    alone = sorted({t for _, t in rows} - {near, rows[6][1]})
+    assert len(kept) == 6 and sorted(set(kept) - {near, rows[6][1]}) == alone
+
+
 def test_draws_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     feature = np.sort(rng.integers(0, 1 << 50, 400).astype(np.uint64))
