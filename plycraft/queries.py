@@ -416,7 +416,7 @@ def archive_decisions(spark, d):
 def relation_features(spark, d):
     from .operators import encoding
 
-    return encoding.relation_features(_recorded(spark, d).where("ply > 7")).select("decision_id", F.aggregate("feats", F.lit(0), lambda a, x: a + x).alias("relations"), F.sha2(F.to_json("feats"), 256).alias("feats_sha256"))
+    return encoding.relation_features(_recorded(spark, d)).select("decision_id", F.aggregate("feats", F.lit(0), lambda a, x: a + x).alias("relations"), F.sha2(F.to_json("feats"), 256).alias("feats_sha256"))
 
 
 def _scored(spark, d):
@@ -431,7 +431,7 @@ def _scored(spark, d):
         after = board.play(encoding.legal_line(board, [row["move"]], "played")[0])
         return {"before_pv": other[:1] or [row["move"]], "after_pv": [uci(m) for m in after.legal()[:1]]}
 
-    return encoding.kernel_map(_recorded(spark, d).where("ply > 7"), lines, "before_pv array<string>; after_pv array<string>")
+    return encoding.kernel_map(_recorded(spark, d), lines, "before_pv array<string>; after_pv array<string>")
 
 
 @query()
