@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
@@ -299,7 +299,13 @@ def packets(spark, d):
 
 @query()
 def upgma(spark, d):
-    return _clusters(episodes(spark, d).orderBy("decision_id").limit(400))  # the sample bound of the operator
+    """Clusters of the operator's bounded sample; every other row goes to the nearest of them."""
+    rows = episodes(spark, d)
+    sample = sampling.round_robin(rows, 400, SEED, band=F.col("label")).cache()
+    found = _clusters(sample).cache()
+    middle = vectors.centroids(sample.drop("cluster_id").join(found, "decision_id"), "cluster_id").select(F.dense_rank().over(Window.orderBy("cluster_id")).alias("idx"), "cluster_id", "centroid")
+    rest = rows.join(sample.select("decision_id"), "decision_id", "left_anti")
+    return found.unionByName(vectors.routed(rest, middle, middle.select("cluster_id", F.lit(2.0).alias("radius"))).select("decision_id", "cluster_id"))
 
 
 def _clusters(sample):
