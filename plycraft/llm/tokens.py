@@ -7,11 +7,13 @@ files' blocks and needs nothing else than the files.
 
 Words are tokenized once: a space or newline between two other characters always starts a
 token, so a text without other white space is a list of pieces whose ids are gathered from
-a worker's table of distinct pieces. Any other text goes through the library whole. Results are those of the library.
+a worker's table of distinct pieces. Any other text, and any that holds the literal of an
+added token (an end mark, say), goes through the library whole. Results are those of the
+library as it loads the file.
 
 Defined results: null and empty texts have only the end id; repeated ids keep the order of
-their texts' hash, and equal rows are equal; a null doc_id sorts first and is kept as the
-smallest long; an empty table writes no file; extra columns are not read.
+their texts' hash, and equal rows are equal; a null doc_id sorts first (in the files it is
+the smallest long, and is null again when they are read); an empty table writes no file; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -83,9 +85,9 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.tk.encode_special_tokens = True
         with open(path, encoding="utf-8") as src:
             spec = json.load(src)
+        self.added = [x["content"].encode() for x in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
         self.split = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self._forget()
@@ -107,6 +109,16 @@ class PieceTokenizer:
         order = np.argsort(all_keys, kind="stable")
         self.keys, self.start, self.size = all_keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
 
+    def _added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that may hold an added token's literal."""
+        text, at = data.tobytes(), []
+        for literal in self.added:
+            here = text.find(literal)
+            while here >= 0:
+                at.append(here)
+                here = text.find(literal, here + 1)
+        return np.bincount(np.searchsorted(offsets, np.array(at, np.int64), "right") - 1, minlength=len(offsets) - 1) > 0
+
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """start, end, lead and row of pieces, in order."""
         start, end, row = word_spans(data, offsets)
@@ -126,7 +138,7 @@ class PieceTokenizer:
         """All ids of the texts, each followed by ``end``, and the number of ids of each."""
         data, offsets = string_bytes(column)
         rows = len(offsets) - 1
-        odd = irregular(data, offsets) if self.split else np.ones(rows, bool)
+        odd = irregular(data, offsets) | self._added(data, offsets) if self.split else np.ones(rows, bool)
         whole = np.flatnonzero(odd & (np.diff(offsets) > 0))
         start, stop, lead, row = self._pieces(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 4
         keep = ~odd[row]

@@ -318,10 +318,26 @@ def test_loser_tree():
 # ---------------------------------------------------------------- token ids
 
 
+def test_added_tokens_are_the_librarys():
+    """An added token's literal in a text is what the library, as loaded, makes of it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["end <|endoftext|> of", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c", "plain text, words", "<|endoftex t|>", "x <|endoftext|", "end <|endoftext|>\n\nof it"]
+    ids, sizes = tokens.PieceTokenizer(tokens.default_tokenizer()).encode(pa.array(texts), 7)
+    ends = np.cumsum(sizes)
+    for t, a, b in zip(texts, ends - sizes, ends, strict=True):
+        assert ids[a:b].tolist() == [*tk.encode(t, add_special_tokens=False).ids, 7]
+    assert len(tk.encode(texts[0], add_special_tokens=False).ids) == 4
+
+
 def test_token_files(spark, docs, none):
+    from tokenizers import Tokenizer
+
     folder, files = tokens.token_files(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), file_ids=5000, partitions=3)
     got = tokens.read_docs(spark, folder, files).orderBy("doc_id").collect()
-    tk = tokens.tokenizer(tokens.default_tokenizer()).tk
+    tk = Tokenizer.from_file(tokens.default_tokenizer())  # as the library loads it
     start = 0
     for r, (i, t) in zip(got, enumerate(TEXTS), strict=True):
         ids = np.array([*tk.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
