@@ -48,6 +48,38 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run of an operator, in one folder of the shared folder. A table is
+    dropped once everything that was derived from it has been written: until then a lost
+    executor may have to read it again."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.names = spark, workspace(spark, name), {}
+
+    def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        """Write and read back; a name may come again, and then means the newer table."""
+        self.names[name] = self.names.get(name, -1) + 1
+        path = self._path(name, self.names[name])
+        df.write.option("compression", codec).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _path(self, name: str, version: int) -> str:
+        return f"{self.folder}/{name}-{version}"
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(self._path(name, self.names[name]))
+
+    def drop_older(self, name: str) -> None:
+        """The table that ``name`` meant before its last writing."""
+        if self.names[name]:
+            self._delete(self._path(name, self.names[name] - 1))
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a shared-folder URI, usable in executors' tasks."""
     from pyarrow import fs
@@ -143,16 +175,16 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces_by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces_by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """Cut batches so that numpy temporaries stay small: at most ``limit`` bytes of the
-    column in a piece, or one row if that row alone is longer."""
+    column in a piece, or one row if that row alone is longer, and at most ``rows`` rows."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(lengths)
         row, done = 0, 0
         while row < batch.num_rows:
-            to = max(row + 1, int(np.searchsorted(ends, done + limit, "right")))
+            to = min(max(row + 1, int(np.searchsorted(ends, done + limit, "right"))), row + rows)
             yield batch.slice(row, to - row)
             row, done = to, int(ends[to - 1])
 

@@ -1,18 +1,16 @@
 """Language-model scoring: PPM pretrained on the training fold, beside a unigram base.
 
-Counting reads all training text once. A task adds up its words and its packed byte grams
-in numpy and sends them out as sorted blobs, dealt by hash (words) or by the context's last
-three bytes (grams); so each distinct key of a task crosses the shuffle once, and each part
-is merged in one place whose size falls with the number of parts. Every gram is kept: the
-model grows with the text. Only tables of bounded size go everywhere: at most ``HEAVY``
-frequent words, and the contexts of up to two bytes.
-
-Scoring reads all text once. Frequent words are looked up at once, and every other token is
-sent, as (hash, row) in blobs, to the part that holds its count, from where sums per document
-come back. The distinct grams of ``TEXT`` bytes of text at a time are sent to the parts that
-hold their contexts of three to six bytes, and their log10 probabilities come back to the
-text, where each document's are added up. Nothing is dropped: the base score uses the exact
-count of every token, the score the exact counts of every context.
+All text is read once, in blocks of about ``TEXT`` bytes. Of each block, the distinct words
+and the distinct byte grams go out as packed, sorted keys with their counts in the block's
+training rows (0 if only held-out rows have them), dealt by hash (words) or by the context's
+last three bytes (grams). Each part adds its blocks' counts up, and then answers each block:
+the counts of its words, the log10 probabilities of its grams. A block's answers meet its
+text again, where they are added up for each document. So keys cross a shuffle once per
+block, not once per occurrence, nothing is dropped or capped, and the model grows with the
+text. Only the contexts of up to two bytes (at most 256**2) are tabulated in one place.
+
+A part that many blocks ask is split by block: counts are first added up per split, and the
+sums are sent to every split of the part to answer there.
 
 Words are known by 64-bit hashes. The model predicts lower-cased (A-Z) bytes, spaces
 included, and the end of the text.
@@ -31,27 +29,56 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ppm
-from .common import LOWER, crc_mod, filesystem, materialise, mix, pieces_by_bytes, put_file, shuffle_partitions, span_hashes, string_bytes, text_of, word_spans, workspace
+from .common import LOWER, Scratch, crc_mod, filesystem, mix, pieces_by_bytes, put_file, shuffle_partitions, span_hashes, string_bytes, text_of, word_spans, workspace
 
-#: Bound of what is broadcast: words (12 bytes each).
-HEAVY = 1 << 18
-#: Bytes of text whose distinct grams are asked for together.
-TEXT = 16 << 20
-#: Distinct keys that a task holds before it sends them out.
-HELD = 2_000_000
-BLOBS = "kind string, part int, degree int, total bigint, distinct bigint, keys binary, counts binary"
+#: Bytes of text in a block.
+TEXT = 8 << 20
+#: Keys that one split of a part is asked, about.
+ASKED = 1 << 23
 
 
-def level(counts: np.ndarray) -> np.ndarray:
-    """Histogram bin of a count: sixteen to an octave."""
-    return np.floor(np.log2(np.maximum(counts, 1)) * 16).astype(np.int64)
+# ---------------------------------------------------------------- packing
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return zlib.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _values(blob: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as compressed differences, byte by byte."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_values(blob, np.uint64), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    return _planes(np.asarray(counts, np.int64))
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    return _values(blob, np.int64)
+
+
+def _together(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of all blobs, one after the other."""
+    keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+    counts = [unpack_counts(x) for x in table.column("counts").to_pylist()]
+    return (np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+# ---------------------------------------------------------------- blocks
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,116 +86,100 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return span_hashes(data, start, end), row
 
 
-def _dealt(kind: str, keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> list[tuple]:
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else []
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-        at = order[a:b]
-        out.append((kind, int(part[at[0]]), 0, int(counts[at].sum()), len(at), keys[at].tobytes(), counts[at].astype(np.int64).tobytes()))
-    return out
+def word_part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (hashes % np.uint64(parts)).astype(np.int64)
 
 
-def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+def gram_part(grams: np.ndarray, parts: int) -> np.ndarray:
     """The part that holds a gram's context and its suffixes down to three bytes."""
     return (mix(ppm.suffix(grams >> np.uint64(8), ppm.LOW + 1)) % np.uint64(parts)).astype(np.int64)
 
 
-def count_blobs(docs: DataFrame, parts: int) -> DataFrame:
-    """Word and gram counts of ``docs`` (column t), a blob per task and part."""
+PART = {"w": word_part, "g": gram_part}
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {"w": [], "g": []}
-        rows = 0
-
-        def send(kind: str) -> pa.RecordBatch:
-            keys, counts = ppm.counted(np.concatenate([k for k, _ in held[kind]]), np.concatenate([n for _, n in held[kind]]))
-            held[kind] = []
-            return _batch(_dealt(kind, keys, counts, (keys % np.uint64(parts)).astype(np.int64) if kind == "w" else part_of(keys, parts)))
-
-        for batch in pieces_by_bytes(batches, "t", 2 << 20):
-            rows += batch.num_rows
-            data, offsets = string_bytes(batch.column(0))
-            data = LOWER[data]
-            held["w"].append(ppm.counted(_words(data, offsets)[0]))
-            held["g"].append(ppm.counted(ppm.gram_keys(data, offsets)))
-            for kind in held:
-                if sum(len(k) for k, _ in held[kind]) > HELD:
-                    merged = ppm.counted(np.concatenate([k for k, _ in held[kind]]), np.concatenate([n for _, n in held[kind]]))
-                    held[kind] = [merged]
-                    if len(merged[0]) > HELD:
-                        yield send(kind)
-        if rows:
-            yield from (send(kind) for kind in held if held[kind])
-            yield _batch([("n", 0, 0, rows, 1, b"", b"")])
-
-    return docs.select("t").mapInArrow(work, BLOBS)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "part", "degree", "total", "distinct", "keys", "counts"])
-
-
-def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    if not len(pdf):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]]), np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]])
-
-
-def merge_parts(blobs: DataFrame) -> DataFrame:
-    """One blob per part: all words; all grams; and, per order, the grams of the low orders
-    (which span parts, and are added up when used)."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, part = pdf["kind"].iloc[0], int(pdf["part"].iloc[0])
-        if kind == "n":
-            return pd.DataFrame([(kind, part, 0, int(pdf["total"].sum()), 1, b"", b"")], columns=NAMES)
-        keys, counts = ppm.counted(*_unpack(pdf))
-        if kind == "w":
-            return pd.DataFrame([(kind, part, 0, int(counts.sum()), len(keys), keys.tobytes(), counts.tobytes())], columns=NAMES)
-        rows = []
-        for k in (ppm.ORDER, *range(ppm.LOW, -1, -1)):
-            keys, counts = ppm.counted(ppm.suffix(keys, k + 1), counts)
-            rows.append((kind, part, k, int(counts.sum()), len(keys), keys.tobytes(), counts.tobytes()))
-        return pd.DataFrame(rows, columns=NAMES)
 
-    NAMES = [x.split()[0] for x in BLOBS.split(", ")]
-    return blobs.groupBy("kind", "part").applyInPandas(merge, BLOBS)
+def by_part(kind: str, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of distinct ascending keys by part, the parts there are, where each begins)."""
+    part = PART[kind](keys, parts)
+    order = np.argsort(part, kind="stable")
+    which, begin = np.unique(part[order], return_index=True)
+    return order, which, np.r_[begin, len(order)]
 
 
-def histogram(merged: DataFrame) -> pd.DataFrame:
-    """bin, n: words by count."""
+def distinct_counts(keys: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct keys, with their counts among those that are not held out."""
+    own, n = ppm.counted(keys[~held])
+    every = ppm.distinct(np.concatenate([own, ppm.distinct(keys[held])]))
+    counts = np.zeros(len(every), np.int64)
+    counts[np.searchsorted(every, own)] = n
+    return every, counts
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for counts in pdf["counts"]:
-                bins, number = np.unique(level(np.frombuffer(counts, np.int64)), return_counts=True)
-                yield pd.DataFrame({"bin": bins, "n": number.astype(np.int64)})
 
-    rows = merged.where("kind = 'w'").select("counts").mapInPandas(work, "bin bigint, n bigint")
-    return rows.groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # a few hundred bins
+BLOCK = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("row", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("held", pa.binary()), ("none", pa.binary())])
+BLOCK_SQL = "kind string, part int, row bigint, n bigint, keys binary, counts binary, ids binary, held binary, none binary"
 
 
-def cut_at(bins: pd.DataFrame, most: int) -> int:
-    """The lowest bin from which on at most ``most`` things lie."""
-    bins = bins.sort_values("bin", ascending=False)
-    ok = bins["n"].cumsum() <= most
-    return int(bins["bin"][ok].min()) if ok.any() else 1 << 40
+def blocks(docs: DataFrame, parts: int) -> DataFrame:
+    """``docs``: d, h, t. Rows of a block (``row``): its text (kind t, with the sizes, ids,
+    held-out marks and null marks of its documents; n: training rows) and its words (w) and
+    grams (g) by part."""
 
+    def block(row: int, batches: list[tuple]) -> pa.RecordBatch:
+        data = np.concatenate([b[0] for b in batches])
+        sizes, held = np.concatenate([b[1] for b in batches]), np.concatenate([b[2] for b in batches])
+        offsets = np.r_[0, np.cumsum(sizes)]
+        rows = [("t", None, row, int((~held).sum()), zlib.compress(data.tobytes(), 1), sizes.tobytes(), b"".join(b[3] for b in batches), held.tobytes(), b"".join(b[4] for b in batches))]
+        hashes, owner = _words(data, offsets)
+        for kind, keys, own in (("w", hashes, held[owner]), ("g", ppm.gram_keys(data, offsets), np.repeat(held, sizes + 1))):
+            keys, counts = distinct_counts(keys, own)
+            order, which, cut = by_part(kind, keys, parts)
+            for part, a, b in zip(which.tolist(), cut[:-1], cut[1:], strict=True):
+                at = order[a:b]
+                rows.append((kind, part, row, len(at), pack_keys(keys[at]), pack_counts(counts[at]), None, None, None))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), BLOCK, strict=True)], schema=BLOCK)
 
-def frequent(merged: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words of the chosen bins, on the driver: at most HEAVY."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = first = TaskContext.get().partitionId() << 33
+        held: list[tuple] = []
+        size = 0
+        for batch in pieces_by_bytes(batches, "t", 1 << 20):
+            data, offsets = string_bytes(batch.column(2))
+            if held and size + len(data) > TEXT:
+                yield block(first, held)
+                held, size, first = [], 0, row
+            ids = batch.column(0)
+            held.append((LOWER[data], np.diff(offsets), batch.column(1).to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes()))
+            size, row = size + len(data), row + batch.num_rows
+        if held:
+            yield block(first, held)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for r in pdf.itertuples():
-                keys, counts = np.frombuffer(r.keys, np.uint64), np.frombuffer(r.counts, np.int64)
-                keep = level(counts) >= least
-                yield pd.DataFrame({"keys": [keys[keep].tobytes()], "counts": [counts[keep].tobytes()]})
+    return docs.select("d", "h", "t").mapInArrow(work, BLOCK_SQL)
 
-    return ppm.counted(*_unpack(merged.where("kind = 'w'").select("keys", "counts").mapInPandas(work, "keys binary, counts binary").toPandas()))
+
+# ---------------------------------------------------------------- the model
+
+MERGED = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("degree", pa.int32()), ("total", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+MERGED_SQL = "kind string, part int, degree int, total bigint, n bigint, keys binary, counts binary"
+
+
+def _merged(table: pa.Table, degrees: bool) -> pa.Table:
+    kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
+    keys, counts = ppm.counted(*_together(table))
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    rows = []
+    for k in (ppm.ORDER, *range(ppm.LOW, -1, -1)) if degrees and kind == "g" else (ppm.ORDER,):
+        if k < ppm.ORDER:
+            keys, counts = ppm.counted(ppm.suffix(keys, k + 1), counts)
+        rows.append((kind, part, k, int(counts.sum()), len(keys), pack_keys(keys), pack_counts(counts)))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MERGED, strict=True)], schema=MERGED)
+
+
+def merged_parts(rows: DataFrame) -> DataFrame:
+    """One blob per part (degree ORDER): all words of training, or all grams; and, per low
+    order, the grams of that order (which span parts, and are added up when used). ``rows``:
+    kind, part, split, keys, counts."""
+    some = rows.groupBy("kind", "part", "split").applyInArrow(lambda t: _merged(t, False), MERGED_SQL)
+    return some.groupBy("kind", "part").applyInArrow(lambda t: _merged(t, True), MERGED_SQL)
 
 
 def build_low(merged: DataFrame) -> str:
@@ -176,15 +187,16 @@ def build_low(merged: DataFrame) -> str:
     the shared folder, from where each worker loads them once."""
     path = f"{workspace(merged.sparkSession, 'lm-low')}/low.npz"
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = ppm.build_low({int(k): ppm.counted(*_unpack(rows)) for k, rows in pdf.groupby("degree")})
+    def build(table: pa.Table) -> pa.Table:
+        degree = table.column("degree").to_numpy()
+        low = ppm.build_low({int(k): ppm.counted(*_together(table.filter(pa.array(degree == k)))) for k in np.unique(degree)})
         out = io.BytesIO()
         np.savez(out, logp=low.logp, cls=low.cls, **{f"{name}{k}": x for k, pair in enumerate(low.grams) for name, x in zip("gn", pair, strict=True)})
         put_file(path, out.getvalue())
-        return pd.DataFrame({"contexts": [len(low.logp)]})
+        return pa.table({"contexts": pa.array([len(low.logp)], pa.int64())})
 
     rows = merged.where((F.col("kind") == "g") & (F.col("degree") <= ppm.LOW)).select("degree", "keys", "counts")
-    return path if rows.groupBy(F.lit(0).alias("all")).applyInPandas(build, "contexts bigint").collect() else ""
+    return path if rows.groupBy(F.lit(0).alias("all")).applyInArrow(build, "contexts bigint").collect() else ""
 
 
 _lows: dict[str, ppm.Low] = {}
@@ -203,16 +215,10 @@ def load_low(path: str) -> ppm.Low:
     return _lows[path]
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as compressed differences, byte by byte."""
-    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def unpack_keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+# ---------------------------------------------------------------- scoring
 
 
-def text_pieces(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def text_pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes, or of one row."""
     row = 0
     while row < len(offsets) - 1:
@@ -221,137 +227,75 @@ def text_pieces(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int
         row = to
 
 
-def by_part(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order of distinct ascending grams by part, the parts there are, where each begins)."""
-    part = part_of(grams, parts)
-    order = np.argsort(part, kind="stable")
-    which, begin = np.unique(part[order], return_index=True)
-    return order, which, begin
-
-
-ROWS = pa.schema([
-    ("kind", pa.string()), ("part", pa.int32()), ("row", pa.int64()), ("d", pa.int64()), ("h", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
-    ("keys", pa.binary()), ("rows", pa.binary()),
-])
-
-
-def _rows(n: int, **columns) -> pa.RecordBatch:
-    """A batch of ROWS; columns that are not given are null."""
-    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in ROWS], schema=ROWS)
+def _looked_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[at], 0)
 
 
 def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 10, parts: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     parts = parts or shuffle_partitions(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("d"), (crc_mod(F.col(doc_id), folds) == 0).alias("h"), text_of(F.col(text)).alias("t"))
-    merged = materialise(merge_parts(count_blobs(base.where(~F.col("h")), parts)), "lm-counts")
-    sums = merged.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).toPandas().set_index("kind")  # three rows
-    of = lambda kind, what: int(sums[what].get(kind, 0))
-    ends = of("n", "total")
-    n_all, n_distinct = of("w", "total") + ends, of("w", "distinct") + (ends > 0)
-    heavy, heavy_n = frequent(merged, cut_at(histogram(merged), HEAVY))
+    read = scratch.table(blocks(base, parts), "blocks")
+    asked = read.where("kind <> 't'").select("kind", "part", "row", "n", "keys", "counts")
+    splits = asked.groupBy("kind", "part").agg(F.ceil(F.sum("n") / ASKED).alias("splits"))  # a row a part
+    asked = asked.join(F.broadcast(splits), ["kind", "part"]).withColumn("split", F.pmod(F.xxhash64("row"), F.col("splits")))
+    merged = scratch.table(merged_parts(asked.select("kind", "part", "split", "keys", "counts")), "merged")
+    sums = {r["kind"]: r for r in merged.where(F.col("degree") == ppm.ORDER).groupBy("kind").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()}  # two rows
+    ends = read.where("kind = 't'").agg(F.sum("n")).first()[0] or 0
+    n_all, n_distinct = (sums["w"]["total"] + ends, sums["w"]["n"] + (ends > 0)) if "w" in sums else (ends, int(ends > 0))
     low_path = build_low(merged)
-    shipped = spark.sparkContext.broadcast((heavy, heavy_n))
-
-    def ask_grams(texts: list[bytes], sizes: list[np.ndarray], grams: np.ndarray, key: int) -> pa.RecordBatch:
-        """The text (part null), and its distinct grams by part; ``row`` is its first row."""
-        order, which, begin = by_part(grams, parts)
-        n = len(which)
-        blobs = [pack_keys(grams[order[a:b]]) for a, b in zip(begin, [*begin[1:], len(order)], strict=True)]
-        return _rows(n + 1, kind=pa.array(["t"] + ["g"] * n), part=pa.array([None, *which.tolist()], pa.int32()), row=pa.array([key] * (n + 1), pa.int64()), keys=pa.array([zlib.compress(b"".join(texts), 1), *blobs], pa.binary()), rows=pa.array([np.concatenate(sizes).tobytes()] + [None] * n, pa.binary()))
+    per_token = math.log10(n_all + 0.1 * (n_distinct + 1))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, heavy_n = shipped.value
-        key = first_key = TaskContext.get().partitionId() << 33
-        texts, sizes, grams = [], [], np.zeros(0, np.uint64)
-        for batch in pieces_by_bytes(batches, "t", 2 << 20):
-            data, offsets = string_bytes(batch.column(2))
-            data, rows = LOWER[data], batch.num_rows
-            if texts and sum(map(len, texts)) + len(data) > TEXT:
-                yield ask_grams(texts, sizes, grams, first_key)
-                texts, sizes, grams, first_key = [], [], np.zeros(0, np.uint64), key
-            texts.append(data.tobytes())
-            sizes.append(np.diff(offsets))
-            grams = np.union1d(grams, ppm.gram_keys(data, offsets))
-            hashes, row = _words(data, offsets)
-            distinct, inverse = np.unique(hashes, return_inverse=True)
-            at = np.minimum(np.searchsorted(heavy, distinct), max(len(heavy) - 1, 0))
-            hit = heavy[at] == distinct if len(heavy) else np.zeros(len(distinct), bool)
-            value = np.where(hit, np.log10((heavy_n[at] if len(heavy) else np.zeros(len(at))) + 0.1), 0.0)
-            known = hit[inverse]
-            yield _rows(
-                rows, row=pa.array(key + np.arange(rows)), d=batch.column(0), h=batch.column(1), n_tokens=pa.array(np.bincount(row, minlength=rows) + 1),
-                n_known=pa.array(np.bincount(row, known, rows).astype(np.int64) + (ends > 0)), base=pa.array(np.bincount(row, value[inverse], rows) + math.log10(ends + 0.1)),
-            )
-            ask, who = hashes[~known], row[~known].astype(np.int32)
-            part = (ask % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-            if len(cuts):
-                spans = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-                n = len(spans)
-                yield _rows(n, kind=pa.array(["w"] * n), part=pa.array([int(part[s[0]]) for s in spans], pa.int32()), row=pa.array([key] * n, pa.int64()), keys=pa.array([ask[s].tobytes() for s in spans], pa.binary()), rows=pa.array([who[s].tobytes() for s in spans], pa.binary()))
-            key += rows
-        if texts:
-            yield ask_grams(texts, sizes, grams, first_key)
-
-    first = materialise(base.mapInArrow(work, "kind string, part int, row bigint, d bigint, h boolean, n_tokens bigint, n_known bigint, base double, keys binary, rows binary"), "lm-rows")
-
-    def gram_answer(asked: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        """The log10 probabilities of the asked grams, in their order."""
-        low = load_low(low_path)
-        keys, counts = _unpack(have)  # one blob: sorted
-        grams = [unpack_keys(x) for x in asked["keys"]]
-        wanted = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-        value = ppm.answers(keys, counts, low, wanted).astype(np.float32)
-        return pd.DataFrame({"row": asked["row"].astype(np.int64), "part": asked["part"].astype(np.int32), "logp": [value[np.searchsorted(wanted, g)].tobytes() for g in grams]})
-
-    def add_up(text: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        """The score of each row of a text."""
-        data, sizes = np.frombuffer(zlib.decompress(text["keys"].iloc[0]), np.uint8), np.frombuffer(text["rows"].iloc[0], np.int64)
-        offsets = np.r_[0, np.cumsum(sizes)]
-        grams = np.zeros(0, np.uint64)
-        for a, b in text_pieces(offsets):
-            grams = np.union1d(grams, ppm.gram_keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-        value = np.empty(len(grams), np.float32)
-        value[by_part(grams, parts)[0]] = np.concatenate([np.frombuffer(x, np.float32) for x in got.sort_values("part")["logp"]])
-        score = np.empty(len(sizes))
+    def answer(asked: pa.Table, have: pa.Table) -> pa.Table:
+        """What a split of a part is asked, in the order of its keys: counts of words, or
+        log10 probabilities of grams."""
+        keys, counts = _together(have)  # one blob: sorted
+        wanted = [unpack_keys(x) for x in asked.column("keys").to_pylist()]
+        if asked.num_rows and asked.column("kind")[0].as_py() == "g":
+            every = ppm.distinct(np.concatenate(wanted))
+            value = ppm.answers(keys, counts, load_low(low_path), every).astype(np.float32)
+            blobs = [value[np.searchsorted(every, w)].tobytes() for w in wanted]
+        else:
+            blobs = [pack_counts(_looked_up(keys, counts, w)) for w in wanted]
+        return pa.table({c: asked.column(c) for c in ("kind", "part", "row")} | {"values": pa.array(blobs, pa.binary())})
+
+    def add_up(block: pa.Table, got: pa.Table) -> pa.Table:
+        """The scores of the documents of a block."""
+        one = {c: block.column(c)[0].as_py() for c in ("keys", "counts", "ids", "held", "none")}
+        data, sizes = np.frombuffer(zlib.decompress(one["keys"]), np.uint8), np.frombuffer(one["counts"], np.int64)
+        offsets, rows = np.r_[0, np.cumsum(sizes)], len(sizes)
+        got = got.sort_by([("kind", "ascending"), ("part", "ascending")])
+        kinds, values = got.column("kind").to_pylist(), got.column("values").to_pylist()
+
+        def placed(kind: str, keys: np.ndarray, unpack) -> np.ndarray:
+            found = [unpack(v) for k, v in zip(kinds, values, strict=True) if k == kind]
+            out = np.zeros(len(keys), found[0].dtype if found else np.int64)
+            out[by_part(kind, keys, parts)[0]] = np.concatenate(found) if found else 0
+            return out
+
+        hashes, owner = _words(data, offsets)
+        words, inverse = np.unique(hashes, return_inverse=True)
+        count = placed("w", words, unpack_counts)
+        known = np.bincount(owner, (count > 0)[inverse], rows).astype(np.int64) + (ends > 0)
+        total = np.bincount(owner, np.log10(count + 0.1)[inverse], rows) + math.log10(ends + 0.1)
+        tokens = np.bincount(owner, minlength=rows) + 1
+        grams = ppm.gram_keys(data, offsets)
+        every = ppm.distinct(grams)
+        logp = placed("g", every, lambda v: np.frombuffer(v, np.float32)).astype(np.float64)
+        begin, score = np.r_[0, np.cumsum(sizes + 1)], np.zeros(rows)
         for a, b in text_pieces(offsets):
-            keys, inverse = np.unique(ppm.gram_keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), return_inverse=True)
-            begin = np.r_[0, np.cumsum(sizes[a : b] + 1)[:-1]]
-            score[a:b] = np.add.reduceat(value[np.searchsorted(grams, keys)][inverse].astype(np.float64), begin)
-        return pd.DataFrame({"row": int(text["row"].iloc[0]) + np.arange(len(sizes)), "score": score})
-
-    def answer(asked: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _unpack(have)
-        sums, found, rows = [], [], []
-        for r in asked.itertuples():
-            h, who = np.frombuffer(r.keys, np.uint64), np.frombuffer(r.rows, np.int32)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                c = np.where(keys[at] == h, counts[at], 0)
-            else:
-                c = np.zeros(len(h), np.int64)
-            who_of, inverse = np.unique(who, return_inverse=True)
-            rows.append(r.row + who_of.astype(np.int64))
-            sums.append(np.bincount(inverse, np.log10(c + 0.1)))
-            found.append(np.bincount(inverse, c > 0).astype(np.int64))
-        if not rows:
-            return pd.DataFrame({"row": np.zeros(0, np.int64), "n_known": np.zeros(0, np.int64), "base": np.zeros(0)})
-        return pd.DataFrame({"row": np.concatenate(rows), "n_known": np.concatenate(found), "base": np.concatenate(sums)})
-
-    def asked(kind: str):
-        return first.where(F.col("kind") == kind).select("part", "row", "keys", "rows").groupBy("part")
-
-    def have(kind: str):
-        return merged.where((F.col("kind") == kind) & F.col("degree").isin(0 if kind == "w" else ppm.ORDER)).select("part", "keys", "counts").groupBy("part")
-
-    answers = asked("w").cogroup(have("w")).applyInPandas(answer, "row bigint, n_known bigint, base double")
-    logp = asked("g").cogroup(have("g")).applyInPandas(gram_answer, "row bigint, part int, logp binary")
-    scores = first.where("kind = 't'").select("row", "keys", "rows").groupBy("row").cogroup(logp.groupBy("row")).applyInPandas(add_up, "row bigint, score double")
-    own = first.where("kind is null").select("row", "d", "h", "n_tokens", "n_known", "base")
-    both = own.unionByName(answers, allowMissingColumns=True).unionByName(scores, allowMissingColumns=True)
-    whole = both.groupBy("row").agg(F.max("d").alias("doc_id"), F.max("h").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.max("score").alias("score"))
-    per_token = math.log10(n_all + 0.1 * (n_distinct + 1))
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"), "score")
+            keys, inverse = np.unique(grams[begin[a] : begin[b]], return_inverse=True)
+            score[a:b] = np.add.reduceat(logp[np.searchsorted(every, keys)][inverse], begin[a:b] - begin[a])
+        ids = pa.array(np.frombuffer(one["ids"], np.int64), mask=np.frombuffer(one["none"], bool))
+        columns = [ids, pa.array(np.frombuffer(one["held"], bool)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(rows, n_all), pa.int64()), pa.array(total - tokens * per_token), pa.array(score)]
+        return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    have = merged.where(F.col("degree") == ppm.ORDER).join(F.broadcast(splits), ["kind", "part"]).withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
+    key = ["kind", "part", "split"]
+    answers = asked.select(*key, "row", "keys").groupBy(*key).cogroup(have.select(*key, "keys", "counts").groupBy(*key)).applyInArrow(answer, "kind string, part int, row bigint, values binary")
+    texts = read.where("kind = 't'").select("row", "keys", "counts", "ids", "held", "none")
+    return texts.groupBy("row").cogroup(answers.groupBy("row")).applyInArrow(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

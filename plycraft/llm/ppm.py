@@ -33,18 +33,22 @@ def gram_keys(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.n
     """A packed (order + 1)-gram for every predicted symbol: each text is preceded by
     ``order`` start bytes and followed by the end symbol."""
     n, rows = len(data), len(offsets) - 1
+    if not rows:
+        return np.zeros(0, np.uint64)
     sizes = np.diff(offsets)
     begin = offsets[:-1] + np.arange(rows) * (order + 1) + order
-    out = np.full(n + rows * (order + 1), START, np.uint8)
-    at = np.arange(n) + np.repeat(begin - offsets[:-1], sizes)
-    out[at] = data
+    out = np.full(n + rows * (order + 1) + 8, START, np.uint8)
+    out[np.arange(n) + np.repeat(begin - offsets[:-1], sizes)] = data
     out[begin + sizes] = END
-    wide = out.astype(np.uint64)
-    key = np.zeros(len(out) - order, np.uint64)
-    for j in range(order + 1):
-        key = (key << np.uint64(8)) | wide[j : len(out) - order + j]
-    last = out[order:]
-    return key[last != START] if rows else key[:0]
+    windows = np.ndarray((n + rows * (order + 1) - order,), ">u8", out, strides=(1,))
+    key = windows.astype(np.uint64) >> np.uint64(8 * (7 - order))
+    return key[out[order : len(out) - 8] != START]
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys, ascending."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
 
 
 def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +59,7 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
         keys = np.sort(keys)
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         return keys[first], np.diff(np.r_[first, len(keys)])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[first], np.add.reduceat(counts, first)
@@ -193,6 +197,10 @@ class Low:
     logp: np.ndarray
     cls: np.ndarray
 
+    def __post_init__(self):
+        self.contexts = [distinct(g >> np.uint64(8)) for g, _ in self.grams]
+        self.base = np.cumsum([0, max(1, len(self.contexts[0])), *(len(c) for c in self.contexts[1:])])
+
 
 def build_low(grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> Low:
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -212,12 +220,10 @@ def _place(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def low_logp(low: Low, keys: np.ndarray) -> np.ndarray:
     """log10 probability of each gram's last byte after the longest low context it has."""
     row, open_ = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
-    contexts = [np.unique(g >> np.uint64(8)) for g, _ in low.grams]
-    base = np.cumsum([0, max(1, len(contexts[0])), *(len(c) for c in contexts[1:])])
     for k in range(LOW, 0, -1):
-        at, hit = _place(contexts[k], suffix(keys >> np.uint64(8), k))
+        at, hit = _place(low.contexts[k], suffix(keys >> np.uint64(8), k))
         hit &= open_
-        row[hit] = base[k] + at[hit]
+        row[hit] = low.base[k] + at[hit]
         open_ &= ~hit
     return low.logp[row, low.cls[suffix(keys, 1).astype(np.int64)]].astype(np.float64)
 
