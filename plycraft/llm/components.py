@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,18 +22,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def stars(edges: DataFrame) -> DataFrame:
+def stars(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataFrame:
     """(u, v) for every node u that is not the least of its component, v being the least.
 
     ``edges``: pairs (u, v) of ids. Minima are aggregated before the shuffle and joined
     back, so a node with very many neighbours is a skewed join, which AQE splits, and never
-    a collected list. Each round is written to the shared folder; the number of rounds
-    grows with the logarithm of a component's size."""
-    now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    a collected list. Each round is written to ``scratch`` and the round before it dropped;
+    the number of rounds grows with the logarithm of a component's size."""
+    now = scratch.table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
     last = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == last or not mark[0]:
             return now
         last = tuple(mark)
-        now = materialise(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = scratch.table(_small_star(_large_star(now).distinct()).distinct(), name)
+        scratch.drop_older(name)

@@ -3,9 +3,8 @@ verified by weighted Jaccard similarity.
 
 Texts with equal words (A-Z lower-cased) are copies; one of each, the least id, stands for
 them. A text's features are its five-word shingles (its words as one, if fewer), weighted
-by count times a damped inverse document frequency: 1 for the commonest shingle, up to
-1 + ``IDF_GAIN`` for the rarest, so boilerplate counts less and near copies of popular texts
-stay near. Frequencies come from all texts, through a two-row count sketch of fixed size.
+by count times inverse document frequency, 1 + ``gain`` * ln(N / df) / ln N. Frequencies
+come from all texts, through a two-row count sketch of fixed size.
 
 ICWS draws a shingle and a level with probability in proportion to its weight, so two
 texts draw the same with the probability of their weighted Jaccard similarity. Draws are
@@ -13,18 +12,22 @@ binned: a round deals shingles to 16 bins by hash and draws once in each bin (an
 takes another's draw in a fixed order); six rounds give 96 draws, 24 bands of 4. At
 similarity 0.8 a pair shares no band with probability about 3e-6.
 
-Candidates are verified exactly, without listing all pairs of a bucket. Each bucket's
-members are first compared with its most central member (the one whose buckets are the
-fullest: an original rather than one of its copies), and verified links are contracted to
-components. What is left are pairs of *different* components in a bucket. Buckets are dealt
-into blocks, and pairs of blocks compare them inside a task, each pair once; of 96 one-byte
-draws 59 must agree (4.5 standard deviations below 0.8) before a pair is verified. So every
-pair that shares a bucket is compared or in one class already; only links leave a task.
+Every pair of texts that shares a band is verified exactly or is in one class already; no
+pair is judged by its draws. Texts are first compared with one other each, the most central
+member of their buckets (whose own buckets are the fullest: an original rather than one of
+its copies), and verified links are contracted to components. What is left are pairs of
+*different* components in a bucket. Buckets of the same members count once. In a bucket, the
+members of its largest component are the major side, all others the minor side; only minor
+members are compared with anything, in groups of at most ``block`` of either side, so a
+group is bounded whatever the bucket's size, and texts that are all in one component are not
+copied for it. A group is a run of sorted rows in a task; a text's features cross the
+shuffle once for each group that it is in, and only links leave the task.
 
 Defined results: null and empty texts, and texts of white space only, have no words and
 form one class; equal rows are copies; a null id counts as the smallest long; of different
 texts with the same (or no) id one goes by the id, the others by a number of 2**62 or more
-from the hash of their words, so each is compared, classed and kept by itself; very long texts are used whole; an empty table stays empty; extra columns are not read.
+from the hash of their words, so each is compared, classed and kept by itself; very long
+texts are used whole; an empty table stays empty; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, fresh, materialise, mix, pieces_by_bytes, span_hashes, string_bytes, text_of, word_spans
+from .common import LOWER, Scratch, fresh, mix, pieces_by_bytes, span_hashes, string_bytes, text_of, word_spans
 from .components import stars
 
 WORDS, THRESHOLD, IDF_GAIN = 5, 0.8, 0.1
@@ -49,10 +52,8 @@ CHUNKS, SPREAD = 64, 1024
 #: Bits of the filter of candidate ids (2 MB): a fuller one lets more texts through, no fewer.
 FILTER_BITS = 1 << 24
 NULL_ID = -(1 << 63)
-#: Of 96 draws, how many one-byte images must agree before a pair is verified.
-AGREE = 59
-#: Members of a bucket that one side of a comparison holds.
-BLOCK = 1024
+#: Texts that one side of a group holds.
+BLOCK = 256
 _FEATURE = np.uint64((1 << 50) - 1)
 #: For an empty bin, the order in which the others are asked.
 _ASK = np.stack([np.r_[b, np.random.Generator(np.random.PCG64(b)).permutation(np.delete(np.arange(BINS), b))] for b in range(BINS)])
@@ -94,8 +95,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (packed >> np.uint64(50)).astype(np.int64), packed & _FEATURE, tf, key
 
 
+def short(feature: np.ndarray) -> np.ndarray:
+    """The leading 32 bits of features: what verification compares, sorted as they are."""
+    return (feature >> np.uint64(18)).astype(np.uint32)
+
+
 def _cells(feature: np.ndarray) -> list[np.ndarray]:
-    a = mix(feature + np.uint64(101))
+    """The sketch's cells of short features."""
+    a = mix(feature.astype(np.uint64) + np.uint64(101))
     return [(a & np.uint64(SKETCH - 1)).astype(np.int64), ((a >> np.uint64(32)) & np.uint64(SKETCH - 1)).astype(np.int64)]
 
 
@@ -108,7 +115,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         for batch in pieces_by_bytes(batches, "t"):
             row, feature, _, _ = features(*string_bytes(batch.column(0)))
             n += len(np.unique(row))
-            for r, cell in enumerate(_cells(feature)):
+            for r, cell in enumerate(_cells(short(feature))):
                 sketch[r] += np.bincount(cell, minlength=SKETCH)
         if n:
             parts = sketch.reshape(CHUNKS, -1)
@@ -134,11 +141,11 @@ def narrow(sketch: np.ndarray) -> np.ndarray:
     return sketch.astype(np.uint32 if sketch.max(initial=0) < 1 << 32 else np.int64)
 
 
-def weights(feature: np.ndarray, tf: np.ndarray, sketch: np.ndarray, n: int) -> np.ndarray:
-    """Count times damped inverse document frequency."""
+def weights(feature: np.ndarray, tf: np.ndarray, sketch: np.ndarray, n: int, gain: float) -> np.ndarray:
+    """Count times inverse document frequency of short features."""
     df = np.minimum.reduce([sketch[r][cell] for r, cell in enumerate(_cells(feature))])
     top = np.log(max(n, 2))
-    return tf * (1 + IDF_GAIN * np.clip(1 - np.log(np.maximum(df, 1)) / top, 0, 1))
+    return tf * (1 + gain * np.clip(1 - np.log(np.maximum(df, 1)) / top, 0, 1))
 
 
 # ---------------------------------------------------------------- signatures
@@ -194,21 +201,20 @@ def _key_columns(key: np.ndarray) -> list[pa.Array]:
     return [pa.array(key[:, k].copy().view(np.int64)) for k in (0, 1)]
 
 
-def signatures(texts: DataFrame, sketch: np.ndarray, n: int) -> DataFrame:
-    """doc_id, k1, k2 (key of the words), bands (null without words), sketch (a byte of each
-    draw, packed in longs)."""
-    shipped = texts.sparkSession.sparkContext.broadcast((narrow(sketch), n))
+def signatures(texts: DataFrame, shipped) -> DataFrame:
+    """doc_id, k1, k2 (key of the words), bands (null without words). ``shipped``: the
+    broadcast sketch, number of texts and gain."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_by_bytes(batches, "t"):
             row, feature, tf, key = features(*string_bytes(batch.column(1)))
             rows = batch.num_rows
-            drawn = draws(row, feature, weights(feature, tf, *shipped.value), rows)
+            h = bands(draws(row, feature, weights(short(feature), tf, *shipped.value), rows))
             none = np.bincount(row, minlength=rows) == 0
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * h.shape[1]), pa.array(h.reshape(-1)), mask=pa.array(none)) for h in (bands(drawn), np.ascontiguousarray(drawn.astype(np.uint8)).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_key_columns(key), *lists], names=["doc_id", "k1", "k2", "bands", "sketch"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * h.shape[1]), pa.array(h.reshape(-1)), mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_key_columns(key), lists], names=["doc_id", "k1", "k2", "bands"])
 
-    return texts.select("d", "t").mapInArrow(work, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>")
+    return texts.select("d", "t").mapInArrow(work, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
 def _filter_places(column: str) -> list[Column]:
@@ -232,14 +238,15 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def packed_features(texts: DataFrame, sketch: np.ndarray, n: int, ids: DataFrame) -> DataFrame:
-    """id, k1, k2, f (sorted 32-bit shingle hashes), w (their weights) of the candidates (and of a few
-    other texts that the filter lets through): what verification compares. Texts stay where
-    they are read; no shuffle carries them."""
-    shipped = texts.sparkSession.sparkContext.broadcast((narrow(sketch), n, id_filter(ids.select("id"))))
+def packed_features(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, k1, k2, f (sorted short features) and x (place and count of those that occur more
+    than once) of the candidates, and of a few other texts that the filter lets through.
+    Texts stay where they are read; no shuffle carries them. Weights are not sent: whoever
+    has the sketch can tell them."""
+    shipped = texts.sparkSession.sparkContext.broadcast(id_filter(ids.select("id")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, n, bits = shipped.value
+        bits = shipped.value
         for batch in pieces_by_bytes(batches, "t"):
             places = [batch.column(i).to_numpy() for i in (2, 3)]
             hit = np.logical_and.reduce([(bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0 for p in places])
@@ -247,47 +254,134 @@ def packed_features(texts: DataFrame, sketch: np.ndarray, n: int, ids: DataFrame
             if not batch.num_rows:
                 continue
             row, feature, tf, key = features(*string_bytes(batch.column(1)))
-            w = weights(feature, tf, sketch, n).astype(np.float32)
-            short = (feature >> np.uint64(18)).astype(np.uint32)  # the leading bits: already sorted
-            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_key_columns(key), pa.array([short[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([w[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["id", "k1", "k2", "f", "w"])
+            f, cut = short(feature), np.searchsorted(row, np.arange(batch.num_rows + 1))
+            many = np.flatnonzero(tf > 1)
+            again = np.stack([many - cut[row[many]], tf[many]], 1).astype(np.uint32)
+            edge = np.searchsorted(row[many], np.arange(batch.num_rows + 1))
+            blobs = [pa.array([values[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()) for values, at in ((f, cut), (again, edge))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_key_columns(key), *blobs], names=["id", "k1", "k2", "f", "x"])
 
     one, two = _filter_places("d")
-    return texts.select("d", "t", one.alias("p1"), two.alias("p2")).mapInArrow(work, "id bigint, k1 bigint, k2 bigint, f binary, w binary")
-
-
-def weighted_jaccard(f: np.ndarray, w: np.ndarray, g: np.ndarray, v: np.ndarray) -> float:
-    """Sum of minima over sum of maxima."""
-    at = np.minimum(np.searchsorted(g, f), max(len(g) - 1, 0))
-    hit = g[at] == f if len(g) else np.zeros(len(f), bool)
-    low = float(np.minimum(w[hit], v[at[hit]]).sum())
-    high = float(w.sum(dtype=np.float64) + v.sum(dtype=np.float64)) - low
-    return low / high if high else 1.0
-
-
-def verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose weighted Jaccard similarity is the threshold or more."""
+    return texts.select("d", "t", one.alias("p1"), two.alias("p2")).mapInArrow(work, "id bigint, k1 bigint, k2 bigint, f binary, x binary")
+
+
+# ---------------------------------------------------------------- verification
+
+
+def unpacked(f: pa.Array, x: pa.Array, order: np.ndarray, sketch: np.ndarray, n: int, gain: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, weights, offsets) of the rows ``order`` of packed features."""
+    fs, xs = f.take(pa.array(order)), x.take(pa.array(order))
+    (flat, cut), (more, edge) = string_bytes(fs), string_bytes(xs)
+    feature, cut = np.frombuffer(flat.tobytes(), np.uint32), cut // 4
+    tf = np.ones(len(feature), np.int64)
+    if len(more):
+        place = np.frombuffer(more.tobytes(), np.uint32).reshape(-1, 2).astype(np.int64)
+        tf[place[:, 0] + np.repeat(cut[:-1], np.diff(edge // 8))] = place[:, 1]
+    return feature, weights(feature, tf, sketch, n, gain), cut
+
+
+class Group:
+    """The texts of a group, those of side 0 first: which pairs are similar enough."""
+
+    def __init__(self, feature: np.ndarray, weight: np.ndarray, cut: np.ndarray, threshold: float, left: int):
+        self.weight, self.cut, self.threshold = weight, cut, threshold
+        self.total = np.add.reduceat(weight, cut[:-1])
+        self.feature, self.dense = feature, left > 2
+        if self.dense:
+            distinct, self.feature = np.unique(feature, return_inverse=True)
+            self.mine = np.zeros(len(distinct))
+
+    def shared(self, a: int, start: int, stop: int) -> np.ndarray:
+        """Sums of minima of text a with each of the texts start to stop."""
+        s = slice(self.cut[a], self.cut[a + 1])
+        t = slice(self.cut[start], self.cut[stop])
+        if self.dense:
+            self.mine[self.feature[s]] = self.weight[s]
+            low = np.minimum(self.mine[self.feature[t]], self.weight[t])
+            self.mine[self.feature[s]] = 0
+        else:
+            own = self.feature[s]
+            at = np.minimum(np.searchsorted(own, self.feature[t]), len(own) - 1)
+            low = np.where(own[at] == self.feature[t], np.minimum(self.weight[s][at], self.weight[t]), 0)
+        return np.add.reduceat(low, self.cut[start:stop] - self.cut[start])
+
+    def similar(self, a: int, start: int, stop: int, wanted: np.ndarray) -> np.ndarray:
+        """Which texts from start to stop, among the ``wanted``, are similar enough to text
+        a. A sum of minima is at most the lesser total, so most need no look at features."""
+        total = self.total[start:stop]
+        near = wanted & (np.minimum(total, self.total[a]) >= self.threshold * np.maximum(total, self.total[a]))
+        some = np.flatnonzero(near)
+        if not len(some):
+            return some
+        first, last = start + int(some[0]), start + int(some[-1]) + 1
+        if 4 * len(some) >= last - first:
+            low = self.shared(a, first, last)[some - some[0]]
+        else:
+            low = np.concatenate([self.shared(a, start + int(b), start + int(b) + 1) for b in some])
+        return start + some[low >= self.threshold * (total[some] + self.total[a] - low)]
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows with equal values in the first ``keys`` columns (longs)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(keys)], 1)
+        cuts = np.r_[0, np.flatnonzero((columns[1:] != columns[:-1]).any(1)) + 1, len(columns)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            key = columns[a].tolist()
+            if held and key != last:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.concat_batches(held)
+
+
+def links(rows: DataFrame, shipped, threshold: float) -> DataFrame:
+    """(u, v): the similar pairs of different components in groups. ``rows``: key, i, j (the
+    group), side, rep, comp, f, x. Side 0 is compared with side 1 and, in groups with i >= 0
+    and j = 0, with itself."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_by_bytes(batches, "f", 1 << 20):
-            keep = []
-            for f, w, g, v in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                keep.append(weighted_jaccard(np.frombuffer(f, np.uint32), np.frombuffer(w, np.float32), np.frombuffer(g, np.uint32), np.frombuffer(v, np.float32)) >= threshold)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
-
-    one = pairs.join(feats.select(F.col("id").alias("v"), F.col("f").alias("g"), F.col("w").alias("x")), "v")
-    both = one.join(feats.select(F.col("id").alias("u"), "f", "w"), "u").select("u", "v", "f", "w", "g", "x")
-    return both.mapInArrow(work, "u bigint, v bigint")
+        u: list[np.ndarray] = []
+        v: list[np.ndarray] = []
+        for group in runs_of(batches, 3):
+            side = group.column(3).to_numpy()
+            order = np.argsort(side, kind="stable")
+            rep, comp = group.column(4).to_numpy()[order], group.column(5).to_numpy()[order]
+            left, every = int((side == 0).sum()), len(order)
+            within = group.column(1)[0].as_py() >= 0 and group.column(2)[0].as_py() == 0
+            g = Group(*unpacked(group.column(6), group.column(7), order, *shipped.value), threshold, left)
+            for a in range(left):
+                start = a + 1 if within else left
+                if start < every:
+                    found = g.similar(a, start, every, comp[start:] != comp[a])
+                    u.append(np.full(len(found), rep[a]))
+                    v.append(rep[found])
+            if len(u) > 5000:
+                yield _pairs(u, v)
+                u, v = [], []
+        yield _pairs(u, v)
+
+    dealt = rows.select(*[F.col(c).cast("long").alias(c) for c in ("key", "i", "j")], F.col("side").cast("int").alias("side"), "rep", "comp", "f", "x")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(work, "u bigint, v bigint")
+
+
+def _pairs(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (u, v)], names=["u", "v"])
 
 
 # ---------------------------------------------------------------- classes
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, gain: float = IDF_GAIN, block: int = BLOCK) -> DataFrame:
     """doc_id, copy_of (the least id with equal words) and class_id (the least id of the
     class), for every row."""
-    return keyed_classes(docs, doc_id=doc_id, text=text, threshold=threshold, block=block).select("doc_id", "copy_of", "class_id")
+    return keyed_classes(docs, doc_id=doc_id, text=text, threshold=threshold, gain=gain, block=block).select("doc_id", "copy_of", "class_id")
 
 
 def _nodes(texts: DataFrame) -> DataFrame:
@@ -298,35 +392,42 @@ def _nodes(texts: DataFrame) -> DataFrame:
     return texts.join(clash, "least", "left").withColumn("rep", F.when(F.col("_own") != F.struct("k1", "k2"), other).otherwise(F.col("least"))).drop("_own")
 
 
-def keyed_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """doc_id, k1, k2 (key of the words), rep (the text's number), copy_of, class_id."""
+def keyed_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, gain: float = IDF_GAIN, block: int = BLOCK) -> DataFrame:
+    """doc_id, k1, k2 (key of the words), rep (the text's number), copy_of, class_id. Only
+    this result stays in the shared folder."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), text_of(F.col(text)).alias("t"))
     sketch, n = document_frequencies(texts)
-    signed = materialise(signatures(texts, sketch, n), "near-signed")
-    least = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first(F.struct("bands", "sketch")).alias("s")).select("k1", "k2", "least", "s.bands", "s.sketch")
-    reps = materialise(_nodes(least), "near-reps")
-    placed = reps.where("bands is not null").select("rep", F.explode("bands").alias("key"))
+    shipped = spark.sparkContext.broadcast((narrow(sketch), n, gain))
+    signed = scratch.table(signatures(texts, shipped), "signed")
+    least = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    reps = scratch.table(_nodes(least), "reps")
+    placed = reps.where("bands is not null").select("rep", F.posexplode("bands").alias("band", "key"))
     # buckets of one text are dropped before anything is joined
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     full = placed.join(shared, "key")
     central = full.groupBy("rep").agg(F.sum("n").alias("degree"))
-    members = materialise(full.select("key", "rep").join(central, "rep"), "near-members")
-    ids = reps.select("rep", "k1", "k2", F.col("least").alias("id")).join(members.select("rep").distinct(), "rep", "left_semi")
-    feats = materialise(packed_features(texts, sketch, n, ids).join(ids, ["id", "k1", "k2"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "f", "w"), "near-feats")
-
-    # 1. every member against the most central of its bucket
-    hubs = members.groupBy("key").agg(F.max_by("rep", F.struct("degree", "rep")).alias("hub"))
-    pairs = members.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    label = stars(verified(pairs, feats, threshold))  # (u, v): u belongs to v's class
-    # 2. buckets that still hold more than one class: their pairs of different classes, in blocks
-    named = _in_class(members.select("key", "rep"), label, "rep", "comp")
-    sizes = named.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    rest = materialise(named.join(sizes, "key"), "near-rest")
-    linked = block_links(rest, reps.select("rep", "bands", "sketch"), feats, threshold)
-    label = stars(linked.unionByName(label))
+    members = scratch.table(full.select("key", "band", "rep").join(central, "rep"), "members")
+
+    # 1. every text against the most central member of its buckets
+    first = members.groupBy("key").agg(F.max(F.struct("degree", "rep")).alias("hub"))
+    hubs = members.join(first, "key").groupBy("rep").agg(F.max("hub").alias("h")).select("rep", F.col("h.rep").alias("hub")).where("rep <> hub")
+    parts = hubs.groupBy("hub").agg(F.ceil(F.count("*") / block).alias("parts"))
+    hubs = scratch.table(hubs.join(parts, "hub").select("rep", "hub", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")), "hubs")
+    ids = reps.select("rep", "k1", "k2", F.col("least").alias("id")).join(members.select("rep").distinct(), "rep", "left_semi").join(hubs, "rep", "left").join(hubs.select(F.col("hub").alias("rep"), F.lit(True).alias("is_hub")).distinct(), "rep", "left")
+    ids = scratch.table(ids, "ids")
+    feats = scratch.table(packed_features(texts, ids).join(ids, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("rep", "hub", "part", "is_hub", "f", "x"), "feats")
+    alone = lambda rows, side: rows.select(F.col("hub").alias("key"), F.lit(0).alias("i"), F.col("part").alias("j"), F.lit(side).alias("side"), "rep", F.col("rep").alias("comp"), "f", "x")
+    asking = feats.where("is_hub").select("rep", "f", "x").join(hubs.select("hub", "part").distinct(), F.col("rep") == F.col("hub"))
+    label = stars(links(alone(asking, 0).unionByName(alone(feats.where("hub is not null"), 1)), shipped, threshold), scratch)  # (u, v): u belongs to v's class
+    # 2. buckets that still hold more than one class
+    rest = scratch.table(mixed_buckets(_in_class(members.select("key", "band", "rep"), label, "rep", "comp"), block), "rest")
+    label = stars(links(rest.join(feats.select("rep", "f", "x"), "rep"), shipped, threshold).unionByName(label), scratch, "classes")
 
     copies = signed.select("doc_id", "k1", "k2").join(reps.select("k1", "k2", "rep", F.col("least").alias("copy_of")), ["k1", "k2"])
-    return _in_class(copies, label, "rep", "class_id").select("doc_id", "k1", "k2", "rep", "copy_of", "class_id")
+    done = scratch.table(_in_class(copies, label, "rep", "class_id").select("doc_id", "k1", "k2", "rep", "copy_of", "class_id"), "done")
+    scratch.drop("signed", "reps", "members", "hubs", "ids", "feats", "edges", "rest", "classes")
+    return done
 
 
 def _in_class(rows: DataFrame, label: DataFrame, node: str, into: str) -> DataFrame:
@@ -334,48 +435,33 @@ def _in_class(rows: DataFrame, label: DataFrame, node: str, into: str) -> DataFr
     return rows.join(label.select(F.col("u").alias(node), F.col("v").alias("_class")), node, "left").withColumn(into, F.coalesce("_class", node)).drop("_class")
 
 
-def block_links(rest: DataFrame, reps: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): links between different classes within buckets. ``rest``: key, rep, comp,
-    blocks.
-
-    A bucket is dealt into blocks, and a group is a pair of blocks, so its size is bounded
-    whatever the bucket's. A pair is compared in the first band that it shares, and only if
-    enough one-byte draws agree; only links leave the task."""
-    here = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    spots = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(here, o).alias("i"), F.greatest(here, o).alias("j")))
-    dealt = rest.select("key", "rep", "comp", here.alias("mine"), F.explode(spots).alias("at")).select("key", "rep", "comp", "mine", "at.i", "at.j")
-    known = dealt.join(reps, "rep").join(feats, F.col("rep") == F.col("id")).select("key", "i", "j", "rep", "comp", "mine", "bands", "sketch", "f", "w")
-
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        n = group.num_rows
-        column = lambda name: group.column(name).to_numpy()
-        lists = lambda name: np.stack(group.column(name).to_pylist()).astype(np.int64)
-        key, i, j = group.column("key")[0].as_py(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        rep, comp, mine = column("rep"), column("comp"), column("mine")
-        band, draws = lists("bands"), lists("sketch").view(np.uint8).reshape(n, -1)
-        where = int(np.flatnonzero((band == key).all(0))[0])
-        feature = [(np.frombuffer(f, np.uint32), np.frombuffer(w, np.float32)) for f, w in zip(group.column("f").to_pylist(), group.column("w").to_pylist(), strict=True)]
-        out: list[tuple[int, int]] = []
-        for a in range(n):
-            others = np.arange(a + 1, n)
-            ok = comp[others] != comp[a]
-            if i != j:
-                ok &= mine[others] != mine[a]
-            others = others[ok]
-            if where:
-                others = others[~(band[others, :where] == band[a, :where]).any(1)]
-            others = others[(draws[others] == draws[a]).sum(1) >= AGREE]
-            out += [(int(rep[a]), int(rep[b])) for b in others if weighted_jaccard(*feature[a], *feature[b]) >= threshold]
-        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
-
-    return known.groupBy("key", "i", "j").applyInArrow(compare, "u bigint, v bigint")
+def mixed_buckets(named: DataFrame, block: int) -> DataFrame:
+    """key, i, j, side, rep, comp: the groups in which buckets of several components are
+    compared. ``named``: key, band, rep, comp.
+
+    Of buckets with the same members the one of the lowest band stands for all. Members of
+    the largest component (major, D of them) and the others (minor, M) are dealt into blocks
+    by hash: group (i, j) has minor block i and major block j, a group with negative i two
+    minor blocks. So a row is repeated once per block of the other side."""
+    per = named.groupBy("key", "band", "comp").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    bucket = per.groupBy("key", "band").agg(F.sum("m").alias("m"), F.sum("mark").alias("mark"), F.max(F.struct("m", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    kept = bucket.groupBy("m", "mark").agg(F.min(F.struct("band", "key", "most")).alias("b")).select(F.col("b.key").alias("key"), F.col("b.most.comp").alias("major"), F.ceil((F.col("m") - F.col("b.most.m")) / block).alias("minors"), F.ceil(F.col("b.most.m") / block).alias("majors"))
+    rows = named.select("key", "rep", "comp").join(kept, "key")
+    large = F.col("comp") == F.col("major")
+    here = F.pmod(F.xxhash64("rep"), F.when(large, F.col("majors")).otherwise(F.col("minors")))
+    spot = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    with_majors = F.transform(upto(F.col("majors")), lambda j: spot(F.col("here"), j, 0))
+    others = F.filter(upto(F.col("minors")), lambda o: o != F.col("here"))
+    with_minors = F.transform(others, lambda o: spot(-1 - F.least(F.col("here"), o), F.greatest(F.col("here"), o), (o < F.col("here")).cast("int")))
+    spots = F.when(large, F.transform(upto(F.col("minors")), lambda i: spot(i, F.col("here"), 1))).otherwise(F.concat(with_majors, with_minors))
+    return rows.withColumn("here", here).select("key", "rep", "comp", F.explode(spots).alias("at")).select("key", "at.i", "at.j", "at.side", "rep", "comp")
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each class: the one with the least id. Where several rows have an id, the
     key of their words tells which of them it is."""
-    found = materialise(keyed_classes(docs, doc_id=doc_id, text=text, **how), "near-classes")
+    found = keyed_classes(docs, doc_id=doc_id, text=text, **how)
     stay = found.where("rep = class_id and doc_id = copy_of").select("doc_id", "k1", "k2").distinct()
     node = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
     kept = stay.select(F.col("doc_id").alias("_stay")).distinct()
