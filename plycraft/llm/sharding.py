@@ -7,14 +7,17 @@ tier). Compaction reads the newest manifest, puts files into tiers by the power
 the target size, if that at least halves their number. Files of the target size and lone
 runs stay as they are. The new version is written beside the old one and becomes visible
 by one rename of its folder, so readers see either version whole, and of two writers of a
-version one fails; nothing is deleted before ``vacuum``.
+version one fails: an append that lost commits again on the newer version, a compaction
+that lost is dropped. Every attempt writes a folder of its own, so what a dead writer left
+is in nobody's way. Nothing is deleted before ``vacuum``, which no writer may run beside.
 
 Rows never cross a shuffle: a task appends or merges whole files, and the target size
 bounds what it writes. Manifest rows are per file, not per document.
 
 Defined results: every row of an arrival is in exactly one live shard, repeated rows as
 often as they were given; nulls are stored as they are; an empty arrival adds no rows; a
-document longer than the target is in a file beyond the target; extra columns are stored.
+document longer than the target is in a file beyond the target; extra columns are stored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -92,12 +95,19 @@ class ShardStore:
     def append(self, arrival: DataFrame) -> int:
         """Add an arrival as it comes (no shuffle): small shards, one version."""
         have = self.versions()
-        version = (have[-1] if have else 0) + 1
-        batch = f"a{version:08d}"
+        batch = f"a-{uuid.uuid4().hex}"
         if not have:
             arrival.limit(0).write.mode("overwrite").parquet(f"{self.folder}/schema")
         arrival.write.option("compression", self.codec).mode("errorifexists").parquet(f"{self.folder}/data/{batch}")
-        return self.commit(self.manifest().unionByName(self._listed(batch, arrival.schema)), version)
+        listed = self._listed(batch, arrival.schema)
+        while True:
+            newest = have[-1] if have else 0
+            try:
+                return self.commit(self.manifest(newest or None).unionByName(listed), newest + 1)
+            except RuntimeError:
+                have = self.versions()
+                if not have or have[-1] == newest:  # nobody else committed: the store is at fault
+                    raise
 
     def plan(self, version: int) -> dict[int, int]:
         """tier -> number of new files: tiers whose small runs fill at most half as many
@@ -116,7 +126,7 @@ class ShardStore:
         if not plan:
             return None
         version, old = have[-1] + 1, self.manifest(have[-1])
-        batch = f"c{version:08d}"
+        batch = f"c-{uuid.uuid4().hex}"
         moved = (F.col("bytes") < self.target) & F.col("tier").isin(*plan)
         parts = [self.read(have[-1], only=old.where(moved & (F.col("tier") == tier))).coalesce(n) for tier, n in plan.items()]
         merged = parts[0]
@@ -125,13 +135,11 @@ class ShardStore:
         merged.write.option("compression", self.codec).mode("errorifexists").parquet(f"{self.folder}/data/{batch}")
         return self.commit(old.where(~moved).unionByName(self._listed(batch, merged.schema)), version)
 
-    def compact_fully(self, rounds: int = 16) -> int | None:
-        """Rounds until nothing merges; a row is rewritten once per tier that it climbs."""
+    def compact_fully(self) -> int | None:
+        """Rounds until nothing merges; a row is rewritten once per tier that it climbs. A
+        round at least halves the runs of some tier, so rounds end."""
         last = None
-        for _ in range(rounds):
-            version = self.compact()
-            if version is None:
-                break
+        while (version := self.compact()) is not None:
             last = version
         return last
 
