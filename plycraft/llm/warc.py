@@ -8,7 +8,8 @@ what it captured by (URL key, timestamp): a run.
 
 Index: runs are range-partitioned by (URL key, timestamp, id); in each range a k-way loser
 tree merges the runs' sorted slices, which gives globally ordered capture histories
-(range number, position) without a global sort in any one place.
+(range number, position) without a global sort in any one place. A key's history goes on
+over range ends: its captures in earlier ranges are added to the numbers of a range's first key.
 
 Reading: archives are read member by member through Spark's binary reader; each record is
 located by (file, offset) in the merged index.
@@ -29,14 +30,17 @@ from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, pieces_by_bytes, put_file, shuffle_partitions, text_of, workspace
 
 ARCHIVE_BYTES = 16 << 20
+#: Captures that a range of the index holds, about.
+RANGE_ROWS = 500_000
 NULL_ID = -(1 << 63)
 EPOCH = 1_600_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -188,18 +192,28 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
 
 def merged_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Globally ordered captures: range, position, key, stamp, page_id, file, offset, length
-    and nth, the number of the capture in its key's history within the range."""
-    ranged = runs.repartitionByRange(partitions or shuffle_partitions(runs.sparkSession), "key", "stamp", "page_id", "run", "offset").sortWithinPartitions("run", "key", "stamp", "page_id", "offset")
+    and nth, the number of the capture in its key's whole history. A task holds its range
+    as Arrow columns; ranges are of about ``RANGE_ROWS`` captures."""
+    parts = partitions or max(shuffle_partitions(runs.sparkSession), -(-runs.count() // RANGE_ROWS))
+    ranged = runs.repartitionByRange(parts, "key", "stamp", "page_id", "run", "offset").sortWithinPartitions("run", "key", "stamp", "page_id", "offset")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for run, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                slices.setdefault(run, []).append(tuple(row))
-        names, part = list(slices), TaskContext.get().partitionId()
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        run, columns = whole.column(0), whole.columns[1:]
+        ends = pc.run_end_encode(run.chunk(0)).run_ends.to_pylist()
+        starts = [0, *ends[:-1]]
+        names, part = [run[a].as_py() for a in starts], TaskContext.get().partitionId()
+
+        def captures(start: int, end: int) -> Iterator[tuple]:
+            for a in range(start, end, 256):
+                yield from zip(*(c.slice(a, min(256, end - a)).to_pylist() for c in columns), strict=True)
+
         out: list[tuple] = []
         place, last, nth = 0, None, 0
-        for w, (key, stamp, page, offset, length) in LoserTree([iter(slices[n]) for n in names]):
+        for w, (key, stamp, page, offset, length) in LoserTree([captures(a, b) for a, b in zip(starts, ends, strict=True)]):
             nth = nth + 1 if key == last else 1
             out.append((part, place, key, stamp, page, names[w], offset, length, nth))
             last, place = key, place + 1
@@ -210,7 +224,13 @@ def merged_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=COLUMNS)
 
     COLUMNS = ["range", "position", "key", "stamp", "page_id", "file", "offset", "length", "nth"]
-    return ranged.mapInArrow(work, "range bigint, position bigint, key string, stamp bigint, page_id bigint, file string, offset bigint, length bigint, nth bigint")
+    own = materialise(ranged.mapInArrow(work, "range bigint, position bigint, key string, stamp bigint, page_id bigint, file string, offset bigint, length bigint, nth bigint"), "warc-ranges")
+    ends = own.groupBy("range").agg(F.min_by("key", "position").alias("head"), F.max_by("key", "position").alias("tail"), F.max_by("nth", "position").alias("n"))  # a row a range
+    edges = ends.select("range", F.lit(0).alias("kind"), F.col("head").alias("key"), F.lit(0).cast("long").alias("n")).unionByName(ends.select("range", F.lit(1).alias("kind"), F.col("tail").alias("key"), "n"))
+    before = Window.partitionBy("key").orderBy("range", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.withColumn("carry", F.sum("n").over(before)).where("kind = 0 and carry > 0").select(F.col("range").alias("_range"), F.col("key").alias("_key"), "carry")
+    rows = own.join(F.broadcast(carried), (F.col("range") == F.col("_range")) & (F.col("key") == F.col("_key")), "left")  # at most a row a range
+    return rows.select(*COLUMNS[:-1], (F.col("nth") + F.coalesce("carry", F.lit(0).cast("long"))).alias("nth"))
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
