@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plycraft.llm import pieces, toxicity
-from plycraft.llm.common import documents, materialise, table
+from plycraft.llm.common import documents, fresh, materialise, table
 from plycraft.llm.mixing import mixed
 from plycraft.llm.neardup import deduplicated
 from plycraft.llm.quality import quality_rules
@@ -27,7 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, keep=docs.columns, into="toxicity_score").where("toxicity_score < 0.5").select(*docs.columns)
+    score = fresh(docs, "toxicity_score")
+    return toxicity.scored(docs, model, keep=docs.columns, into=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ Decoding knows P1-P6 and uncompressed 8-, 24- and 32-bit BMP. The area average o
 cell is a difference of the integral image at four corners, interpolated where a corner
 falls inside a pixel; that is exact, at one pass over the pixels whatever the tile's size.
 
-Defined results: null media gives null outputs; bytes that are no known image are an
-error naming the format; an image of one row or column is resized like any other; equal
+Defined results: null media gives null outputs; bytes that are no known image, or a damaged
+one, give null outputs and the reason in ``error`` (null otherwise); an image of one row or column is resized like any other; equal
 bytes give equal outputs; an empty table stays empty; extra columns are not read.
 """
 
@@ -173,17 +173,22 @@ def text_media(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", f
 def tiles(media: DataFrame, size: int = TILE) -> DataFrame:
     """``media`` (doc_id, n_bytes, media) with what is read back: payload length and SHA-256,
     CRC-32 of its last 32 samples, the stored form's length and SHA-256, the difference
-    hash and an NPY tile."""
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
+    hash, an NPY tile and, for what cannot be decoded, the error."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile", "error"]
 
     def one(data: bytes | None) -> tuple:
         if data is None:
-            return (None,) * 7
-        pixels = decode(data)
+            return (None,) * 8
+        try:
+            pixels = decode(data)
+            if not pixels.size:
+                raise ValueError("an image without pixels")
+        except (ValueError, IndexError, struct.error) as e:
+            return (*(None,) * 3, len(data), hashlib.sha256(data).hexdigest(), None, None, str(e) or type(e).__name__)
         raw, image = pixels.tobytes(), grey(pixels)
         small = np.clip(np.round(area_resize(image, size, size)), 0, 255).astype(np.uint8)
-        return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), npy(small)
+        return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), npy(small), None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces_by_bytes(batches, "media"):
@@ -191,7 +196,7 @@ def tiles(media: DataFrame, size: int = TILE) -> DataFrame:
             made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["doc_id", "n_bytes", *names])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(work, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tile binary")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(work, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tile binary, error string")
 
 
 def media_features(docs: DataFrame, **how) -> DataFrame:

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 1. Sizes (words) and source totals; targets by water-filling under a cap.
-2. Each source is dealt into blocks of about ``block_docs`` documents; a seeded hash
+2. Each source is dealt into blocks of about ``block_docs`` documents (more if that were
+   over ``MOST_BLOCKS`` blocks in all); a seeded hash
    permutes blocks. An epoch over all blocks is a whole pass; the rest of the target is a
    run of whole blocks, then one boundary block of which single documents are taken
    first-fit. This fixes, exactly, how many block draws each source contributes.
@@ -33,6 +34,9 @@ from .common import fresh, let, materialise, text_of, word_array
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK_DOCS = 1024
+#: At most about so many blocks: with more documents blocks grow, so what meets in the
+#: windows over blocks and at the tree's root is bounded.
+MOST_BLOCKS = 1 << 20
 SHARD_BLOCKS = 64
 #: Up to this many sources the per-source table (about 100 bytes a row) is broadcast; with
 #: more, documents are salted and the table is replicated per salt.
@@ -101,6 +105,7 @@ def mix_plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     items = materialise(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "mix-items")
     sources = items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("source_docs"))
     aims = materialise(targets(sources, cap, weights).coalesce(1), "mix-targets")
+    block_docs = max(block_docs, math.ceil((aims.agg(F.sum("source_docs")).first()[0] or 0) / MOST_BLOCKS))
     some = aims.agg(F.count("*").alias("sources"), F.sum(F.ceil(F.col("source_docs") / block_docs) * F.greatest(F.lit(1), F.ceil(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))))).alias("draws")).first()
     leaves = max(1, math.ceil((some["draws"] or 0) / shard_blocks))
 
@@ -154,9 +159,9 @@ def mix_plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
 def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20, **how) -> DataFrame:
     """The mixed corpus: every row of ``docs`` once per copy, with free-named columns for
     the shard and the order inside it (sort a shard by that column: the local shuffle)."""
-    plan = mix_plan(docs, doc_id=doc_id, text=text, source=source, seed=seed, **how).where(F.size("shards") > 0).select(F.col("doc_id").alias("_pd"), F.col("source").alias("_ps"), F.col("size").alias("_pz"), "shards")
-    size, shard, order = fresh(docs, "mix_size"), fresh(docs, "mix_shard"), fresh(docs, "mix_order")
+    size, shard, order, copy, p = (fresh(docs, name) for name in ("mix_size", "mix_shard", "mix_order", "mix_copy", "mix_plan"))
+    plan = mix_plan(docs, doc_id=doc_id, text=text, source=source, seed=seed, **how).where(F.size("shards") > 0).select(F.struct("doc_id", "source", "size", "shards").alias(p))
     rows = docs.withColumn(size, F.size(word_array(text_of(docs[text]))).cast("long"))
-    joined = rows.join(plan, F.col(doc_id).cast("long").eqNullSafe(F.col("_pd")) & F.col(source).cast("string").eqNullSafe(F.col("_ps")) & (F.col(size) == F.col("_pz")))
-    out = joined.select(*[rows[c] for c in docs.columns], F.posexplode("shards").alias("_copy", shard))
-    return out.withColumn(order, F.xxhash64(F.lit(seed + 4), F.col(doc_id), F.col("_copy"))).drop("_copy")
+    joined = rows.join(plan, F.col(doc_id).cast("long").eqNullSafe(F.col(f"{p}.doc_id")) & F.col(source).cast("string").eqNullSafe(F.col(f"{p}.source")) & (F.col(size) == F.col(f"{p}.size")))
+    out = joined.select(*docs.columns, F.posexplode(F.col(f"{p}.shards")).alias(copy, shard))
+    return out.withColumn(order, F.xxhash64(F.lit(seed + 4), F.col(doc_id), F.col(copy))).drop(copy)

@@ -15,7 +15,9 @@ input. Scoring is linear: each distinct word of a batch gets one scalar, once.
 
 Defined results: null and empty texts have no passage and get the score of the bias alone;
 equal texts get equal scores; without labels of both classes every score is that class's (about 0 without any); an id with
-contradicting labels counts as toxic; extra columns are not read.
+contradicting labels counts as toxic, and of several texts under one id the least is
+learnt from; labels of documents that are not among ``docs`` take no part; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -219,11 +221,12 @@ def score_batch(model: Model, column: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, folds: int = 5, **how) -> Model:
     """Fit on labelled documents outside the held-out fold. The ids come first, from the
-    narrow label table; their texts (at most 2 * per_class) meet in one task, which trains."""
+    narrow tables of labels and of the documents' ids; their texts (at most 2 * per_class) meet in one task, which trains."""
     y = labels.where(F.col("toxic").isNotNull() & (crc_mod(F.col(doc_id), folds) != 0)).groupBy(F.col(doc_id).alias("_id")).agg(F.max("toxic").alias("_y"))
+    y = y.join(docs.select(F.col(doc_id).alias("_here")), F.col("_id") == F.col("_here"), "left_semi")
     order = F.xxhash64(F.lit(11), F.col("_id"))
     some = y.where("_y = 1").orderBy(order, "_id").limit(per_class).unionByName(y.where("_y = 0").orderBy(order, "_id").limit(per_class))
-    rows = docs.select(F.col(doc_id).alias("_d"), text_of(F.col(text)).alias("_t")).join(F.broadcast(some), F.col("_d") == F.col("_id")).dropDuplicates(["_d"]).select("_d", "_t", "_y")
+    rows = docs.select(F.col(doc_id).alias("_d"), text_of(F.col(text)).alias("_t")).join(F.broadcast(some), F.col("_d") == F.col("_id")).groupBy("_d").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_d")
