@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,6 +67,11 @@ class Scratch:
     def _path(self, name: str, version: int) -> str:
         return f"{self.folder}/{name}-{version}"
 
+    def release(self) -> None:
+        """Shuffle files of finished writes go when the driver collects its garbage: now."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(self._path(name, self.names[name]))

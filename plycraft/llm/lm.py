@@ -7,7 +7,8 @@ last three bytes (grams). Each part adds its blocks' counts up, and then answers
 the counts of its words, the log10 probabilities of its grams. A block's answers meet its
 text again, where they are added up for each document. So keys cross a shuffle once per
 block, not once per occurrence, nothing is dropped or capped, and the model grows with the
-text. Only the contexts of up to two bytes (at most 256**2) are tabulated in one place.
+text. A probability's logarithm is sent with an error of at most 1 in 8,192, which evens out
+over a text. Only the contexts of up to two bytes (at most 256**2) are tabulated in one place.
 
 A part that many blocks ask is split by block: counts are first added up per split, and the
 sums are sent to every split of the part to answer there.
@@ -25,11 +26,11 @@ from __future__ import annotations
 
 import io
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from . import ppm
 from .common import LOWER, Scratch, crc_mod, filesystem, mix, pieces_by_bytes, put_file, shuffle_partitions, span_hashes, string_bytes, text_of, word_spans, workspace
 
-#: Bytes of text in a block.
-TEXT = 8 << 20
+#: Bytes of text in a block, and in the pieces that temporaries are made of.
+TEXT, PIECE = 16 << 20, 1 << 20
 #: Keys that one split of a part is asked, about.
 ASKED = 1 << 23
 
@@ -46,12 +47,20 @@ ASKED = 1 << 23
 # ---------------------------------------------------------------- packing
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def expand(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def _planes(values: np.ndarray) -> bytes:
-    return zlib.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return squeeze(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes())
 
 
 def _values(blob: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(expand(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -71,6 +80,16 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return _values(blob, np.int64)
 
 
+def pack_logp(logp: np.ndarray) -> bytes:
+    """Probabilities' logarithms with twelve bits of mantissa (an error of 1 in 8,192 at most)."""
+    bits = logp.astype(np.float32).view(np.uint32)
+    return _planes((bits + np.uint32(1 << 10)) & ~np.uint32((1 << 11) - 1))
+
+
+def unpack_logp(blob: bytes) -> np.ndarray:
+    return _values(blob, np.uint32).view(np.float32)
+
+
 def _together(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of all blobs, one after the other."""
     keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
@@ -106,15 +125,47 @@ def by_part(kind: str, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.nda
     return order, which, np.r_[begin, len(order)]
 
 
-def distinct_counts(keys: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All distinct keys, with their counts among those that are not held out."""
-    own, n = ppm.counted(keys[~held])
-    every = ppm.distinct(np.concatenate([own, ppm.distinct(keys[held])]))
+def distinct_counts(own: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct keys, with their counts among the ``own``. Both are sorted in place."""
+    own.sort()
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    n, own = np.diff(np.r_[first, len(own)]), own[first]
+    held.sort()
+    every = ppm.distinct(np.concatenate([own, held[np.r_[True, held[1:] != held[:-1]]] if len(held) else held]))
     counts = np.zeros(len(every), np.int64)
     counts[np.searchsorted(every, own)] = n
     return every, counts
 
 
+def gram_pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, row after the last, grams) of about PIECE bytes of text; a longer row
+    comes in several pieces, each made with the bytes before it."""
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, "right")) - 1)
+        begin, end = int(offsets[row]), int(offsets[to])
+        if end - begin <= PIECE:
+            yield row, to, ppm.gram_keys(data[begin:end], offsets[row : to + 1] - begin)
+        else:
+            for a in range(begin, end, PIECE):
+                b, c = min(a + PIECE, end), max(begin, a - ppm.ORDER)
+                keys = ppm.gram_keys(data[c:b], np.array([0, b - c]))
+                yield row, to, keys[a - c : len(keys) - (b < end)]
+        row = to
+
+
+def all_grams(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The grams of the chosen rows, in one array and without large temporaries."""
+    sizes = np.diff(offsets) + 1
+    out, at = np.empty(int(sizes[chosen].sum()), np.uint64), 0
+    for a, b, keys in gram_pieces(data, offsets):
+        if not chosen[a:b].all():
+            keys = keys[np.repeat(chosen[a:b], sizes[a:b])] if chosen[a:b].any() else keys[:0]
+        out[at : at + len(keys)] = keys
+        at += len(keys)
+    return out
+
+
 BLOCK = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("row", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("held", pa.binary()), ("none", pa.binary())])
 BLOCK_SQL = "kind string, part int, row bigint, n bigint, keys binary, counts binary, ids binary, held binary, none binary"
 
@@ -128,10 +179,10 @@ def blocks(docs: DataFrame, parts: int) -> DataFrame:
         data = np.concatenate([b[0] for b in batches])
         sizes, held = np.concatenate([b[1] for b in batches]), np.concatenate([b[2] for b in batches])
         offsets = np.r_[0, np.cumsum(sizes)]
-        rows = [("t", None, row, int((~held).sum()), zlib.compress(data.tobytes(), 1), sizes.tobytes(), b"".join(b[3] for b in batches), held.tobytes(), b"".join(b[4] for b in batches))]
+        rows = [("t", None, row, int((~held).sum()), squeeze(data.tobytes()), sizes.tobytes(), b"".join(b[3] for b in batches), held.tobytes(), b"".join(b[4] for b in batches))]
         hashes, owner = _words(data, offsets)
-        for kind, keys, own in (("w", hashes, held[owner]), ("g", ppm.gram_keys(data, offsets), np.repeat(held, sizes + 1))):
-            keys, counts = distinct_counts(keys, own)
+        for kind in ("w", "g"):
+            keys, counts = distinct_counts(*((hashes[~held[owner]], hashes[held[owner]]) if kind == "w" else (all_grams(data, offsets, ~held), all_grams(data, offsets, held))))
             order, which, cut = by_part(kind, keys, parts)
             for part, a, b in zip(which.tolist(), cut[:-1], cut[1:], strict=True):
                 at = order[a:b]
@@ -218,15 +269,6 @@ def load_low(path: str) -> ppm.Low:
 # ---------------------------------------------------------------- scoring
 
 
-def text_pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes, or of one row."""
-    row = 0
-    while row < len(offsets) - 1:
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
-        yield row, to
-        row = to
-
-
 def _looked_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(wanted), np.int64)
@@ -248,6 +290,7 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
     ends = read.where("kind = 't'").agg(F.sum("n")).first()[0] or 0
     n_all, n_distinct = (sums["w"]["total"] + ends, sums["w"]["n"] + (ends > 0)) if "w" in sums else (ends, int(ends > 0))
     low_path = build_low(merged)
+    scratch.release()
     per_token = math.log10(n_all + 0.1 * (n_distinct + 1))
 
     def answer(asked: pa.Table, have: pa.Table) -> pa.Table:
@@ -257,8 +300,8 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
         wanted = [unpack_keys(x) for x in asked.column("keys").to_pylist()]
         if asked.num_rows and asked.column("kind")[0].as_py() == "g":
             every = ppm.distinct(np.concatenate(wanted))
-            value = ppm.answers(keys, counts, load_low(low_path), every).astype(np.float32)
-            blobs = [value[np.searchsorted(every, w)].tobytes() for w in wanted]
+            value = ppm.answers(keys, counts, load_low(low_path), every)
+            blobs = [pack_logp(value[np.searchsorted(every, w)]) for w in wanted]
         else:
             blobs = [pack_counts(_looked_up(keys, counts, w)) for w in wanted]
         return pa.table({c: asked.column(c) for c in ("kind", "part", "row")} | {"values": pa.array(blobs, pa.binary())})
@@ -266,7 +309,7 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
     def add_up(block: pa.Table, got: pa.Table) -> pa.Table:
         """The scores of the documents of a block."""
         one = {c: block.column(c)[0].as_py() for c in ("keys", "counts", "ids", "held", "none")}
-        data, sizes = np.frombuffer(zlib.decompress(one["keys"]), np.uint8), np.frombuffer(one["counts"], np.int64)
+        data, sizes = np.frombuffer(expand(one["keys"]), np.uint8), np.frombuffer(one["counts"], np.int64)
         offsets, rows = np.r_[0, np.cumsum(sizes)], len(sizes)
         got = got.sort_by([("kind", "ascending"), ("part", "ascending")])
         kinds, values = got.column("kind").to_pylist(), got.column("values").to_pylist()
@@ -283,13 +326,13 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
         known = np.bincount(owner, (count > 0)[inverse], rows).astype(np.int64) + (ends > 0)
         total = np.bincount(owner, np.log10(count + 0.1)[inverse], rows) + math.log10(ends + 0.1)
         tokens = np.bincount(owner, minlength=rows) + 1
-        grams = ppm.gram_keys(data, offsets)
-        every = ppm.distinct(grams)
-        logp = placed("g", every, lambda v: np.frombuffer(v, np.float32)).astype(np.float64)
-        begin, score = np.r_[0, np.cumsum(sizes + 1)], np.zeros(rows)
-        for a, b in text_pieces(offsets):
-            keys, inverse = np.unique(grams[begin[a] : begin[b]], return_inverse=True)
-            score[a:b] = np.add.reduceat(logp[np.searchsorted(every, keys)][inverse], begin[a:b] - begin[a])
+        every = ppm.distinct(all_grams(data, offsets, np.ones(rows, bool)))
+        logp = placed("g", every, unpack_logp).astype(np.float64)
+        score = np.zeros(rows)
+        for a, b, grams in gram_pieces(data, offsets):
+            keys, inverse = np.unique(grams, return_inverse=True)
+            begin = np.r_[0, np.cumsum(sizes[a:b] + 1)[:-1]]
+            score[a:b] += np.add.reduceat(logp[np.searchsorted(every, keys)][inverse], begin if b - a > 1 else begin[:1])
         ids = pa.array(np.frombuffer(one["ids"], np.int64), mask=np.frombuffer(one["none"], bool))
         columns = [ids, pa.array(np.frombuffer(one["held"], bool)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(rows, n_all), pa.int64()), pa.array(total - tokens * per_token), pa.array(score)]
         return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -264,11 +264,58 @@ def test_scores_use_every_context(spark, docs, monkeypatch):
     trie = ppm.build({k: ppm.counted(ppm.suffix(g, k + 1), n) for k in range(ppm.ORDER + 1)})
     data, offsets = bytes_of([t for _, t in rows])
     want = sorted(zip([-1 if i is None else i for i, _ in rows], ppm.score(trie, LOWER[data], offsets), strict=True))
-    for parts, text in ((3, 1 << 24), (7, 1000)):
-        monkeypatch.setattr(lm, "TEXT", text, raising=False)
+    for parts, text, piece, asked in ((3, 1 << 24, 1 << 20, 1 << 23), (7, 1000, 300, 2000)):
+        for name, value in (("TEXT", text), ("PIECE", piece), ("ASKED", asked)):
+            monkeypatch.setattr(lm, name, value)
         got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in lm.scored(docs, parts=parts).select("doc_id", "score").collect())
         assert [i for i, _ in got] == [i for i, _ in want]
-        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-5)
+        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-4)
+
+
+def naive_ppm(train, text, order):
+    """Escape method D with exclusion, from the definition: one symbol at a time."""
+    start, end = -1, -2
+    seen = collections.defaultdict(collections.Counter)
+    for t in train:
+        s = [start] * order + list(t) + [end]
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                seen[tuple(s[i - k : i])][s[i]] += 1
+    s, total = [start] * order + list(text) + [end], 0.0
+    for i in range(order, len(s)):
+        p, excluded, known = 1.0, set(), False
+        for k in range(order, -1, -1):
+            here = {x: n - 0.5 for x, n in seen.get(tuple(s[i - k : i]), {}).items() if x not in excluded}
+            if not here:
+                continue
+            whole, escape = sum(here.values()), 0.5 * len(here)
+            if s[i] in here:
+                p, known = p * here[s[i]] / (whole + escape), True
+                break
+            p *= escape / (whole + escape)
+            excluded |= set(here)
+        total += math.log10(p if known else p / (255 - len(excluded)))
+    return total
+
+
+def test_score_equals_the_definition(spark):
+    """PPM by looking at every context of every symbol, against the tables and against the query's path."""
+    import pyarrow as pa
+
+    from plycraft.llm import ppm
+    from plycraft.llm.common import string_bytes
+
+    texts = ["abracadabra abracadabra", "", "the cat sat on the mat", "the cats sat", "abrac", prose(3, 40).lower(), "zq", prose(4, 30).lower()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    train = [t.encode() for i, t in enumerate(texts) if not held(i)]
+    want = [naive_ppm(train, t.encode(), ppm.ORDER) for t in texts]
+    data, offsets = string_bytes(pa.array([t.decode() for t in train], pa.large_string()))
+    g, n = ppm.counted(ppm.gram_keys(data, offsets))
+    trie = ppm.build({k: ppm.counted(ppm.suffix(g, k + 1), n) for k in range(ppm.ORDER + 1)})
+    assert np.allclose(ppm.score(trie, *string_bytes(pa.array(texts, pa.large_string()))), want, rtol=1e-4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.scored(df, parts=3).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=2e-4)
 
 
 def test_conditional_probabilities_sum_to_one():
