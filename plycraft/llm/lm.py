@@ -101,8 +101,15 @@ def _together(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word; hashing goes piece by piece."""
     start, end, row = word_spans(data, offsets)
-    return span_hashes(data, start, end), row
+    hashes, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + PIECE, "right")))
+        low = start[at]
+        hashes[at:to] = span_hashes(data[low : end[to - 1]], start[at:to] - low, end[at:to] - low)
+        at = to
+    return hashes, row
 
 
 def word_part(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -326,7 +333,10 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
         known = np.bincount(owner, (count > 0)[inverse], rows).astype(np.int64) + (ends > 0)
         total = np.bincount(owner, np.log10(count + 0.1)[inverse], rows) + math.log10(ends + 0.1)
         tokens = np.bincount(owner, minlength=rows) + 1
-        every = ppm.distinct(all_grams(data, offsets, np.ones(rows, bool)))
+        del hashes, owner, inverse, words
+        every = all_grams(data, offsets, np.ones(rows, bool))
+        every.sort()
+        every = every[np.r_[True, every[1:] != every[:-1]]]
         logp = placed("g", every, unpack_logp).astype(np.float64)
         score = np.zeros(rows)
         for a, b, grams in gram_pieces(data, offsets):
