@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import tempfile
 from pathlib import Path
@@ -11,6 +12,7 @@ from pathlib import Path
 from .plans import report, stages, taxonomy
 from .plans.artifacts import Run
 from .session import local_session
+from .sources import uci
 
 
 def doctor(spark) -> dict:
@@ -64,19 +66,20 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     add("sample", "archive", "run", count=100, seed=20261006, fixture=False, rating_min=400, rating_max=799, stratified=False, prior_run=None, only_partition=None)
+    add("analyse", "run", "engine", nodes=100_000, workers=4, batch=1)
     add("import-analyses", "run", "table", nodes=100_000)
     for name in ("features", "discover"):
         add(name, "run")
-    add("report", "run", "deep_table", nodes=1_000_000)
+    add("report", "run", "scores", nodes=1_000_000)
     add("episodes", "run", loss_threshold=0.10, horizon=6)
-    add("stable", "run", "deep_table", min_loss=0.4, max_drift=0.1, deep_nodes=1_000_000, partition=[])
+    add("stable", "run", "scores", min_loss=0.4, max_drift=0.1, deep_nodes=1_000_000, partition=[])
     add("description-packets", "run", partition="discovery")
     add("import-descriptions", "run", "descriptions", model_run=None)
     add("cluster", "run", max_episodes=200, distance=0.3)
     add("review-packets", "run", partition="discovery")
     add("freeze", "run", "review", "selection_review")
-    add("measure", "run", bootstrap=1000, taxonomy_run=None)
-    add("engine-audit", "run", "deep_table", count=20, nodes=1_000_000)
+    add("measure", "run", bootstrap=1000, taxonomy_run=None, weights="hashed")
+    add("engine-audit", "run", "scores", count=20, nodes=1_000_000)
     return p
 
 
@@ -88,11 +91,19 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(found, indent=1))
         return 0 if all(v is not False for v in found.values()) else 1
     run = Run(spark, a.run)
-    from_table = lambda path: lambda todo, _: spark.read.parquet(path).join(todo.select("decision_id"), "decision_id", "left_semi")
+    def scores(path: str) -> tuple:
+        """A scorer and its settings: an engine's program, or a table of scores."""
+        if Path(path).is_file() and os.access(path, os.X_OK):
+            return uci.scorer([path], workers=getattr(a, "workers", None)), uci.settings(path)
+        return lambda todo, _: spark.read.parquet(path).join(todo.select("decision_id"), "decision_id", "left_semi"), None
+
     other = lambda path: Run(spark, path) if path else None
     match a.command:
         case "sample":
             stages.sample(run, a.archive, count=a.count, seed=a.seed, fixture=a.fixture, rating_min=a.rating_min, rating_max=a.rating_max, stratified=a.stratified, prior=other(a.prior_run), only_partition=a.only_partition)
+        case "analyse":
+            scorer, settings = scores(a.engine)
+            print(stages.analyse(run, scorer, nodes=a.nodes, settings=settings, batch=a.batch))
         case "import-analyses":
             stages.import_analyses(run, spark.read.parquet(a.table), {"nodes": a.nodes})
         case "features":
@@ -100,11 +111,13 @@ def main(argv: list[str] | None = None) -> int:
         case "discover":
             stages.discover(run)
         case "report":
-            report.symbolic_report(run, from_table(a.deep_table), nodes=a.nodes)
+            scorer, settings = scores(a.scores)
+            report.symbolic_report(run, scorer, nodes=a.nodes, settings=settings)
         case "episodes":
             stages.episodes(run, loss_threshold=a.loss_threshold, horizon=a.horizon)
         case "stable":
-            stages.stable(run, from_table(a.deep_table), min_loss=a.min_loss, max_drift=a.max_drift, deep_nodes=a.deep_nodes, partitions=tuple(a.partition or stages.PARTS))
+            scorer, settings = scores(a.scores)
+            stages.stable(run, scorer, settings=settings, min_loss=a.min_loss, max_drift=a.max_drift, deep_nodes=a.deep_nodes, partitions=tuple(a.partition or stages.PARTS))
         case "description-packets":
             print(stages.description_packets(run, a.partition))
         case "import-descriptions":
@@ -116,9 +129,10 @@ def main(argv: list[str] | None = None) -> int:
         case "freeze":
             taxonomy.freeze(run, a.review, a.selection_review)
         case "measure":
-            taxonomy.measure(run, replicates=a.bootstrap, source=other(a.taxonomy_run))
+            taxonomy.measure(run, replicates=a.bootstrap, source=other(a.taxonomy_run), weights=a.weights)
         case "engine-audit":
-            stages.engine_audit(run, from_table(a.deep_table), count=a.count, nodes=a.nodes)
+            scorer, settings = scores(a.scores)
+            stages.engine_audit(run, scorer, count=a.count, nodes=a.nodes, settings=settings)
     return 0
 
 

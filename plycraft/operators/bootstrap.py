@@ -1,11 +1,14 @@
 """Player-level bootstrap: whole players are drawn with replacement.
 
 Replicates work on per-player partial sums, never on decisions. Weights come from seeded
-hashes (every engine can recompute them) or from a numpy generator on the driver.
+hashes (every engine can recompute them; or Poisson, without a shuffle, for very many
+players), or from a numpy generator on the driver.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,20 +16,39 @@ from pyspark.sql import functions as F
 LOW, HIGH = 0.025, 0.975
 
 
+def numbered_players(players: DataFrame) -> DataFrame:
+    """player, i: distinct players numbered from 0, in the order of a hash prefix and, within
+    it, of the name. Only the sizes of the 4,096 prefixes meet in one task."""
+    listed = players.select("player").distinct().withColumn("_bucket", F.substring(F.sha2("player", 256), 1, 3))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = listed.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", before.alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("player"))
+    return listed.join(F.broadcast(starts), "_bucket").select("player", (F.col("_start") + nth - 1).cast("long").alias("i"))
+
+
 def hashed_weights(players: DataFrame, replicates: int, seed: int) -> DataFrame:
     """rep, player, w: in each replicate as many draws as there are players, each a hash of
-    (seed, rep, draw) modulo the number of players in order. Draws are counted per player
-    before anything is joined."""
-    order = Window.orderBy("player")
-    listed = players.select("player").distinct().withColumn("i", (F.row_number().over(order) - 1).cast("long"))
-    n = listed.agg(F.count("*").alias("n"))
-    reps = players.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    draws = reps.crossJoin(F.broadcast(n)).where("n > 0").select("rep", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    (seed, rep, draw) modulo the number of players. Draws are rows of a distributed range,
+    counted per player before anything is joined."""
+    listed = numbered_players(players)
+    n = listed.count()
+    draws = players.sparkSession.range(replicates * n).select(F.floor(F.col("id") / max(n, 1)).alias("rep"), (F.col("id") % max(n, 1)).alias("j"))
     head = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("rep"), F.lit(":"), F.col("j")), 256), 1, 16)
-    hit = (F.conv(head, 16, 10).cast("decimal(20,0)") % F.col("n")).cast("long")
+    hit = (F.conv(head, 16, 10).cast("decimal(20,0)") % F.lit(max(n, 1))).cast("long")
     return draws.select("rep", hit.alias("i")).groupBy("rep", "i").agg(F.count("*").alias("w")).join(listed, "i").select("rep", "player", "w")
 
 
+def poisson_weights(players: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """rep, player, w with w ~ Poisson(1) from a hash of (seed, rep, player): what draws with
+    replacement come to with many players. Each player's row makes its own weights, so
+    nothing is shuffled, and replicates with weight 0 have no row."""
+    steps = [sum(1 / math.factorial(j) for j in range(k + 1)) / math.e for k in range(16)]
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col("player")), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    w = sum((F.col("_u") >= F.lit(x)).cast("long") for x in steps[1:]) + (F.col("_u") >= F.lit(steps[0])).cast("long")
+    drawn = players.select("player").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).withColumn("_u", u)
+    return drawn.select("rep", "player", w.alias("w")).where("w > 0")
+
+
 def multinomial_weights(spark: SparkSession, players: list[str], replicates: int, seed: int) -> DataFrame:
     """The same from numpy's multinomial, for a player list that fits the driver."""
     if not players:

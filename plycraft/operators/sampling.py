@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,30 +58,29 @@ def stratified(rows: DataFrame, table: dict[int, dict[str, int]], *, order: str
     A row that finds its stratum full does not use up its player's cap, so acceptance is a
     fold and no window gives it. A player has one part and quotas are per part, hence parts
     are independent folds. Only rows that can still matter reach them: of a player and band
-    no more than the cap that arrives first can ever be accepted before any other of the
-    same player and band, and the fold sees narrow columns alone."""
+    no more than the cap, or the stratum's quota, can be accepted, and the first to arrive
+    come first. A fold reads its part batch by batch, in order, and holds counts alone; it
+    sees narrow columns."""
     plan = {p: {b: q[p] for b, q in table.items()} for p in PARTS}
 
-    def fold(key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = dict(plan.get(key[0], {}))
-        used: dict[str, int] = {}
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = {p: dict(q) for p, q in plan.items()}
+        used: Counter[tuple[str, str]] = Counter()
         for pdf in frames:
             taken = []
-            for i, player, band in zip(pdf["decision_id"], pdf["player"], pdf["band"], strict=True):
-                if left.get(band, 0) > 0 and used.get(player, 0) < cap:
-                    left[band] -= 1
-                    used[player] = used.get(player, 0) + 1
+            for i, player, band, part in zip(pdf["decision_id"], pdf["player"], pdf["band"], pdf["partition"], strict=True):
+                if left[part].get(band, 0) > 0 and used[part, player] < cap:
+                    left[part][band] -= 1
+                    used[part, player] += 1
                     taken.append(i)
             yield pd.DataFrame({"decision_id": taken}, dtype=object)
 
-    narrow = rows.select("decision_id", "player", band_of(F.col("rating")).alias("band"), "partition", F.col(order).alias("_ord"))
+    narrow = rows.where(F.col("partition").isin(*PARTS)).select("decision_id", "player", band_of(F.col("rating")).alias("band"), "partition", F.col(order).alias("_ord"))
+    room = F.create_map(*[F.lit(x) for p, q in plan.items() for b, n in q.items() for x in (f"{p}:{b}", n)])
+    most = F.least(F.lit(cap), F.coalesce(F.try_element_at(room, F.concat_ws(":", "partition", "band")), F.lit(0)))
     nth = F.row_number().over(Window.partitionBy("player", "band").orderBy("_ord"))
-    few = narrow.withColumn("_nth", nth).where(F.col("_nth") <= cap).drop("_nth")
-
-    def ordered(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(fold(key, iter([pdf.sort_values("_ord", kind="stable")])))
-
-    return few.groupBy("partition").applyInPandas(ordered, "decision_id string")
+    few = narrow.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
+    return few.repartition("partition").sortWithinPartitions("partition", "_ord").mapInPandas(fold, "decision_id string")
 
 
 def one_per_position(rows: DataFrame, key: str = "decision_id") -> DataFrame:

@@ -37,15 +37,13 @@ def terms_of(text: Column, *, stop: list[str] | None = None, pattern: str = TOKE
     return F.element_at(hold, 1)
 
 
-def term_counts(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
-    return docs.select(key, F.explode(terms_of(F.col(text), **how)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
 def fit(docs: DataFrame, key: str, text: str, *, max_terms: int = MAX_TERMS, **how) -> DataFrame:
     """term, idx, idf: the most frequent terms (ties by term), numbered in term order; idf is
-    ln((1 + n) / (1 + df)) + 1. No texts or no terms give an empty vocabulary."""
-    counts = term_counts(docs, key, text, **how)
-    per = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    ln((1 + n) / (1 + df)) + 1. No texts or no terms give an empty vocabulary. A text's terms
+    are sorted in its row, where the first of each marks the text as having it; so counting
+    needs one aggregation by term, combined before its shuffle."""
+    marked = F.element_at(F.transform(F.array(F.sort_array(terms_of(F.col(text), **how))), lambda t: F.transform(t, lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get(t, i - 1) != x)).cast("int").alias("first")))), 1)
+    per = docs.select(F.explode(marked).alias("t")).groupBy("t.term").agg(F.count("*").alias("total"), F.sum("t.first").alias("df"))
     top = per.orderBy(F.col("total").desc(), "term").limit(max_terms)
     n = docs.agg(F.count("*").alias("n"))
     return top.crossJoin(F.broadcast(n)).select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -53,10 +51,12 @@ def fit(docs: DataFrame, key: str, text: str, *, max_terms: int = MAX_TERMS, **h
 
 def weights(docs: DataFrame, model: DataFrame, key: str, text: str, **how) -> DataFrame:
     """key, term, idx, weight: (1 + ln tf) * idf, of unit length per text. The vocabulary is
-    at most ``max_terms`` rows and is broadcast."""
-    hits = term_counts(docs, key, text, **how).join(F.broadcast(model), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-    length = hits.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return hits.join(length, key).select(key, "term", "idx", (F.col("raw") / F.col("length")).alias("weight"))
+    at most ``max_terms`` rows and is broadcast, and other terms go before anything is
+    shuffled."""
+    known = docs.select(key, F.explode(terms_of(F.col(text), **how)).alias("term")).join(F.broadcast(model), "term")
+    hits = known.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("idx").alias("idx"), F.first("idf").alias("idf")).withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    whole = hits.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"), F.collect_list(F.struct("term", "idx", "raw")).alias("hits"))  # at most max_terms of a text
+    return whole.select(key, "length", F.explode("hits").alias("h")).select(key, "h.term", "h.idx", (F.col("h.raw") / F.col("length")).alias("weight"))
 
 
 def vectors(docs: DataFrame, model: DataFrame, key: str, text: str, **how) -> DataFrame:

@@ -11,6 +11,7 @@ import json
 import math
 import os
 import uuid
+from collections.abc import Iterable
 from hashlib import sha256
 from pathlib import Path
 from typing import Any
@@ -84,6 +85,23 @@ class Run:
         os.replace(staged, path)
         return path
 
+    def write_json_rows(self, name: str, head: dict, key: str, rows: Iterable[str], *, fixed: bool = False) -> Path:
+        """A document whose last entry ``key`` is a list, written row by row (each already
+        JSON) as they come, so the list never is in memory. ``fixed`` as in ``write_json``."""
+        path = self.path(name)
+        path.parent.mkdir(parents=True, exist_ok=True)
+        staged = path.with_name(f".{path.name}-{uuid.uuid4().hex}")
+        with staged.open("w", encoding="utf-8") as out:
+            out.write(json.dumps(head, sort_keys=True, ensure_ascii=False, allow_nan=False)[:-1] + f', "{key}": [')
+            for n, row in enumerate(rows):
+                out.write((",\n" if n else "\n") + row)
+            out.write("\n]}")
+        if fixed and path.exists() and sha256(path.read_bytes()).digest() != sha256(staged.read_bytes()).digest():
+            staged.unlink()
+            raise ValueError(f"{name} already exists with different content")
+        os.replace(staged, path)
+        return path
+
     def write_text(self, name: str, text: str) -> Path:
         path = self.path(name)
         path.parent.mkdir(parents=True, exist_ok=True)

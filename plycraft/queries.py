@@ -207,7 +207,7 @@ def player_denominators(spark, d):
 
 
 #: Share of decisions of type 'purchase'-like context within a band: a rate that varies.
-RATES = f"""{DECISIONS}, q AS (SELECT player, band, CAST(count(*) AS BIGINT) AS decisions, CAST(sum(CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM d GROUP BY player, band), l AS (SELECT player, row_number() OVER (ORDER BY player) - 1 AS i FROM (SELECT DISTINCT player FROM d)), n AS (SELECT count(*) AS n FROM l), draws AS (SELECT rep, CAST(concat('0x', substr(sha256(concat('{SEED}:', CAST(rep AS VARCHAR), ':', CAST(j AS VARCHAR))), 1, 16)) AS UBIGINT) % n.n AS i FROM n, (SELECT unnest(range({REPS})) AS rep) r, LATERAL (SELECT unnest(range(n.n)) AS j) x), w AS (SELECT rep, l.player, count(*) AS w FROM draws JOIN l ON draws.i = l.i GROUP BY rep, l.player), s AS (SELECT rep, band, sum(w * hits) AS hits, sum(w * decisions) AS decisions FROM q JOIN w USING (player) GROUP BY rep, band), v AS (SELECT rep, band, CAST(hits AS DOUBLE) / nullif(CAST(decisions AS DOUBLE), 0) * 100 AS rate FROM s)"""
+RATES = f"""{DECISIONS}, q AS (SELECT player, band, CAST(count(*) AS BIGINT) AS decisions, CAST(sum(CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM d GROUP BY player, band), l AS (SELECT player, row_number() OVER (ORDER BY substr(sha256(player), 1, 3), player) - 1 AS i FROM (SELECT DISTINCT player FROM d)), n AS (SELECT count(*) AS n FROM l), draws AS (SELECT rep, CAST(concat('0x', substr(sha256(concat('{SEED}:', CAST(rep AS VARCHAR), ':', CAST(j AS VARCHAR))), 1, 16)) AS UBIGINT) % n.n AS i FROM n, (SELECT unnest(range({REPS})) AS rep) r, LATERAL (SELECT unnest(range(n.n)) AS j) x), w AS (SELECT rep, l.player, count(*) AS w FROM draws JOIN l ON draws.i = l.i GROUP BY rep, l.player), s AS (SELECT rep, band, sum(w * hits) AS hits, sum(w * decisions) AS decisions FROM q JOIN w USING (player) GROUP BY rep, band), v AS (SELECT rep, band, CAST(hits AS DOUBLE) / nullif(CAST(decisions AS DOUBLE), 0) * 100 AS rate FROM s)"""
 
 
 def _rates(spark, d):
@@ -426,25 +426,32 @@ def relation_features(spark, d):
 
 
 def _scored(spark, d):
-    """Continuations for each decision: what was played later in the game, and the first
-    legal alternative, one ply each."""
+    """Continuations for each decision, as long as the default horizon: the played line goes
+    on with the first legal moves, the preferred one begins with the first alternative."""
     from .kernel.board import uci
     from .operators import encoding
 
+    def onward(board, plies):
+        out = []
+        while len(out) < plies and not board.over():
+            move = board.legal()[0]
+            out.append(uci(move))
+            board = board.play(move)
+        return out
+
     def lines(row):
-        board = encoding.start_of(row)
-        other = [uci(m) for m in board.legal() if uci(m) != row["move"]]
-        after = board.play(encoding.legal_line(board, [row["move"]], "played")[0])
-        return {"before_pv": other[:1] or [row["move"]], "after_pv": [uci(m) for m in after.legal()[:1]]}
+        board, after = encoding.follow(encoding.start_of(row), [row["move"]]).sound("played move").boards
+        other = next((m for m in board.legal() if uci(m) != row["move"]), board.legal()[0])
+        return {"before_pv": [uci(other), *onward(board.play(other), 5)], "after_pv": onward(after, 5)}
 
-    return encoding.kernel_map(_recorded(spark, d), lines, "before_pv array<string>; after_pv array<string>")
+    return encoding.kernel_map(_recorded(spark, d), lines, "before_pv array<string>, after_pv array<string>", (*encoding.PLACE, "move"))
 
 
 @query()
 def trajectory_vectors(spark, d):
     from .operators import encoding
 
-    return encoding.encode_episodes(_scored(spark, d), 1).select("decision_id", "available", "informative", F.sha2(F.to_json("vector"), 256).alias("vector_sha256"))
+    return encoding.encode_episodes(_scored(spark, d)).select("decision_id", "available", "informative", F.sha2(F.to_json("vector"), 256).alias("vector_sha256"))
 
 
 @query()

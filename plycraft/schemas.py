@@ -27,6 +27,8 @@ EPISODES = _struct(
 #: Relation counts are one packed array, in the order of ``relation_names``.
 FEATURES = _struct("decision_id:s feats:ai")
 
+# The names of phases, relations and outcomes, and how column names are made of
+# them, are those of the tables that a study exchanges with others.
 PHASES = ("before", "after", "created", "removed", "retained")
 RELATIONS = ("attack", "protect", "enemy_attack", "enemy_protect", "capture_own", "capture_enemy")
 OUTCOMES = ("mover_win", "draw", "mover_loss")

@@ -79,7 +79,7 @@ def test_fixture_archive(spark, tmp_path):
         games = archive.scan(spark, str(tmp_path / name))
         assert [r[0] for r in games.orderBy("game_ordinal").select("game_ordinal").collect()] == [1, 2]
         rows = archive.candidates(games, seed=1, fixture=True).collect()
-        assert len(rows) == 13 and {r["rating"] for r in rows} == {600} and {r["game_id"] for r in rows} == {"fixture-1", "fixture-2"}
+        assert len(rows) == 7 and {r["rating"] for r in rows} == {600} and {r["game_id"] for r in rows} == {"fixture-1", "fixture-2"}
         assert all(list(r["history"]) == [] for r in rows if r["ply"] == 0)
 
 
@@ -219,17 +219,107 @@ def test_tampering_is_found(spark, tmp_path):
         r.write_json("n.json", {"a": float("nan")})
 
 
-def audits(n_right, d_right=0.02, wrong=()):
-    return [(True, d_right)] * n_right + [(False, d) for d in wrong]
-
-
-def test_calibration():
-    group = {"radius": 0.2}
-    assert taxonomy.calibrated_radius(group, audits(5)) == 0.05
-    assert taxonomy.calibrated_radius(group, audits(8, 0.1, [0.15])) == 0.1
-    for bad in (audits(4), audits(5, 0.02, [0.1, 0.1]), audits(8, 0.1, [0.05])):
-        with pytest.raises(ValueError):
-            taxonomy.calibrated_radius(group, bad)
+GROUPS = [("c1", True, [f"e{i}" for i in range(9)], 0.2)]
+
+
+def judged(spark, distances, verdicts, reviews=None):
+    """Calibration and acceptance of one cluster by verdicts on selection episodes."""
+    groups = spark.createDataFrame(GROUPS, "cluster_id string, supported boolean, episode_ids array<string>, radius double")
+    assigned = spark.createDataFrame([(f"s{i}", "c1", float(d)) for i, d in enumerate(distances)], "decision_id string, cluster_id string, distance double")
+    entries = [{"decision_id": f"s{i}", "cluster_id": "c1", "correct": v} for i, v in enumerate(verdicts)]
+    limits = taxonomy.calibrated(taxonomy.audited(taxonomy.verdict_table(spark, entries), assigned), groups)
+    review = {"cluster_id": "c1", "accepted": True, "coherent": True, "name": "n", "reason": "clear", "supporting_episode_ids": ["e1", "e2", "e3"]}
+    return [r.asDict() for r in taxonomy.accepted_families(taxonomy.review_table(spark, [review | x for x in reviews or [{}]]), groups, limits).collect()]
+
+
+def test_calibration(spark):
+    assert judged(spark, [0.02] * 5, [True] * 5)[0]["calibrated"] == 0.05
+    assert judged(spark, [0.1] * 8 + [0.15], [True] * 8 + [False])[0]["calibrated"] == 0.1
+    got = judged(spark, [0.03] * 8 + [0.04], [True] * 8 + [False])[0]
+    assert abs(got["calibrated"] - 0.04) < 1e-8 and (got["right"], got["judged"]) == (8, 9)
+    for distances, verdicts, rule in (([0.02] * 4, [True] * 4, "5 correct"), ([0.02] * 5 + [0.1] * 2, [True] * 5 + [False] * 2, "80%"), ([0.1] * 8 + [0.05], [True] * 8 + [False], "retains"), ([0.1] * 5, [True] * 4 + [1], "true or false")):
+        with pytest.raises(ValueError, match=rule):
+            judged(spark, distances, verdicts)
+
+
+@pytest.mark.parametrize("change,rule", [({"accepted": 1}, "true or false"), ({"reason": "Pending review"}, "rationale"), ({"reason": " "}, "rationale"), ({"supporting_episode_ids": ["e1", "e2", "x"]}, "from the cluster"), ({"supporting_episode_ids": ["e1", "e2", "e2"]}, "3 examples"), ({"name": ""}, "a name"), ({"coherent": False}, "is coherent"), ({"cluster_id": "c9"}, "every cluster is reviewed|of the model")])
+def test_reviews_are_checked(spark, change, rule):
+    with pytest.raises(ValueError, match=rule):
+        judged(spark, [0.02] * 5, [True] * 5, [change])
+    with pytest.raises(ValueError, match="reviewed once"):
+        judged(spark, [0.02] * 5, [True] * 5, [{}, {}])
+    assert judged(spark, [0.02] * 5, [True] * 5, [{"accepted": False, "supporting_episode_ids": []}]) == []
+
+
+def test_verdicts_must_be_about_actual_assignments(spark):
+    assigned = spark.createDataFrame([("s0", "c1", 0.1), ("s1", None, None)], "decision_id string, cluster_id string, distance double")
+    for entries, rule in (([("s9", "c1", True)], "selection episode"), ([("s0", "c2", True)], "that was made"), ([("s1", "c1", True)], "that was made"), ([("s0", "c1", True)] * 2, "one verdict")):
+        given = taxonomy.verdict_table(spark, [dict(zip(("decision_id", "cluster_id", "correct"), e, strict=True)) for e in entries])
+        with pytest.raises(ValueError, match=rule):
+            taxonomy.audited(given, assigned)
+
+
+ENGINE = """#!{python}
+import sys
+sys.path.insert(0, {root!r})
+from plycraft.kernel.board import Board, parse_uci, uci
+board = None
+for line in sys.stdin:
+    words = line.split()
+    if words[0] == "uci":
+        print("id name Toy\\nuciok", flush=True)
+    elif words[0] == "isready":
+        print("readyok", flush=True)
+    elif words[0] == "position":
+        board = Board.from_fen(" ".join(words[2:8]))
+        for m in words[9:]:
+            board = board.play(parse_uci(m))
+    elif words[0] == "go":
+        m = uci(board.legal()[0])
+        print("info string nodes", words[2])
+        print("info depth 1 multipv 1 score cp 1 lowerbound wdl 1 1 998 pv", m)
+        print("info depth 2 multipv 2 score cp 90 wdl 900 100 0 pv", m)
+        print("info depth 2 multipv 1 score cp 30 wdl 500 300 200 nodes 9 pv", m, flush=True)
+        print("bestmove", m, flush=True)
+    elif words[0] == "quit":
+        break
+"""
+
+
+def test_uci_engine(spark, run, tmp_path):
+    import sys
+    from pathlib import Path
+
+    from plycraft.sources import uci as engine
+
+    path = tmp_path / "toy"
+    path.write_text(ENGINE.format(python=sys.executable, root=str(Path(__file__).resolve().parent.parent)))
+    path.chmod(0o755)
+    some = run.table("decisions").orderBy("ord").limit(12)
+    over = spark.createDataFrame([("mate", "6k1/5ppp/8/8/8/8/8/K3R3 w - - 0 1", [], "e1e8")], "decision_id string, initial_fen string, history array<string>, move string")
+    todo = some.select("decision_id", "initial_fen", "history", "move").unionByName(over)
+    rows = {r["decision_id"]: r for r in engine.scorer([str(path)], workers=2)(todo, {"nodes": 50}).collect()}
+    assert len(rows) == 13
+    mate = rows.pop("mate")
+    assert (mate["after_mate"], mate["after_expected"], mate["after_pv"], mate["before_expected"]) == (0, 1.0, [], 0.65)
+    for r in rows.values():
+        assert (r["before_cp"], r["after_cp"], r["before_bound"], r["before_depth"]) == (30, -30, "exact", 2)
+        assert abs(r["before_expected"] - 0.65) < 1e-12 and abs(r["loss"] - 0.3) < 1e-12 and len(r["before_pv"]) == 1
+    fresh = Run(spark, tmp_path / "engine")
+    fresh.write_table("decisions", some)
+    name = stages.analyse(fresh, engine.scorer([str(path)]), nodes=50, settings=engine.settings(str(path)))
+    assert stages.analyses(fresh, name).count() == 12 and fresh.json(f"{name}.config.json")["threads"] == 1
+
+
+def test_sampling_stops_when_it_has_enough(spark, run, games, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "FIRST_GAMES", 3)
+    fresh = Run(spark, tmp_path / "early")
+    rows = stages.sample(fresh, str(games), count=100, seed=7)
+    whole = Run(spark, tmp_path / "whole")
+    monkeypatch.setattr(stages, "FIRST_GAMES", 10**6)
+    assert fingerprint(stages.sample(whole, str(games), count=100, seed=7)) == fingerprint(rows)
+    assert fresh.table("candidates").agg(F.max("game_ordinal")).first()[0] <= 24 < whole.table("candidates").agg(F.max("game_ordinal")).first()[0]
+    assert fresh.json("config.json")["scanned_games"] == whole.json("config.json")["scanned_games"] < 24
 
 
 def test_semantic_study(spark, games, tmp_path):
@@ -256,6 +346,16 @@ def test_semantic_study(spark, games, tmp_path):
     model = run.json("embedding-model.json")
     assert "loses material" in model["vocabulary"] and "zebra" not in model["vocabulary"] and not any("e4" in t for t in model["vocabulary"])
     assert done.where("partition = 'selection' and available").isEmpty() and done.where("partition = 'discovery' and not available").isEmpty()
+    other = Run(spark, tmp_path / "other")
+    for name in ("episodes.config.json", "taxonomy.json"):
+        other.write_json(name, run.json("episodes.config.json") | {"stable_gate": {"min_loss": 0.5}})
+    with pytest.raises(ValueError, match="stability gate"):
+        stages.import_descriptions(run, str(source), other)
+    config = run.json("episodes.config.json")
+    run.write_json("episodes.config.json", config | {"note": "edited"})
+    with pytest.raises(ValueError, match="changed: episodes.config.json"):
+        stages.cluster(run, distance=0.6)
+    run.write_json("episodes.config.json", config)
     name = stages.cluster(run, distance=0.6)
     assert run.json(name)["scaling"] == "identity" and sum(run.json(name)["clusters"][0]["description_author_counts"].values()) > 0
     with pytest.raises(ValueError):
