@@ -3,11 +3,12 @@
 A word is the bag of its byte n-grams (3 to 6, with word-boundary marks) and itself, hashed
 into buckets; its vector is the mean of the buckets' embeddings, so an unseen misspelling
 shares most of its vector with the word it distorts. A word of more than 48 bytes counts as
-several, so text without white space is scored whole, passage by passage. A passage of ``window`` words is the
-mean of its word vectors and goes through a two-class linear softmax; embeddings and
-softmax are trained together. A document is scored by its most toxic passage, so a long
-clean text does not dilute a short insult; labels are per document, and training picks the
-passage that stands for each one anew in every round.
+several, so text without white space is scored whole. A passage, the mean of ``window``
+neighbouring word vectors (of all of a shorter text), goes through a two-class linear
+softmax; embeddings and softmax are trained together. A document is scored by its most toxic
+passage, of those that begin at any of its words, so a long clean text does not dilute a
+short insult, wherever it stands; labels are per document, and training picks the passage
+that stands for each one anew in every round.
 
 The classifier is fitted on at most ``per_class`` labelled documents of each class, the
 first by a hash of their id (documented bound); everything is scored. Only the text is an
@@ -93,13 +94,24 @@ def unique_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return start[first], end[first], inverse, row, distinct
 
 
-def passages(row: np.ndarray, window: int) -> np.ndarray:
-    """Start positions of passages in the sequence of words: every ``window`` words of a row."""
+def passages(row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of passages in the sequence of words: ``window`` words from any word on
+    that has so many left in its row; a shorter row is one passage."""
     if not len(row):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    within = np.arange(len(row)) - np.repeat(new, np.diff(np.r_[new, len(row)]))
-    return np.flatnonzero(within % window == 0)
+    size = np.diff(np.r_[new, len(row)])
+    begin = np.flatnonzero(np.arange(len(row)) - np.repeat(new, size) <= np.repeat(np.maximum(size - window, 0), size))
+    return begin, np.minimum(begin + window, (new + size)[np.searchsorted(new, begin, "right") - 1])
+
+
+def over_passages(value: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int, fold: np.ufunc, empty: float) -> np.ndarray:
+    """``fold`` of the values in each passage, in the order of its words."""
+    out = np.full(len(begin), empty)
+    for k in range(window):
+        inside = begin + k < end
+        out[inside] = fold(out[inside], value[begin[inside] + k])
+    return out
 
 
 def word_scalars(theta: np.ndarray, ids: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
@@ -142,9 +154,7 @@ def train(texts: list[str], toxic: np.ndarray, *, seed: int = 3, rounds: int = 1
         words.append((w + a).astype(np.int32))
     ids, words = np.concatenate(ids), np.concatenate(words)
     first = np.searchsorted(words, np.arange(len(start) + 1))
-    begin = passages(row, window)
-    stop = np.r_[begin[1:], len(row)]
-    stop = np.minimum(stop, begin + window)
+    begin, stop = passages(row, window)
     owner = row[begin]
     n_docs = len(texts)
     lo, hi = np.searchsorted(owner, np.arange(n_docs)), np.searchsorted(owner, np.arange(n_docs), "right")
@@ -153,7 +163,7 @@ def train(texts: list[str], toxic: np.ndarray, *, seed: int = 3, rounds: int = 1
     w, b = (rng.standard_normal(DIM) * 0.5).astype(np.float32), np.float32(0)
     g_emb, g_w, g_b = np.full((BUCKETS, 1), 1e-3, np.float32), np.full(DIM, 1e-3, np.float32), np.float32(1e-3)
     first_guess = seed_scores(inverse, row, toxic, ids, first)[inverse]
-    guess = np.maximum.reduceat(first_guess, begin)
+    guess = over_passages(first_guess, begin, stop, window, np.maximum, -np.inf)
 
     def best_passage(z: np.ndarray) -> np.ndarray:
         order = np.lexsort((-z, owner))
@@ -164,7 +174,7 @@ def train(texts: list[str], toxic: np.ndarray, *, seed: int = 3, rounds: int = 1
         if step < 4:  # the model knows little yet
             top = best_passage(guess)
         else:
-            z = np.add.reduceat(word_scalars(emb @ w, ids, words, len(start))[inverse], begin) / (stop - begin)
+            z = over_passages(word_scalars(emb @ w, ids, words, len(start))[inverse], begin, stop, window, np.add, 0.0) / (stop - begin)
             top = best_passage(z)
         picked = np.r_[top, any_one[~toxic[have]]]
         rng.shuffle(picked)
@@ -210,9 +220,8 @@ def score_batch(model: Model, column: pa.Array) -> np.ndarray:
             for a in range(0, len(start), 20_000):
                 ids, words = word_features(data, start[a : a + 20_000], end[a : a + 20_000])
                 scalar[a : a + 20_000] = word_scalars(model.theta, ids, words, len(start[a : a + 20_000]))
-            begin = passages(row, model.window)
-            size = np.minimum(np.r_[begin[1:], len(row)] - begin, model.window)
-            z = np.add.reduceat(scalar[inverse], begin) / size + model.bias
+            begin, end = passages(row, model.window)
+            z = over_passages(scalar[inverse], begin, end, model.window, np.add, 0.0) / (end - begin) + model.bias
             top = np.full(len(best), -np.inf)
             np.maximum.at(top, row[begin], z)
             best = np.where(np.isfinite(top), top, best)
