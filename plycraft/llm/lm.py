@@ -39,7 +39,7 @@ from . import ppm
 from .common import LOWER, Scratch, crc_mod, filesystem, mix, pieces_by_bytes, put_file, shuffle_partitions, span_hashes, string_bytes, text_of, word_spans, workspace
 
 #: Bytes of text in a block, and in the pieces that temporaries are made of.
-TEXT, PIECE = 16 << 20, 1 << 20
+TEXT, PIECE = 12 << 20, 1 << 20
 #: Keys that one split of a part is asked, about.
 ASKED = 1 << 23
 
