@@ -81,5 +81,10 @@ def audit_delta(old: DataFrame, deep: DataFrame, threshold: float, unstable_abov
     return rows.withColumn("gate_changed", (F.col("original_loss") >= threshold) != (F.col("deep_loss") >= threshold)).withColumn("unstable", (F.abs("delta") > unstable_above) | (F.col("deep_loss") < threshold))
 
 
+def loss_summary(rows: DataFrame, group: str) -> DataFrame:
+    """How many rows a group has, what they cost, and how many players and positions they rest on."""
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("loss").alias("mean_loss"), F.median("loss").alias("median_loss"), F.sum("loss").alias("total_loss"), F.countDistinct("player").alias("unique_players"), F.countDistinct("position").alias("unique_positions"))
+
+
 def audit_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("count"), F.count_if("unstable").alias("unstable_count"), F.max(F.abs("delta")).alias("max_absolute_delta"))

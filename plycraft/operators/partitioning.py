@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import part_of, part_rank
@@ -55,6 +55,11 @@ def overlap(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return a.select(column).intersect(b.select(column))
 
 
+def set_deltas(old: str, new: str) -> dict[str, Column]:
+    """Sizes of what a set column's successor created, removed and retained."""
+    return {"created": F.size(F.array_except(new, old)), "removed": F.size(F.array_except(old, new)), "retained": F.size(F.array_intersect(old, new))}
+
+
 def all_known(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that are missing on either side or repeated on one, with their counts: empty if
     the two tables cover each other one to one."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import scalar as S
 from .operators import bootstrap, gates, partitioning, rules, sampling, text, vectors
 
-SEED, REPS, THRESHOLD = 20261006, 100, 100.0
+SEED, REPS, THRESHOLD = 20261006, 1000, 100.0
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -129,7 +129,13 @@ def player_cap_sample(spark, d):
     return sampling.capped(decisions(spark, d), 500).select("decision_id", "player")
 
 
-@query()
+STRATA = ", ".join(f"('{p}', {b}, {n})" for b, q in sampling.quotas(400, [0, 200, 400]).items() for p, n in q.items())
+
+
+@query(f"""WITH RECURSIVE {PARTED}, s AS (SELECT decision_id, player, part, CAST(floor(rating / 200) * 200 AS INTEGER) AS band, row_number() OVER (PARTITION BY part ORDER BY ord) AS k FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY player, floor(rating / 200) ORDER BY ord) <= 10)), q(part, band, n) AS (VALUES {STRATA}),
+f AS (SELECT part, CAST(0 AS BIGINT) AS k, map_from_entries(list((band, n))) AS room, MAP([''], [0]) AS used, CAST(NULL AS VARCHAR) AS decision_id, CAST(NULL AS VARCHAR) AS player, CAST(NULL AS INTEGER) AS band FROM q GROUP BY part
+UNION ALL SELECT s.part, s.k, CASE WHEN ok THEN map_concat(room, MAP([s.band], [room[s.band] - 1])) ELSE room END, CASE WHEN ok THEN map_concat(used, MAP([s.player], [coalesce(used[s.player], 0) + 1])) ELSE used END, CASE WHEN ok THEN s.decision_id END, s.player, s.band FROM (SELECT f.room, f.used, s.*, coalesce(f.room[s.band], 0) > 0 AND coalesce(f.used[s.player], 0) < 10 AS ok FROM f JOIN s ON s.part = f.part AND s.k = f.k + 1) s)
+SELECT decision_id, player, part AS partition, band FROM f WHERE decision_id IS NOT NULL""")
 def stratified_sample(spark, d):
     rows = partitioning.assigned(decisions(spark, d), SEED)
     return rows.join(sampling.stratified(rows, sampling.quotas(400, [0, 200, 400])), "decision_id").select("decision_id", "player", "partition", S.band_of(F.col("rating")).alias("band"))
@@ -143,9 +149,12 @@ def roundrobin_sample(spark, d):
     return sampling.round_robin(decisions(spark, d), 200, SEED, band=F.col("band")).select("decision_id", "band")
 
 
-@query("SELECT CAST(b AS INTEGER) AS band, p.part AS partition, CAST(CASE p.part WHEN 'discovery' THEN 75 WHEN 'selection' THEN 25 ELSE 25 END AS BIGINT) AS quota FROM (SELECT unnest([400, 600, 800, 1000]) AS b), (SELECT unnest(['discovery', 'selection', 'evaluation']) AS part) p")
+@query(f"""WITH {DECISIONS}, b AS (SELECT DISTINCT CAST(floor(rating / 200) * 200 AS INTEGER) AS band FROM d), n AS (SELECT band, 500 // count(*) OVER () + CAST(row_number() OVER (ORDER BY band) <= 500 % count(*) OVER () AS INTEGER) AS share FROM b),
+p AS (SELECT band, share, part, pct, i, share * pct // 100 AS base, row_number() OVER (PARTITION BY band ORDER BY share * pct % 100 DESC, i) AS nth FROM n, (VALUES ('discovery', 60, 0), ('selection', 20, 1), ('evaluation', 20, 2)) AS v(part, pct, i)), t AS (SELECT *, share - sum(base) OVER (PARTITION BY band) AS rest FROM p)
+SELECT band, part AS partition, CAST(base + CAST(nth <= rest AS INTEGER) AS BIGINT) AS quota FROM t""")
 def stratum_quotas(spark, d):
-    rows = [(b, p, n) for b, q in sampling.quotas(500, [400, 600, 800, 1000]).items() for p, n in q.items()]
+    bands = [r[0] for r in decisions(spark, d).select(S.band_of(F.col("rating"))).distinct().collect()]  # a few
+    rows = [(b, p, n) for b, q in sampling.quotas(500, bands).items() for p, n in q.items()]
     return spark.createDataFrame(rows, "band int, partition string, quota bigint")
 
 
@@ -237,8 +246,7 @@ def coverage_by_band(spark, d):
 
 @query(f"WITH {DECISIONS} SELECT context, CAST(count(*) AS BIGINT) AS n, round(avg(loss), 6) AS mean_loss, round(median(loss), 6) AS median_loss, round(sum(loss), 4) AS total_loss, CAST(count(DISTINCT player) AS BIGINT) AS unique_players, CAST(count(DISTINCT position) AS BIGINT) AS unique_positions FROM d GROUP BY context")
 def loss_summary(spark, d):
-    out = decisions(spark, d).groupBy("context").agg(F.count("*").alias("n"), F.avg("loss").alias("mean_loss"), F.median("loss").alias("median_loss"), F.sum("loss").alias("total_loss"), F.countDistinct("player").alias("unique_players"), F.countDistinct("position").alias("unique_positions"))
-    return _round(_round(out, "mean_loss", "median_loss"), "total_loss", digits=4)
+    return _round(_round(gates.loss_summary(decisions(spark, d), "context"), "mean_loss", "median_loss"), "total_loss", digits=4)
 
 
 @query(f"WITH {DECISIONS}, c AS (SELECT context, player, count(*) AS n FROM d GROUP BY context, player) SELECT context, CAST(count(*) AS BIGINT) AS \"distinct\", round(max(n) / sum(n), 9) AS largest_share, max(n) / sum(n) > 0.5 AS concentrated FROM c GROUP BY context")
@@ -344,7 +352,7 @@ def mask_notation(spark, d):
 def set_deltas(spark, d):
     w = _texts(spark, d).select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
     pairs = w.withColumnRenamed("w", "a").join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("b")), "doc_id")
-    return pairs.select("doc_id", F.size(F.array_except("b", "a")).alias("created"), F.size(F.array_except("a", "b")).alias("removed"), F.size(F.array_intersect("a", "b")).alias("retained"))
+    return pairs.select("doc_id", *[c.alias(n) for n, c in partitioning.set_deltas("a", "b").items()])
 
 
 # ---------------------------------------------------------------- rules
@@ -374,7 +382,7 @@ def rule_evidence(spark, d):
 @query()
 def extra_trees_rules(spark, d):
     rows = _rule_rows(spark, d).where("partition = 'discovery'").select("decision_id", F.array(F.col("rating").cast("int"), F.col("weekday"), (F.col("ord") % 24).cast("int")).alias("feats"), "loss")
-    found = rules.fit_rules(rows, ["rating", "weekday", "hour"], trees=20, seed=SEED)
+    found = rules.fit_rules(rows, ["rating", "weekday", "hour"], seed=SEED)
     return spark.createDataFrame([(i, str(r)) for i, r in enumerate(found)], "rule bigint, conditions string")
 
 
@@ -407,6 +415,39 @@ def games(spark, d):
     return table(spark, d, "events").select("user_id").distinct().mapInPandas(make, "game_ordinal bigint, text string")
 
 
+#: Openings of the archive query: notation, and each choice with the position before it.
+_HOME, _LAST = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -", "RNBQKBNR"
+OPENINGS = [
+    ("1. e4 {best} e5 (1... c5 2. Nf3) 2. Nf3 *", [("e2e4", _HOME), ("e7e5", f"rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/{_LAST} b KQkq -"), ("g1f3", f"rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/{_LAST} w KQkq -")]),
+    ("1. d4 d5 2. c4 dxc4 1/2-1/2", [("d2d4", _HOME), ("d7d5", f"rnbqkbnr/pppppppp/8/8/3P4/8/PPP1PPPP/{_LAST} b KQkq -"), ("c2c4", f"rnbqkbnr/ppp1pppp/8/3p4/3P4/8/PPP1PPPP/{_LAST} w KQkq -"), ("d5c4", f"rnbqkbnr/ppp1pppp/8/3p4/2PP4/8/PP2PPPP/{_LAST} b KQkq -")]),
+    ("1. e4 a6 2. e5 d5 3. exd6 1-0", [("e2e4", _HOME), ("a7a6", f"rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/{_LAST} b KQkq -"), ("e4e5", f"rnbqkbnr/1ppppppp/p7/8/4P3/8/PPPP1PPP/{_LAST} w KQkq -"), ("d7d5", f"rnbqkbnr/1ppppppp/p7/4P3/8/8/PPPP1PPP/{_LAST} b KQkq -"), ("e5d6", f"rnbqkbnr/1pp1pppp/p7/3pP3/8/8/PPPP1PPP/{_LAST} w KQkq d6")]),
+    ("1. e4 e5 2. Kd4 *", []),  # an illegal move: the game is skipped
+]
+_PLIES = ", ".join(f"({k}, {n}, '{m}', '{p}')" for k, (_, plies) in enumerate(OPENINGS) for n, (m, p) in enumerate(plies))
+_KIND = "CASE user_id % 7 WHEN 5 THEN 'Casual Rapid game' WHEN 6 THEN 'Rated Blitz game' ELSE 'Rated Rapid game' END"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT user_id FROM events), g AS (SELECT *, user_id % {len(OPENINGS)} AS opening FROM u WHERE user_id % 7 < 5 AND user_id % 11 <> 3 AND user_id % 13 <> 4), o(opening, ply, move, position) AS (VALUES {_PLIES}),
+c AS (SELECT *, CASE WHEN ply % 2 = 0 THEN 'w' ELSE 'b' END || CAST(user_id AS VARCHAR) AS player, CAST(CASE WHEN ply % 2 = 0 THEN 350 + user_id * 3 % 600 ELSE 400 + user_id * 7 % 400 END AS INTEGER) AS rating FROM g JOIN o USING (opening))
+SELECT CAST(user_id AS VARCHAR) || ':' || CAST(ply AS VARCHAR) AS decision_id, CAST(user_id AS VARCHAR) AS game_id, player, rating, CAST(ply AS INTEGER) AS ply, move, position, CAST(ply AS INTEGER) AS moves_before, {part_sql()} AS partition FROM c WHERE rating BETWEEN 400 AND 799""")
+def archive_files(spark, d):
+    """A game for every user, written to an archive as text and read from it: some are
+    casual, too quick, by programs, of another variant, or have an illegal move."""
+    from .session import shared_path
+    from .sources import archive
+
+    users = table(spark, d, "events").select("user_id").distinct()
+    tag = lambda name, value: F.concat(F.lit(f'[{name} "'), value.cast("string"), F.lit('"]\n'))
+    i = F.col("user_id")
+    heads = [tag("Event", F.expr(_KIND)), tag("Site", F.concat(F.lit("https://games/"), i)), tag("White", F.concat(F.lit("W"), i)), tag("Black", F.concat(F.lit("b"), i)), tag("WhiteElo", 350 + i * 3 % 600), tag("BlackElo", 400 + i * 7 % 400)]
+    odd = [F.when(i % 11 == 3, tag("WhiteTitle", F.lit("BOT"))).otherwise(""), F.when(i % 13 == 4, tag("Variant", F.lit("Chess960"))).otherwise("")]
+    moves = F.get(F.array(*[F.lit(m) for m, _ in OPENINGS]), (i % len(OPENINGS)).cast("int"))
+    path = shared_path(spark, "archive")
+    users.select(F.concat(*heads, *odd, F.lit("\n"), moves, F.lit("\n")).alias("value")).write.text(path)
+    rows = archive.candidates(archive.scan(spark, path), seed=SEED)
+    return rows.select("decision_id", "game_id", "player", "rating", "ply", "move", "position", F.size("history").alias("moves_before"), "partition")
+
+
 def _recorded(spark, d):
     from .sources import archive
 

@@ -23,6 +23,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path that the driver and all executors see: below ``spark.checkpoint.dir``,
+    which only a one-process session may do without."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or '/tmp/checkpoints/plycraft').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _shipped: set[str] = set()
 
 
