@@ -50,12 +50,15 @@ ARRIVALS = 3
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per id, from the live shards after all arrivals and compaction: its rows, the
+    characters of their texts, and whether one shard holds them all."""
     docs = documents(spark, sf_dir)
     store = ShardStore(spark, workspace(spark, "shards"))
     for k in range(ARRIVALS):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
     store.compact_fully()
-    return store.located("doc_id").withColumn("version", F.lit(store.versions()[-1]).cast("long"))
+    rows = store.located("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("stored_rows"), F.sum("chars").alias("text_chars"), (F.min("shard") == F.max("shard")).alias("one_shard"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +112,8 @@ e AS (SELECT page_id, n, h, max(page_id) OVER (PARTITION BY h) AS last FROM d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((16 * (strpos('0123456789abcdef', substr(h, CAST(5 * i // 4 + 1 AS INTEGER), 1)) - 1) + strpos('0123456789abcdef', substr(h, CAST(5 * i // 4 + 2 AS INTEGER), 1)) - 1) >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest, CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last > page_id THEN last END AS refers_to FROM e"""
 
 
-ORACLES: dict[str, str] = {"op3_warc": " ".join(_WARC_SQL.split()), "op8_quality_rules": " ".join(_quality_sql().split())}
+#: Ids of the tables are unique, so an id's rows are in one shard.
+_SHARD_SQL = "SELECT doc_id, count(*) AS stored_rows, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS text_chars, true AS one_shard FROM documents GROUP BY doc_id"
+
+
+ORACLES: dict[str, str] = {"op7_sharding": _SHARD_SQL, "op3_warc": " ".join(_WARC_SQL.split()), "op8_quality_rules": " ".join(_quality_sql().split())}

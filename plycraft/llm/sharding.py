@@ -163,7 +163,7 @@ class ShardStore:
         paths = [r[0] for r in files.select("path").orderBy("path").collect()]
         return self.spark.read.schema(schema).parquet(*(paths or [f"{self.folder}/schema"]))  # that folder has no rows
 
-    def located(self, *columns: str, version: int | None = None) -> DataFrame:
+    def located(self, *columns: str | Column, version: int | None = None) -> DataFrame:
         """Rows with the shard that holds them: the columns, shard, shard_rows, tier."""
         m = self.manifest(version).select(F.col("path").alias("_path"), "shard", F.col("rows").alias("shard_rows"), "tier")
         return self.read(version).select(*columns, F.col("_metadata.file_path").alias("_file")).join(m, F.col("_file") == F.col("_path")).drop("_file", "_path")

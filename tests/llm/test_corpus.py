@@ -146,6 +146,41 @@ def test_mix(spark, docs, none):
     assert mix_plan(none).count() == 0 and mixed(none).count() == 0
 
 
+def test_mix_with_many_sources_or_clashing_names(spark, docs, monkeypatch):
+    """The salted join gives what the broadcast gives, and helper columns are out of the way."""
+    from pyspark.sql import functions as F
+
+    from plycraft.llm import mixing
+
+    clash = docs.withColumns({n: F.lit(n) for n in ("shards", "mix_plan", "mix_size", "mix_copy", "_pd", "source_size", "target", "rows", "words", "block")})
+    rows = mixed(clash, block_docs=4, shard_blocks=2)
+    assert set(clash.columns) < set(rows.columns) and rows.where("shards <> 'shards'").isEmpty()
+    want = sorted(map(str, mix_plan(docs, block_docs=4, shard_blocks=2).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mix_plan(docs, block_docs=4, shard_blocks=2).collect())) == want
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 4)
+    assert mix_plan(docs, block_docs=1, shard_blocks=2).count() == len(want)
+
+
+def test_splitting_tree_draws_like_a_hypergeometric(spark):
+    """Shards are disjoint, exact in size, and hold each source as draws without replacement do."""
+    from plycraft.llm.mixing import _split
+
+    quotas = spark.createDataFrame([("a", 30), ("b", 10)], "source string, n bigint")
+    found = []
+    for seed in range(40):
+        rows = _split(4, quotas, seed).collect()
+        per = collections.Counter()
+        drawn = collections.defaultdict(list)
+        for r in rows:
+            per[r["shard"]] += r["n"]
+            drawn[r["source"]] += range(r["start"], r["start"] + r["n"])
+        assert set(per.values()) == {10} and sorted(drawn["a"]) == list(range(30)) and sorted(drawn["b"]) == list(range(10))
+        found += [r["n"] for r in rows if r["source"] == "b" and r["shard"] == 0] or [0]
+    mean, var = np.mean(found), np.var(found)
+    assert abs(mean - 2.5) < 0.6 and 0.5 < var < 3  # 10 of 40, 10 of them b: mean 2.5, variance 1.44
+
+
 def test_mix_nears_targets(spark):
     rows = [(i, prose(i % 300, 5 + i % 90), f"s{min(i % 7, 3)}") for i in range(4000)]
     plan = mix_plan(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), block_docs=64, shard_blocks=4).collect()
@@ -167,27 +202,76 @@ def shingles(t):
     return collections.Counter(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else collections.Counter([tuple(w)])
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    r = random.Random(2)
-    texts = []
-    for g in range(40):
-        words = prose(1000 + g, r.randint(20, 150)).split(" ")
-        for _ in range(r.randint(1, 6)):
+def weighted(texts, gain):
+    """Shingle weights of each text: count times inverse document frequency, from the definition."""
+    counts = [shingles(t) for t in texts]
+    df = collections.Counter(x for c in counts for x in c)
+    top = math.log(max(len(texts), 2))
+    return [{x: n * (1 + gain * (1 - math.log(df[x]) / top)) for x, n in c.items()} for c in counts]
+
+
+def jaccard(a, b):
+    return sum(min(a.get(x, 0), b.get(x, 0)) for x in {*a, *b}) / sum(max(a.get(x, 0), b.get(x, 0)) for x in {*a, *b})
+
+
+def near_texts(seed, groups, most):
+    r, texts = random.Random(seed), []
+    for g in range(groups):
+        words = prose(1000 + 7 * seed + g, r.randint(20, 150)).split(" ")
+        for _ in range(r.randint(1, most)):
             copy = list(words)
-            for _ in range(r.choice([0, 1, 1, 2, 8, 30])):
+            for _ in range(r.choice([0, 1, 1, 2, 3, 4, 8, 30])):
                 copy[r.randrange(len(copy))] = r.choice(VOCABULARY)
             texts.append(" ".join(copy))
+    return list(dict.fromkeys(texts))
+
+
+@pytest.mark.parametrize("gain,block", [(neardup.IDF_GAIN, 3), (neardup.IDF_GAIN, 256), (5.0, 2)])
+def test_near_duplicates_equal_brute_force(spark, gain, block):
+    """Classes are the components of all pairs of weighted similarity 0.8 or more, apart from
+    pairs that the draws may miss (none here)."""
+    texts = near_texts(2, 40, 9)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {x["doc_id"]: x["class_id"] for x in classes(df, block=3).collect()}
-    s = [shingles(t) for t in texts]
+    got = {x["doc_id"]: x["class_id"] for x in classes(df, gain=gain, block=block).collect()}
+    w = weighted(texts, gain)
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    close = 0
     for i in range(len(texts)):
         for j in range(i):
-            same = sum((s[i] & s[j]).values()) / sum((s[i] | s[j]).values())
-            if same >= 0.83:  # damped weights shift similarity by less than this margin
-                assert got[i] == got[j]
-            if same == 0:
-                assert got[i] != got[j]
-    assert got == {x["doc_id"]: x["class_id"] for x in classes(df.repartition(7)).collect()}
+            if abs(len(w[i]) - len(w[j])) < 50 and set(w[i]) & set(w[j]):
+                same = jaccard(w[i], w[j])
+                close += 0.75 < same < 0.85
+                if same >= 0.8:
+                    a, b = sorted((root(i), root(j)))
+                    parent[b] = a
+    assert close > 20
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_every_pair_of_a_mixed_bucket_is_compared(spark):
+    """Groups of a bucket together compare each pair of different components once, in blocks."""
+    r = random.Random(9)
+    named = [(k, 0, 1000 * k + i, 1000 * k + (0 if r.random() < 0.5 else r.randrange(5))) for k in range(12) for i in range(r.randrange(2, 30))]
+    named += [(99, 3, rep, comp) for key, _, rep, comp in named if key == 3]  # the same members again in another band
+    table = spark.createDataFrame(named, "key bigint, band int, rep bigint, comp bigint")
+    groups = collections.defaultdict(lambda: ([], []))
+    for x in neardup.mixed_buckets(table, 4).collect():
+        groups[x["key"], x["i"], x["j"]][x["side"]].append((x["rep"], x["comp"]))
+    seen = collections.Counter()
+    for (_, i, j), (left, right) in groups.items():
+        assert max(len(left), len(right)) < 4 * 5  # hashes deal unevenly
+        pairs = [(a, b) for a in left for b in right]
+        if i >= 0 and j == 0:
+            pairs += [(a, b) for n, a in enumerate(left) for b in left[n + 1 :]]
+        seen.update(tuple(sorted((a, b))) for (a, ca), (b, cb) in pairs if ca != cb)
+    want = {tuple(sorted((a[2], b[2]))) for a in named for b in named if a[0] == b[0] < 99 and a[3] != b[3]}
+    assert set(seen) == want and set(seen.values()) == {1}
 
 
 def test_near_duplicates_edges(docs, none):
@@ -351,6 +435,16 @@ def test_archives(spark, none):
         assert (got[i]["record_type"], got[i]["refers_to"]) == (("response", None) if last == i else ("revisit", last))
     order = [(r["key"], r["stamp"]) for r in index.orderBy("range", "position").collect()]
     assert order == sorted(order) and len(order) == len(htmls)
+    captures = spark.createDataFrame([(i, f"http://hot.org/{'a' if i % 7 else i}", f"<p>{i}</p>") for i in range(300)], "page_id bigint, url string, html string").repartition(5)
+    runs = warc.write_archives(captures, workspace(spark, "warc"), archive_bytes=4000)
+    for parts in (1, 4, 9):
+        got = warc.merged_index(runs, parts).orderBy("range", "position").collect()
+        seen = collections.Counter()
+        for r in got:  # a history is numbered through all ranges, in order of time
+            seen[r["key"]] += 1
+            assert r["nth"] == seen[r["key"]]
+        assert [(r["key"], r["stamp"]) for r in got] == sorted((r["key"], r["stamp"]) for r in got) and len(got) == 300
+        assert parts == 1 or len({r["range"] for r in got if r["key"].endswith("/a")}) > 1
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.write_archives(empty, workspace(spark, "warc")).count() == 0
 
@@ -441,6 +535,25 @@ def test_media_table(docs, none):
     assert media.media_features(none).count() == 0
 
 
+def test_odd_media_are_told(spark):
+    cells = [b"P5\n2 1\n255\nab", b"GIF89a", None, b"", b"P5\n9 9\n255\nab", b"P5\nx", b"BM", b"BM" + bytes(60), media.write_bmp(np.arange(12, dtype=np.uint8).reshape(2, 2, 3))]
+    rows = {r["doc_id"]: r for r in media.tiles(spark.createDataFrame([(i, 1, c) for i, c in enumerate(cells)], "doc_id bigint, n_bytes bigint, media binary")).collect()}
+    assert [rows[i]["error"] is None for i in range(9)] == [True, False, True, False, False, False, False, False, True]
+    assert rows[0]["payload_bytes"] == 2 and rows[1]["payload_sha256"] is None and rows[1]["media_bytes"] == 6 and rows[8]["feature"] is not None
+
+
+def test_stored_forms_and_features(spark, docs):
+    for form, write in (("pgm", media.write_pnm), ("bmp", media.write_bmp)):
+        for r in media.media_features(docs.limit(8), form=form).join(docs.select("doc_id", "text"), "doc_id").collect():
+            pixels = media.padded((r["text"] or "").encode())
+            stored = write(pixels)
+            assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+            x = pixels.astype(float)
+            cells = np.array([[np.repeat(np.repeat(x, 8, 0), 9, 1)[i * len(x) : (i + 1) * len(x), j * 24 : (j + 1) * 24].mean() for j in range(9)] for i in range(8)])
+            bits = "".join(str(int(b)) for b in (np.round(cells, 6)[:, :-1] > np.round(cells, 6)[:, 1:]).ravel())
+            assert int(r["feature"], 16) == int(bits, 2) and len(r["feature"]) == 16
+
+
 # ---------------------------------------------------------------- sharding
 
 
@@ -466,6 +579,47 @@ def test_compaction(spark, docs, none):
     assert empty.read().count() == 0 and empty.located("doc_id").count() == 0
 
 
+def test_dead_and_racing_writers(spark, docs, monkeypatch):
+    """Files of a writer that died before its commit are in nobody's way, and an append that
+    lost the race commits on the newer version."""
+    store = sharding.ShardStore(spark, workspace(spark, "shards"))
+    one, two = docs.where("doc_id < 5"), docs.where("doc_id >= 5")
+    monkeypatch.setattr(store, "commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        store.append(one)
+    monkeypatch.undo()
+    assert store.versions() == []
+    store.append(one)
+    other = sharding.ShardStore(spark, store.folder)
+    listed = store._listed
+
+    def late(batch, schema):  # the other writer commits while this one lists its files
+        if other.versions() == [1]:
+            other.append(two)
+        return listed(batch, schema)
+
+    monkeypatch.setattr(store, "_listed", late)
+    store.append(one)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert store.versions() == [1, 2, 3] and key(store.read()) == key(one.unionByName(two).unionByName(one))
+    assert store.vacuum() == 1 and key(store.read()) == key(one.unionByName(two).unionByName(one))
+
+
+def test_tiers_and_sizes(spark, docs):
+    """Compaction leaves no tier with runs to halve, and no file far beyond the target."""
+    store = sharding.ShardStore(spark, workspace(spark, "shards"), target_bytes=40_000)
+    for k in range(6):
+        store.append(docs.where(f"doc_id % 6 = {k}").repartition(4))
+    store.compact_fully()
+    files = store.manifest().collect()
+    small = collections.defaultdict(list)
+    for f in files:
+        if f["bytes"] < 40_000:
+            small[f["tier"]].append(f["bytes"])
+    assert all(len(x) < 2 or 2 * -(-sum(x) // 40_000) > len(x) for x in small.values())
+    assert sum(f["rows"] for f in files) == docs.where("doc_id is not null").count() and len(files) < 24
+
+
 # ---------------------------------------------------------------- toxicity
 
 
@@ -553,9 +707,86 @@ def test_queries_equal_sql(spark, small):
         assert [x.replace(".0", "") for x in plain(got)] == [x.replace(".0", "") for x in plain(want)]
 
 
+@pytest.fixture(scope="module")
+def odd(spark, docs, labels, tmp_path_factory):
+    """A folder of tables whose rows go wrong easily."""
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path_factory.mktemp("odd"))
+    clash = {n: F.lit(n) for n in ("shards", "toxicity_score", "rep", "class_id", "mix_plan", "quality_raw", "held_out", "t", "d")}
+    docs.withColumns(clash).write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "http://a", "<p>x</p>", "k"), (2, None, None, "k"), (3, "http://a", "<p>x</p>", "k")], "page_id bigint, url string, html string, key string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+def test_every_query_on_odd_tables(spark, odd, docs):
+    """The thin queries, called as the driver calls them: columns and values of their contracts."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from plycraft.llm import queries
+
+    rows = docs.collect()
+    text_of = lambda want: collections.Counter((r["doc_id"], *want(r["text"] or "")) for r in rows)
+    found = lambda name, *columns: collections.Counter(tuple(r[c] for c in ("doc_id", *columns)) for r in queries.QUERIES[name](spark, odd).collect())
+    crc = lambda i, n: zlib.crc32(("" if i is None else str(i)).encode()) % n == 0
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    tk = Tokenizer.from_file(tokens.default_tokenizer())
+    got = queries.QUERIES["op1_neardup"](spark, odd).collect()
+    assert len(got) == len(rows) and {"doc_id", "class_id"} <= set(got[0].asDict())
+    assert found("op2_ppm", "n_tokens") == text_of(lambda t: (len(WORD.findall(t)) + 1,))
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in queries.QUERIES["op3_warc"](spark, odd).collect()} == {(1, "revisit", 3), (2, "response", None), (3, "response", None)}
+    ids = lambda t: np.array([*tk.encode(t, add_special_tokens=False).ids, 0], "<u4")
+    assert found("op4_token_ids", "n_tokens", "ids_crc32") == text_of(lambda t: (len(ids(t)), zlib.crc32(ids(t).tobytes())))
+    mixed_rows = queries.QUERIES["op5_mixing"](spark, odd).collect()
+    assert collections.Counter((r["doc_id"], r["size"]) for r in mixed_rows) == text_of(lambda t: (len(WORD.findall(t)),))
+    assert all(r["taken"] <= 3 * r["size"] and r["target"] <= 3 * r["source_size"] for r in mixed_rows)
+    pad = lambda t: t.encode() + b"\xff" * (max(1, -(-len(t.encode()) // 576)) * 576 - len(t.encode()))
+    assert found("op6_media", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == text_of(lambda t: (len(t.encode()), len(pad(t)), hashlib.sha256(pad(t)).hexdigest(), zlib.crc32(pad(t)[-32:])))
+    stored = {r["doc_id"]: (r["stored_rows"], r["text_chars"]) for r in queries.QUERIES["op7_sharding"](spark, odd).collect()}
+    assert stored == {i: (sum(r["doc_id"] == i for r in rows), sum(len(r["text"] or "") for r in rows if r["doc_id"] == i)) for i in {r["doc_id"] for r in rows}}
+    assert found("op8_quality_rules", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == text_of(base_measures)
+    toxic = queries.QUERIES["op9_toxicity"](spark, odd).collect()
+    assert len(toxic) == len(rows) and all(r["held_out"] == crc(r["doc_id"], 5) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in toxic)
+    assert found("op10_sentencepiece", "n_tokens", "ids_sha256", "decoded_sha256") == text_of(lambda t: (len(sp.encode(t)), sha(",".join(map(str, sp.encode(t)))), sha(sp.decode(sp.encode(t)))))
+
+
 # ---------------------------------------------------------------- pipeline
 
 
+def test_stages_on_odd_tables(spark, odd, docs):
+    """Every stage on nulls, ties, repeated rows, very long texts and clashing names, and on
+    the empty table; decisions are those of the operators, row for row."""
+    import corpus_pipeline as p
+    from plycraft.llm.common import documents
+
+    every = documents(spark, odd)
+    key = lambda df: collections.Counter(map(str, df.select(*every.columns).collect()))
+    stage = dict(p.STAGES)
+    whole = key(every)
+    kept = stage["quality_rules"](spark, every, odd)
+    assert kept.columns == every.columns and not key(kept) - whole
+    assert all(not base_failed(r["text"]) for r in kept.select("text").collect())
+    assert not key(stage["toxicity"](spark, every, odd)) - whole
+    alone = stage["near_dedup"](spark, every, odd)
+    assert alone.columns == every.columns and not key(alone) - whole
+    texts = [low(" ".join(WORD.findall(r["text"] or ""))) for r in alone.select("text").collect()]
+    assert len(texts) == len(set(texts)) and set(texts) <= {low(" ".join(WORD.findall(r["text"] or ""))) for r in docs.collect()}
+    mixed_rows = stage["mixing"](spark, every, odd)
+    assert mixed_rows.columns == every.columns and set(key(mixed_rows)) <= set(whole)
+    last = stage["sentencepiece"](spark, every, odd)
+    assert last.count() == every.count()
+    for name, f in p.STAGES:
+        assert f(spark, every.limit(0), odd).count() == 0, name
+
+
+def base_failed(t):
+    n, _, _, _, repeated = base_measures(t)
+    return n < 50 or 100 * repeated > 50 * n
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline as p
     from plycraft.llm.common import documents, materialise
