@@ -110,6 +110,17 @@ def get_range(uri: str, start: int, length: int) -> bytes:
         return src.read_at(length, start)
 
 
+#: Bytes of an Arrow batch of texts, and the setting (with its default) that bounds them.
+BATCH, BATCH_KEY, BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of a few MB: executors hold several at once, in both
+    processes and with room to grow. The session's setting is lowered unless it was set."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) in (BATCH_DEFAULT, BATCH_DEFAULT[:-1]):
+        spark.conf.set(BATCH_KEY, str(BATCH))
+
+
 # ---------------------------------------------------------------- columns
 
 

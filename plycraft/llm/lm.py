@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ppm
-from .common import LOWER, Scratch, crc_mod, filesystem, mix, pieces_by_bytes, put_file, shuffle_partitions, span_hashes, string_bytes, text_of, word_spans, workspace
+from .common import LOWER, Scratch, crc_mod, filesystem, mix, pieces_by_bytes, put_file, shuffle_partitions, small_batches, span_hashes, string_bytes, text_of, word_spans, workspace
 
 #: Bytes of text in a block, and in the pieces that temporaries are made of.
 TEXT, PIECE = 12 << 20, 1 << 20
@@ -286,6 +286,7 @@ def _looked_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.n
 def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 10, parts: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
+    small_batches(spark)
     parts = parts or shuffle_partitions(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("d"), (crc_mod(F.col(doc_id), folds) == 0).alias("h"), text_of(F.col(text)).alias("t"))
     read = scratch.table(blocks(base, parts), "blocks")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces_by_bytes, text_of
+from .common import materialise, pieces_by_bytes, small_batches, text_of
 
 UNIT, WIDTH, TILE = 576, 24, 16
 
@@ -160,6 +160,7 @@ def padded(text: bytes) -> np.ndarray:
 
 def text_media(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", form: str = "pgm") -> DataFrame:
     """doc_id, n_bytes, media: each whole text stored losslessly as the samples of an image."""
+    small_batches(docs.sparkSession)
     write = {"pgm": write_pnm, "bmp": write_bmp}[form]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Scratch, fresh, mix, pieces_by_bytes, span_hashes, string_bytes, text_of, word_spans
+from .common import LOWER, Scratch, fresh, materialise, mix, pieces_by_bytes, small_batches, span_hashes, string_bytes, text_of, word_spans
 from .components import stars
 
 WORDS, THRESHOLD, IDF_GAIN = 5, 0.8, 0.1
@@ -396,6 +396,7 @@ def keyed_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """doc_id, k1, k2 (key of the words), rep (the text's number), copy_of, class_id. Only
     this result stays in the shared folder."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
+    small_batches(spark)
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), text_of(F.col(text)).alias("t"))
     sketch, n = document_frequencies(texts)
     shipped = spark.sparkContext.broadcast((narrow(sketch), n, gain))
@@ -458,21 +459,41 @@ def mixed_buckets(named: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("here", here).select("key", "rep", "comp", F.explode(spots).alias("at")).select("key", "at.i", "at.j", "at.side", "rep", "comp")
 
 
+def split_by_filter(docs: DataFrame, node: Column, doubtful: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id is surely not in ``doubtful.id``, the others), without moving a row:
+    the ids' places in a table of FILTER_BITS bits (at most 262,144 words of 64) are
+    broadcast. A fuller table only makes more rows others."""
+    place = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(FILTER_BITS))
+    words = doubtful.select(F.shiftright(place, 6).alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    b, p = fresh(docs, "_bits"), fresh(docs, "_place")
+    words = F.broadcast(words.select(F.struct("word", "bits").alias(b)))
+    placed = docs.withColumn(p, F.pmod(F.xxhash64(F.lit(3), node), F.lit(FILTER_BITS)))
+    seen = placed.join(words, F.shiftright(F.col(p), 6) == F.col(f"{b}.word"), "left")
+    hit = F.coalesce(F.getbit(F.col(f"{b}.bits"), F.pmod(F.col(p), F.lit(64)).cast("int")) == 1, F.lit(False))
+    return seen.where(~hit).select(*docs.columns), seen.where(hit).select(*docs.columns)
+
+
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each class: the one with the least id. Where several rows have an id, the
-    key of their words tells which of them it is."""
+    key of their words tells which of them it is.
+
+    Only rows that may go, and those whose id several rows have, are joined with decisions;
+    the others are read and passed on where they are."""
     found = keyed_classes(docs, doc_id=doc_id, text=text, **how)
-    stay = found.where("rep = class_id and doc_id = copy_of").select("doc_id", "k1", "k2").distinct()
+    stays = (F.col("rep") == F.col("class_id")) & (F.col("doc_id") == F.col("copy_of"))
+    ids = materialise(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(stays).alias("stays")).where("n > 1 or not stays"), "near-doubtful")
     node = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
-    kept = stay.select(F.col("doc_id").alias("_stay")).distinct()
-    rows = docs.join(kept, node == F.col("_stay"), "left_semi")
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")).join(kept, F.col("_again") == F.col("_stay"), "left_semi")
+    sure, others = split_by_filter(docs, node, ids.select(F.col("doc_id").alias("id")))
+    # an id that one row has: that row goes
+    single = others.join(ids.select(F.col("doc_id").alias("_gone")), node == F.col("_gone"), "left_anti")
+    again = ids.where("n > 1 and stays").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
-        return rows
+        return sure.unionByName(single)
     d, k1, k2 = (fresh(docs, name) for name in ("_d", "_k1", "_k2"))
-    twice = with_keys(rows.join(again, node == F.col("_again"), "left_semi").withColumn(d, node), text, k1, k2)
+    stay = found.where(stays).select("doc_id", "k1", "k2").distinct()
+    twice = with_keys(others.join(again, node == F.col("_again"), "left_semi").withColumn(d, node), text, k1, k2)
     one = twice.join(stay, (F.col(d) == stay["doc_id"]) & (F.col(k1) == stay["k1"]) & (F.col(k2) == stay["k2"]), "left_semi").dropDuplicates([d, k1, k2])
-    return rows.join(again, node == F.col("_again"), "left_anti").unionByName(one.select(*docs.columns))
+    return sure.unionByName(single).unionByName(one.select(*docs.columns))
 
 
 def with_keys(rows: DataFrame, text: str, k1: str, k2: str) -> DataFrame:

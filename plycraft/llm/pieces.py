@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_by_bytes
+from .common import pieces_by_bytes, small_batches
 
 #: A worker's table is emptied when it holds this many chunks; only speed depends on it.
 TABLE_CHUNKS = 120_000
@@ -92,6 +92,7 @@ def encoded(docs: DataFrame, *, keep: list[str], text: str = "text", model: str
     """``keep`` columns plus what ``finish(ids, decoded)`` makes of each batch; by default
     the ids and the decoded text."""
     model = model or default_model()
+    small_batches(docs.sparkSession)
     source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:-1]))
     done = finish or (lambda ids, out: [pa.array(ids, pa.list_(pa.int32())), pa.array(out, pa.string())])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import mix, pieces_by_bytes, put_file, shuffle_partitions, span_hashes, string_bytes, text_of, word_spans, workspace
+from .common import mix, pieces_by_bytes, put_file, shuffle_partitions, small_batches, span_hashes, string_bytes, text_of, word_spans, workspace
 
 END_ID = 0
 FILE_IDS = 1 << 22
@@ -185,6 +185,7 @@ def write_ids(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str
     """Write the files; returns their list: file, docs, ids. Files in name order hold the
     documents in ascending order of id."""
     model = model or default_tokenizer()
+    small_batches(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), text_of(F.col(text)).alias("t"))
     ranged = source.repartitionByRange(partitions or shuffle_partitions(docs.sparkSession), "d", F.xxhash64("t")).sortWithinPartitions("d", F.xxhash64("t"))
 

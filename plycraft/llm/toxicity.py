@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, mix, pieces_by_bytes, span_hashes, string_bytes, text_of, word_spans
+from .common import LOWER, crc_mod, mix, pieces_by_bytes, small_batches, span_hashes, string_bytes, text_of, word_spans
 
 BUCKETS, DIM, WINDOW, PER_CLASS = 1 << 17, 8, 8, 2000
 GRAMS = (3, 4, 5, 6)
@@ -250,6 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
 def scored(docs: DataFrame, model: Model, *, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:
     """``keep`` columns plus the score. The model is a fixed number of buckets (0.5 MB)."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], text_of(F.col(text)).alias("t"))
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:-1]))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, pieces_by_bytes, put_file, shuffle_partitions, text_of, workspace
+from .common import materialise, pieces_by_bytes, put_file, shuffle_partitions, small_batches, text_of, workspace
 
 ARCHIVE_BYTES = 16 << 20
 #: Captures that a range of the index holds, about.
@@ -156,6 +156,7 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
     """Write the archives; returns the runs: run, key, stamp, page_id, file, offset, length,
     sorted within each run. Captures have no time of their own: the stamp is derived from
     the id."""
+    small_batches(pages.sparkSession)
     base = pages.select(F.coalesce(F.col(page_id).cast("long"), F.lit(NULL_ID)).alias("p"), F.coalesce(F.col(url).cast("string"), F.lit("-")).alias("u"), text_of(F.col(html)).alias("h"))
     digested = base.withColumn("dig", F.sha1(F.col("h").cast("binary")))
     again = materialise(digested.groupBy("dig").agg(F.max("p").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("dig").alias("_dig"), "last"), "warc-copies")
