@@ -15,9 +15,9 @@ from .session import local_session
 from .sources import uci
 
 
-def doctor(spark) -> dict:
+def doctor(spark, engine: str | None = None) -> dict:
     """What the engine needs, tried out: modules, notation both ways, a compressed archive,
-    a table written and counted by SQL."""
+    a table written and counted by SQL and, if an engine is named, whose mate it reports."""
     import duckdb
     import numpy
     import pyarrow
@@ -37,7 +37,16 @@ def doctor(spark) -> dict:
         spark.range(3).write.parquet(f"{d}/t")
         counted = spark.sql(f"select count(*) from parquet.`{d}/t`").first()[0]
         other = duckdb.sql(f"select count(*) from read_parquet('{d}/t/*.parquet')").fetchall()[0][0]
-    return {"spark": spark.version, "numpy": numpy.__version__, "pyarrow": pyarrow.__version__, "perft3": perft(Board.from_fen(START_FEN), 3) == 8902, "notation": again.moves == game.moves, "archive": games == 2, "sql": counted == other == 3}
+    mates: dict[str, bool] = {}
+    if engine:
+        program = uci.Engine([engine])
+        try:  # the mover mates at once, or lets the other side off
+            row = {"decision_id": "mate", "initial_fen": "6k1/5ppp/8/8/8/8/8/K3R3 w - - 0 1", "history": [], "move": "e1e8"}
+            done = uci.analysis(program, row, 10_000)
+            mates = {"engine": done["before_expected"] >= done["after_expected"] - 1e-9 and done["after_expected"] == 1.0 and (done["before_mate"] or 0) >= 0}
+        finally:
+            program.close()
+    return mates | {"spark": spark.version, "numpy": numpy.__version__, "pyarrow": pyarrow.__version__, "perft3": perft(Board.from_fen(START_FEN), 3) == 8902, "notation": again.moves == game.moves, "archive": games == 2, "sql": counted == other == 3}
 
 
 def stage_uci(move) -> str:
@@ -49,7 +58,6 @@ def stage_uci(move) -> str:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="plycraft")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("doctor")
 
     def add(name: str, *args, **options):
         c = sub.add_parser(name)
@@ -65,6 +73,7 @@ def parser() -> argparse.ArgumentParser:
                 c.add_argument(flag, default=default, type=type(default) if default is not None else str)
         return c
 
+    add("doctor", engine=None)
     add("sample", "archive", "run", count=100, seed=20261006, fixture=False, rating_min=400, rating_max=799, stratified=False, prior_run=None, only_partition=None)
     add("analyse", "run", "engine", nodes=100_000, workers=4, batch=1)
     add("import-analyses", "run", "table", nodes=100_000)
@@ -74,7 +83,7 @@ def parser() -> argparse.ArgumentParser:
     add("episodes", "run", loss_threshold=0.10, horizon=6)
     add("stable", "run", "scores", min_loss=0.4, max_drift=0.1, deep_nodes=1_000_000, partition=[])
     add("description-packets", "run", partition="discovery")
-    add("import-descriptions", "run", "descriptions", model_run=None)
+    add("import-descriptions", "run", "descriptions", model_run=None, stop_words=None)
     add("cluster", "run", max_episodes=200, distance=0.3)
     add("review-packets", "run", partition="discovery")
     add("freeze", "run", "review", "selection_review")
@@ -87,7 +96,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = local_session()
     if a.command == "doctor":
-        found = doctor(spark)
+        found = doctor(spark, a.engine)
         print(json.dumps(found, indent=1))
         return 0 if all(v is not False for v in found.values()) else 1
     run = Run(spark, a.run)
@@ -121,7 +130,8 @@ def main(argv: list[str] | None = None) -> int:
         case "description-packets":
             print(stages.description_packets(run, a.partition))
         case "import-descriptions":
-            stages.import_descriptions(run, a.descriptions, other(a.model_run))
+            words = Path(a.stop_words).read_text(encoding="utf-8").split() if a.stop_words else None
+            stages.import_descriptions(run, a.descriptions, other(a.model_run), words)
         case "cluster":
             print(stages.cluster(run, max_episodes=a.max_episodes, distance=a.distance))
         case "review-packets":

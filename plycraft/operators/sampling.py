@@ -78,7 +78,7 @@ def stratified(rows: DataFrame, table: dict[int, dict[str, int]], *, order: str
     narrow = rows.where(F.col("partition").isin(*PARTS)).select("decision_id", "player", band_of(F.col("rating")).alias("band"), "partition", F.col(order).alias("_ord"))
     room = F.create_map(*[F.lit(x) for p, q in plan.items() for b, n in q.items() for x in (f"{p}:{b}", n)])
     most = F.least(F.lit(cap), F.coalesce(F.try_element_at(room, F.concat_ws(":", "partition", "band")), F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy("player", "band").orderBy("_ord"))
+    nth = F.row_number().over(Window.partitionBy("player", "partition", "band").orderBy("_ord"))
     few = narrow.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
     return few.repartition("partition").sortWithinPartitions("partition", "_ord").mapInPandas(fold, "decision_id string")
 

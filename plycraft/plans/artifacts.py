@@ -103,10 +103,13 @@ class Run:
         return path
 
     def write_text(self, name: str, text: str) -> Path:
+        return self.write_bytes(name, text.encode())
+
+    def write_bytes(self, name: str, data: bytes) -> Path:
         path = self.path(name)
         path.parent.mkdir(parents=True, exist_ok=True)
         staged = path.with_name(f".{path.name}-{uuid.uuid4().hex}")
-        staged.write_text(text, encoding="utf-8")
+        staged.write_bytes(data)
         os.replace(staged, path)
         return path
 

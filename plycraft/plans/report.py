@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+
 from ..kernel.board import Board, parse_uci
 from ..kernel.notation import Line, write_game
 
@@ -87,6 +92,34 @@ def error_bars(result: dict) -> list[dict]:
     return [{"family_id": f["family_id"], "band": b["band"], "cost": b["cost_per_100_decisions"], "low": b["cost_ci"][0] if b["cost_ci"] else None, "high": b["cost_ci"][1] if b["cost_ci"] else None} for f in result["families"] for b in f["bands"]]
 
 
+def png(pixels: np.ndarray) -> bytes:
+    """A grey image, rows by columns, as PNG."""
+    rows, columns = pixels.shape
+    body = b"".join(b"\0" + line.tobytes() for line in pixels.astype(np.uint8))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", columns, rows, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def error_bar_image(bars: list[dict], rows: int = 240, columns: int = 400, margin: int = 20) -> np.ndarray:
+    """A family's points and whiskers over its bands, left to right, from zero up; the frame's
+    ticks are bands and quarters of the highest value."""
+    image = np.full((rows, columns), 255, np.uint8)
+    image[margin : rows - margin, margin] = image[rows - margin, margin : columns - margin] = 0
+    top = max([x for b in bars for x in (b["cost"], b["high"]) if x is not None], default=0) or 1
+    at = lambda value: rows - margin - round((rows - 2 * margin) * value / top)
+    for k in range(5):
+        image[at(top * k / 4), margin - 4 : margin] = 0
+    for n, b in enumerate(bars):
+        x = margin + round((columns - 2 * margin) * (n + 0.5) / len(bars))
+        image[rows - margin : rows - margin + 4, x] = 0
+        if b["low"] is not None:
+            image[at(b["high"]) : at(b["low"]) + 1, x] = 96
+            image[[at(b["high"]), at(b["low"])], x - 4 : x + 5] = 96
+        if b["cost"] is not None:
+            image[max(at(b["cost"]) - 2, 0) : at(b["cost"]) + 3, x - 2 : x + 3] = 0
+    return image
+
+
 def findings_markdown(findings: dict, config: dict, examples: dict[str, list[dict]]) -> str:
     low, high = config["cohort"]
     met = sum(bool(c["supported"]) for c in findings["candidates"])

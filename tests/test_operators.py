@@ -226,3 +226,32 @@ def test_examples(spark):
     assert got[0]["decision_id"] == "d29" and len({r["player"] for r in got}) == len(got) == 7
     assert [r["decision_id"] for r in rules.counterexamples(hits).collect()] == ["d00", "d01", "d02"]
     assert rules.diverse_examples(hits.limit(0)).count() == 0 and rules.diverse_examples(hits.limit(1)).count() == 1
+
+
+def test_bootstrap_weights(spark):
+    players = spark.createDataFrame([(f"p{i % 40}",) for i in range(100)], "player string")
+    numbers = {r["player"]: r["i"] for r in bootstrap.numbered_players(players).collect()}
+    from hashlib import sha256
+
+    assert [p for p, _ in sorted(numbers.items(), key=lambda x: x[1])] == sorted(numbers, key=lambda p: (sha256(p.encode()).hexdigest()[:3], p)) and sorted(numbers.values()) == list(range(40))
+    exact = bootstrap.hashed_weights(players, 30, 5).groupBy("rep").agg(F.sum("w").alias("n")).collect()
+    assert len(exact) == 30 and {r["n"] for r in exact} == {40}
+    loose = bootstrap.poisson_weights(players, 500, 5)
+    got = loose.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("s"), F.min("w").alias("least")).first()
+    mean = got["n"] / (500 * 40)
+    assert abs(mean - 1) < 0.03 and abs(got["s"] / (500 * 40) - mean**2 - 1) < 0.06 and got["least"] == 1
+    assert loose.exceptAll(bootstrap.poisson_weights(players.repartition(5), 500, 5)).isEmpty()
+    assert bootstrap.hashed_weights(players.limit(0), 3, 5).count() == 0
+
+
+def test_stratified_reads_in_order_and_skips_full_strata(spark):
+    rows = spark.createDataFrame([(str(i), f"p{i % 3}", 400 + 200 * (i % 2), "discovery" if i % 5 else "selection", i) for i in range(400)], "decision_id string, player string, rating int, partition string, ord long").repartition(7)
+    table = {400: {"discovery": 7, "selection": 0, "evaluation": 2}, 600: {"discovery": 3, "selection": 12, "evaluation": 2}}
+    got = {r[0] for r in sampling.stratified(rows, table, cap=5).collect()}
+    left, used, want = {(b, p): n for b, q in table.items() for p, n in q.items()}, {}, set()
+    for i in range(400):
+        key, player = (400 + 200 * (i % 2), "discovery" if i % 5 else "selection"), (f"p{i % 3}", i % 5 > 0)
+        if left[key] and used.get(player, 0) < 5:
+            left[key], used[player] = left[key] - 1, used.get(player, 0) + 1
+            want.add(str(i))
+    assert got == want

@@ -199,6 +199,13 @@ def test_accepted_family_is_measured(spark, run, tmp_path):
             assert b["rate_ci"][0] <= b["incidents_per_100_decisions"] <= b["rate_ci"][1]
             assert b["qualifying_mistake_share"] in (None, 1.0)
     assert report.error_bars(result)
+    image = study.path("family-c001.png").read_bytes()
+    import struct
+    import zlib
+
+    assert image[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", image[16:24]) == (400, 240)
+    body = zlib.decompress(image[image.index(b"IDAT") + 4 : -16])
+    assert len(body) == 240 * 401 and 0 in body and 96 in body
 
 
 def test_tampering_is_found(spark, tmp_path):
@@ -275,6 +282,10 @@ for line in sys.stdin:
         for m in words[9:]:
             board = board.play(parse_uci(m))
     elif words[0] == "go":
+        mates = [x for x in board.legal() if board.play(x).outcome() == "checkmate"]
+        if mates:
+            print("info depth 1 score mate 1 pv", uci(mates[0]), "\\nbestmove", uci(mates[0]), flush=True)
+            continue
         m = uci(board.legal()[0])
         print("info string nodes", words[2])
         print("info depth 1 multipv 1 score cp 1 lowerbound wdl 1 1 998 pv", m)
@@ -301,13 +312,16 @@ def test_uci_engine(spark, run, tmp_path):
     rows = {r["decision_id"]: r for r in engine.scorer([str(path)], workers=2)(todo, {"nodes": 50}).collect()}
     assert len(rows) == 13
     mate = rows.pop("mate")
-    assert (mate["after_mate"], mate["after_expected"], mate["after_pv"], mate["before_expected"]) == (0, 1.0, [], 0.65)
+    assert (mate["after_mate"], mate["after_expected"], mate["after_pv"], mate["before_expected"], mate["before_mate"], mate["loss"]) == (0, 1.0, [], 1.0, 1, 0)
     for r in rows.values():
         assert (r["before_cp"], r["after_cp"], r["before_bound"], r["before_depth"]) == (30, -30, "exact", 2)
         assert abs(r["before_expected"] - 0.65) < 1e-12 and abs(r["loss"] - 0.3) < 1e-12 and len(r["before_pv"]) == 1
     fresh = Run(spark, tmp_path / "engine")
     fresh.write_table("decisions", some)
     name = stages.analyse(fresh, engine.scorer([str(path)]), nodes=50, settings=engine.settings(str(path)))
+    from plycraft.cli import doctor
+
+    assert doctor(spark, str(path))["engine"]
     assert stages.analyses(fresh, name).count() == 12 and fresh.json(f"{name}.config.json")["threads"] == 1
 
 
