@@ -38,9 +38,8 @@ BLOCK_DOCS = 1024
 #: windows over blocks and at the tree's root is bounded.
 MOST_BLOCKS = 1 << 20
 SHARD_BLOCKS = 64
-#: Up to this many sources the per-source table (about 100 bytes a row) is broadcast; with
-#: more, documents are salted and the table is replicated per salt.
-BROADCAST_SOURCES, SALTS = 20_000, 16
+#: A source's row of the per-source table is repeated so often, and its documents dealt so.
+SALTS = 16
 
 
 def targets(sources: DataFrame, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -106,18 +105,16 @@ def mix_plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     sources = items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("source_docs"))
     aims = materialise(targets(sources, cap, weights).coalesce(1), "mix-targets")
     block_docs = max(block_docs, math.ceil((aims.agg(F.sum("source_docs")).first()[0] or 0) / MOST_BLOCKS))
-    some = aims.agg(F.count("*").alias("sources"), F.sum(F.ceil(F.col("source_docs") / block_docs) * F.greatest(F.lit(1), F.ceil(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))))).alias("draws")).first()
+    some = aims.agg(F.sum(F.ceil(F.col("source_docs") / block_docs) * F.greatest(F.lit(1), F.ceil(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))))).alias("draws")).first()
     leaves = max(1, math.ceil((some["draws"] or 0) / shard_blocks))
 
     whole = F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)) + 1e-12)
     blocks_of = F.greatest(F.lit(1), F.ceil(F.col("source_docs") / block_docs))
     aims = aims.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - whole * F.col("source_size"))).withColumn("n_blocks", blocks_of)
     salted = items.withColumnRenamed("source", "_s")
-    if some["sources"] <= BROADCAST_SOURCES:
-        dealt = salted.join(F.broadcast(aims), F.col("_s").eqNullSafe(F.col("source")))
-    else:
-        copies = aims.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = salted.withColumn("_k", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(copies, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_k") == F.col("_salt"))).drop("_k", "_salt")
+    # Spark broadcasts the per-source table if it is small; else salts spread a hot source
+    copies = aims.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = salted.withColumn("_k", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS))).join(copies, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_k") == F.col("_salt"))).drop("_k", "_salt")
     dealt = dealt.drop("_s").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.col("n_blocks")))
 
     of_source = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("block")), "block")

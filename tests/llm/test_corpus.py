@@ -147,7 +147,7 @@ def test_mix(spark, docs, none):
 
 
 def test_mix_with_many_sources_or_clashing_names(spark, docs, monkeypatch):
-    """The salted join gives what the broadcast gives, and helper columns are out of the way."""
+    """A shuffled, salted join gives what a broadcast gives, and helper columns are out of the way."""
     from pyspark.sql import functions as F
 
     from plycraft.llm import mixing
@@ -156,8 +156,11 @@ def test_mix_with_many_sources_or_clashing_names(spark, docs, monkeypatch):
     rows = mixed(clash, block_docs=4, shard_blocks=2)
     assert set(clash.columns) < set(rows.columns) and rows.where("shards <> 'shards'").isEmpty()
     want = sorted(map(str, mix_plan(docs, block_docs=4, shard_blocks=2).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
-    assert sorted(map(str, mix_plan(docs, block_docs=4, shard_blocks=2).collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, mix_plan(docs, block_docs=4, shard_blocks=2).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     monkeypatch.setattr(mixing, "MOST_BLOCKS", 4)
     assert mix_plan(docs, block_docs=1, shard_blocks=2).count() == len(want)
 
