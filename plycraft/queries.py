@@ -200,6 +200,31 @@ def audit_delta(spark, d):
     return _round(rows, "original_loss", "deep_loss", "delta", digits=9)
 
 
+@query(f"WITH {SCORES}, a AS (SELECT (db - da) - (b - a) AS delta, db - da AS deep FROM w) SELECT CAST(count(*) AS BIGINT) AS count, CAST(count(*) FILTER (abs(delta) > 0.05 OR deep < 0.4) AS BIGINT) AS unstable_count, round(max(abs(delta)), 9) AS max_absolute_delta FROM a")
+def audit_summary(spark, d):
+    w = _scores(spark, d)
+    rows = gates.audit_delta(w.select("decision_id", F.col("base.loss").alias("loss")), w.select("decision_id", F.col("deep.loss").alias("loss")), 0.4)
+    return _round(gates.audit_summary(rows), "max_absolute_delta", digits=9)
+
+
+#: Scores of which some cannot be: a value outside [0, 1], no number, or a loss that is no difference.
+ODD = "CASE event_id % 29 WHEN 3 THEN 1.5 WHEN 4 THEN CAST('NaN' AS DOUBLE) ELSE b END"
+
+
+@query(f"""WITH {SCORES}, o AS (SELECT decision_id, event_id, {ODD} AS b, a, CASE event_id % 29 WHEN 5 THEN b - a + 0.25 WHEN 6 THEN NULL ELSE b - a END AS loss FROM w)
+SELECT decision_id, CASE WHEN isnan(b) THEN 'Non-finite before_expected for ' || decision_id WHEN loss IS NULL THEN 'Non-finite loss for ' || decision_id WHEN b > 1 THEN 'Out-of-range before_expected for ' || decision_id WHEN event_id % 29 = 5 THEN 'Inconsistent loss for ' || decision_id ELSE '' END AS problem FROM o""")
+def score_sanity(spark, d):
+    w = _scores(spark, d).withColumn("loss", F.expr("CASE event_id % 29 WHEN 5 THEN b - a + 0.25D WHEN 6 THEN NULL ELSE b - a END")).withColumn("b", F.expr(ODD.replace("1.5", "1.5D")))
+    return w.select("decision_id", F.coalesce(gates.score_problem(F.col("b"), F.col("a"), F.col("loss"), F.col("decision_id")), F.lit("")).alias("problem"))
+
+
+@query(f"""WITH {PARTED} SELECT part AS partition, CAST(floor(rating / 200) * 200 AS INTEGER) AS band, CAST(greatest(floor(rating / 200) * 200, 100) AS INTEGER)::VARCHAR || '–' || CAST(least(floor(rating / 200) * 200 + 199, 499) AS INTEGER)::VARCHAR AS label, CASE WHEN ord % 5 = 0 THEN 'lower' WHEN ord % 7 = 0 THEN 'upper' ELSE 'exact' END AS bound, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY ALL""")
+def stratum_labels(spark, d):
+    band = S.band_of(F.col("rating"))
+    rows = partitioning.assigned(decisions(spark, d), SEED)
+    return rows.groupBy("partition", band.alias("band"), S.band_label(band, 100, 499).alias("label"), S.bound_label(F.col("ord") % 5 == 0, F.col("ord") % 7 == 0).alias("bound")).agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- denominators and bootstrap
 
 
@@ -215,8 +240,9 @@ def player_denominators(spark, d):
     return _round(_partials(spark, d), "cost")
 
 
+WEIGHTS = f"""l AS (SELECT player, row_number() OVER (ORDER BY substr(sha256(player), 1, 3), player) - 1 AS i FROM (SELECT DISTINCT player FROM d)), n AS (SELECT count(*) AS n FROM l), draws AS (SELECT rep, CAST(concat('0x', substr(sha256(concat('{SEED}:', CAST(rep AS VARCHAR), ':', CAST(j AS VARCHAR))), 1, 16)) AS UBIGINT) % n.n AS i FROM n, (SELECT unnest(range({REPS})) AS rep) r, LATERAL (SELECT unnest(range(n.n)) AS j) x), w AS (SELECT rep, l.player, count(*) AS w FROM draws JOIN l ON draws.i = l.i GROUP BY rep, l.player)"""
 #: Share of decisions of type 'purchase'-like context within a band: a rate that varies.
-RATES = f"""{DECISIONS}, q AS (SELECT player, band, CAST(count(*) AS BIGINT) AS decisions, CAST(sum(CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM d GROUP BY player, band), l AS (SELECT player, row_number() OVER (ORDER BY substr(sha256(player), 1, 3), player) - 1 AS i FROM (SELECT DISTINCT player FROM d)), n AS (SELECT count(*) AS n FROM l), draws AS (SELECT rep, CAST(concat('0x', substr(sha256(concat('{SEED}:', CAST(rep AS VARCHAR), ':', CAST(j AS VARCHAR))), 1, 16)) AS UBIGINT) % n.n AS i FROM n, (SELECT unnest(range({REPS})) AS rep) r, LATERAL (SELECT unnest(range(n.n)) AS j) x), w AS (SELECT rep, l.player, count(*) AS w FROM draws JOIN l ON draws.i = l.i GROUP BY rep, l.player), s AS (SELECT rep, band, sum(w * hits) AS hits, sum(w * decisions) AS decisions FROM q JOIN w USING (player) GROUP BY rep, band), v AS (SELECT rep, band, CAST(hits AS DOUBLE) / nullif(CAST(decisions AS DOUBLE), 0) * 100 AS rate FROM s)"""
+RATES = f"""{DECISIONS}, q AS (SELECT player, band, CAST(count(*) AS BIGINT) AS decisions, CAST(sum(CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM d GROUP BY player, band), {WEIGHTS}, s AS (SELECT rep, band, sum(w * hits) AS hits, sum(w * decisions) AS decisions FROM q JOIN w USING (player) GROUP BY rep, band), v AS (SELECT rep, band, CAST(hits AS DOUBLE) / nullif(CAST(decisions AS DOUBLE), 0) * 100 AS rate FROM s)"""
 
 
 def _rates(spark, d):
@@ -321,6 +347,25 @@ def _clusters(sample):
     return vectors.numbered(sample.drop("cluster_id").join(found, "decision_id"), "_cluster").select("decision_id", "cluster_id")
 
 
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), f AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM e), c AS (SELECT label, dim, avg(x) AS m FROM f GROUP BY label, dim), s AS (SELECT dim, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS scale FROM f GROUP BY dim)
+SELECT printf('%08d', vec_id) AS decision_id, round(sqrt(sum((x / scale) * (x / scale))), 6) AS scaled_norm, round(sqrt(sum((x - m) * (x - m))), 6) AS difference_norm, bool_or(x <> 0) AS informative, sqrt(sum(x * x)) > 1e-12 AS usable FROM f JOIN c USING (label, dim) JOIN s USING (dim) GROUP BY vec_id""")
+def vector_functions(spark, d):
+    rows = episodes(spark, d)
+    scaled = vectors.scaled_rows(rows, vectors.scaler(rows)).select("decision_id", S.norm(F.col("vector")).alias("scaled_norm"))
+    own = rows.join(vectors.centroids(rows, "label"), "label").select("decision_id", S.norm(S.difference(F.col("vector"), F.col("centroid"))).alias("difference_norm"), S.informative(F.col("vector")).alias("informative"), (S.norm(F.col("vector")) > vectors.TINY).alias("usable"))
+    return _round(scaled.join(own, "decision_id"), "scaled_norm", "difference_norm")
+
+
+AUTHORS = "CASE vec_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ann' ELSE 'bo' END"
+
+
+@query(f"""WITH a AS (SELECT label, coalesce({AUTHORS}, 'unspecified') AS author, count(*) AS n FROM embeddings GROUP BY ALL), k AS (SELECT label, string_agg(author || '=' || CAST(n AS VARCHAR), ';' ORDER BY author) AS authors FROM a GROUP BY label), m AS (SELECT label, 'c' || lpad(CAST(row_number() OVER (ORDER BY min(printf('%08d', vec_id))) AS VARCHAR), 3, '0') AS cluster_id FROM embeddings GROUP BY label) SELECT label, cluster_id, authors FROM k JOIN m USING (label)""")
+def numbered_authors(spark, d):
+    rows = episodes(spark, d).drop("cluster_id").withColumn("author", F.expr(AUTHORS))
+    counts = vectors.author_counts(rows, "label").select("label", F.array_join(F.transform(F.map_entries("author_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("authors"))
+    return vectors.numbered(rows, "label").select("label", "cluster_id").distinct().join(counts, "label")
+
+
 # ---------------------------------------------------------------- text
 
 
@@ -379,6 +424,31 @@ def rule_evidence(spark, d):
     return _round(_round(out, "coverage", digits=9), "excess")
 
 
+#: Three rules, with SQL for each.
+RULES = [RULE, [("rating", "<=", 120.0)], [("weekday", ">", 2.0), ("rating", ">", 60.0)]]
+RULES_SQL = [MATCH, "rating <= 120", "weekday > 2 AND rating > 60"]
+EVIDENCE = f"{FEATS}, y AS (" + " UNION ALL ".join(f"SELECT {i} AS rule, *, ({m}) AS hit FROM x" for i, m in enumerate(RULES_SQL)) + "), z AS (SELECT rule, part, count(*) FILTER (hit) AS support, count(DISTINCT CASE WHEN hit THEN player END) AS players, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS coverage, avg(CASE WHEN hit THEN loss END) - avg(CASE WHEN NOT hit THEN loss END) AS excess FROM y GROUP BY rule, part)"
+
+
+@query(f"WITH {EVIDENCE} SELECT CAST(s.rule AS INTEGER) AS rule, round(s.coverage * s.excess, 6) AS score FROM z s JOIN z d ON s.rule = d.rule AND s.part = 'selection' AND d.part = 'discovery' WHERE d.excess > 0 AND s.excess > 0 AND s.support >= 30 AND s.players >= 20 ORDER BY s.coverage * s.excess DESC, s.rule LIMIT 3")
+def chosen_rules(spark, d):
+    return _round(rules.chosen_rules(rules.evidence(_rule_rows(spark, d), RULES, "partition")).select(F.col("rule").cast("int").alias("rule"), "score"), "score")
+
+
+@query(f"WITH {FEATS}, {WEIGHTS}, pp AS (SELECT player, count(*) FILTER ({MATCH}) AS nh, count(*) FILTER (NOT ({MATCH})) AS nm, coalesce(sum(loss) FILTER ({MATCH}), 0) AS sh, coalesce(sum(loss) FILTER (NOT ({MATCH})), 0) AS sm FROM x GROUP BY player), t AS (SELECT rep, sum(w * sh) / nullif(sum(w * nh), 0) - sum(w * sm) / nullif(sum(w * nm), 0) AS v FROM pp JOIN w USING (player) GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high FROM t")
+def excess_bootstrap(spark, d):
+    rows = _rule_rows(spark, d)
+    return _round(rules.bootstrap_excess(rows, RULE, bootstrap.hashed_weights(rows, REPS, SEED)), "ci_low", "ci_high")
+
+
+@query(f"""WITH {FEATS}, h AS (SELECT decision_id, player, loss, row_number() OVER (ORDER BY loss DESC, decision_id) - 1 AS r, count(*) OVER () AS n FROM x WHERE {MATCH}), s AS (SELECT h.*, (SELECT min(i) FROM range(10) t(i) WHERE i < least(n, 10) AND CAST(floor(CAST(i * (n - 1) AS DOUBLE) / greatest(least(n, 10) - 1, 1)) AS BIGINT) = r) AS spot FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY coalesce(spot + 1, 10 + r + 1)) AS own FROM s), e AS (SELECT decision_id, 'example' AS kind FROM o WHERE own = 1 ORDER BY coalesce(spot + 1, 10 + r + 1) LIMIT 10), c AS (SELECT decision_id, 'counterexample' AS kind FROM h ORDER BY loss, decision_id LIMIT 3) SELECT * FROM e UNION ALL SELECT * FROM c""")
+def rule_examples(spark, d):
+    hits = _rule_rows(spark, d).where(rules.matches(RULE))
+    kind = lambda rows, name: rows.select("decision_id", F.lit(name).alias("kind"))
+    return kind(rules.diverse_examples(hits), "example").unionByName(kind(rules.counterexamples(hits), "counterexample"))
+
+
 @query()
 def extra_trees_rules(spark, d):
     rows = _rule_rows(spark, d).where("partition = 'discovery'").select("decision_id", F.array(F.col("rating").cast("int"), F.col("weekday"), (F.col("ord") % 24).cast("int")).alias("feats"), "loss")
