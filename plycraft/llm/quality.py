@@ -8,7 +8,9 @@ most ``risk / rules`` of the good documents, at level ``delta / (strata * rules)
 so testing the grid from lenient to strict needs no further correction. Of the certified
 cutoffs the one with the largest gain (share of bad documents rejected less share of good
 ones) is taken, the most lenient on ties, and none if nothing is gained. A stratum with
-too few labels to certify anything rejects nothing beyond the base rule.
+too few labels to certify anything rejects nothing beyond the base rule. The guarantee is
+about the cutoffs: what the fixed base rule rejects (short or repetitive texts, good ones
+among them) is outside it.
 
 Defined results: a null text counts as empty (0 words, base_failed); null ``lang`` is a
 stratum of its own; a document without label takes part in no calibration; a document
