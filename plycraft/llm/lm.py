@@ -178,15 +178,16 @@ BLOCK_SQL = "kind string, part int, row bigint, n bigint, keys binary, counts bi
 
 
 def blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """``docs``: d, h, t. Rows of a block (``row``): its text (kind t, with the sizes, ids,
-    held-out marks and null marks of its documents; n: training rows) and its words (w) and
-    grams (g) by part."""
+    """``docs``: d, h, t. Rows of a block (``row``): its text in pieces (kind t, ``part`` their
+    number, with the sizes, ids, held-out marks and null marks of their documents; n: training
+    rows) and its words (w) and grams (g) by part. No value is large, so the JVM needs no room
+    for large objects."""
 
     def block(row: int, batches: list[tuple]) -> pa.RecordBatch:
         data = np.concatenate([b[0] for b in batches])
         sizes, held = np.concatenate([b[1] for b in batches]), np.concatenate([b[2] for b in batches])
         offsets = np.r_[0, np.cumsum(sizes)]
-        rows = [("t", None, row, int((~held).sum()), squeeze(data.tobytes()), sizes.tobytes(), b"".join(b[3] for b in batches), held.tobytes(), b"".join(b[4] for b in batches))]
+        rows = [("t", k, row, int((~h).sum()), squeeze(text.tobytes()), size.tobytes(), ids, h.tobytes(), none) for k, (text, size, h, ids, none) in enumerate(batches)]
         hashes, owner = _words(data, offsets)
         for kind in ("w", "g"):
             keys, counts = distinct_counts(*((hashes[~held[owner]], hashes[held[owner]]) if kind == "w" else (all_grams(data, offsets, ~held), all_grams(data, offsets, held))))
@@ -316,8 +317,9 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
 
     def add_up(block: pa.Table, got: pa.Table) -> pa.Table:
         """The scores of the documents of a block."""
-        one = {c: block.column(c)[0].as_py() for c in ("keys", "counts", "ids", "held", "none")}
-        data, sizes = np.frombuffer(expand(one["keys"]), np.uint8), np.frombuffer(one["counts"], np.int64)
+        block = block.sort_by("part")
+        one = {c: b"".join(map(expand, block.column(c).to_pylist()) if c == "keys" else block.column(c).to_pylist()) for c in ("keys", "counts", "ids", "held", "none")}
+        data, sizes = np.frombuffer(one["keys"], np.uint8), np.frombuffer(one["counts"], np.int64)
         offsets, rows = np.r_[0, np.cumsum(sizes)], len(sizes)
         got = got.sort_by([("kind", "ascending"), ("part", "ascending")])
         kinds, values = got.column("kind").to_pylist(), got.column("values").to_pylist()
@@ -351,5 +353,5 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
     have = merged.where(F.col("degree") == ppm.ORDER).join(F.broadcast(splits), ["kind", "part"]).withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
     key = ["kind", "part", "split"]
     answers = asked.select(*key, "row", "keys").groupBy(*key).cogroup(have.select(*key, "keys", "counts").groupBy(*key)).applyInArrow(answer, "kind string, part int, row bigint, values binary")
-    texts = read.where("kind = 't'").select("row", "keys", "counts", "ids", "held", "none")
+    texts = read.where("kind = 't'").select("row", "part", "keys", "counts", "ids", "held", "none")
     return texts.groupBy("row").cogroup(answers.groupBy("row")).applyInArrow(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
