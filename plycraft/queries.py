@@ -497,12 +497,18 @@ _PLIES = ", ".join(f"({k}, {n}, '{m}', '{p}')" for k, (_, plies) in enumerate(OP
 _KIND = "CASE user_id % 7 WHEN 5 THEN 'Casual Rapid game' WHEN 6 THEN 'Rated Blitz game' ELSE 'Rated Rapid game' END"
 
 
-@query(f"""WITH u AS (SELECT DISTINCT user_id FROM events), g AS (SELECT *, user_id % {len(OPENINGS)} AS opening FROM u WHERE user_id % 7 < 5 AND user_id % 11 <> 3 AND user_id % 13 <> 4), o(opening, ply, move, position) AS (VALUES {_PLIES}),
-c AS (SELECT *, CASE WHEN ply % 2 = 0 THEN 'w' ELSE 'b' END || CAST(user_id AS VARCHAR) AS player, CAST(CASE WHEN ply % 2 = 0 THEN 350 + user_id * 3 % 600 ELSE 400 + user_id * 7 % 400 END AS INTEGER) AS rating FROM g JOIN o USING (opening))
-SELECT CAST(user_id AS VARCHAR) || ':' || CAST(ply AS VARCHAR) AS decision_id, CAST(user_id AS VARCHAR) AS game_id, player, rating, CAST(ply AS INTEGER) AS ply, move, position, CAST(ply AS INTEGER) AS moves_before, {part_sql()} AS partition FROM c WHERE rating BETWEEN 400 AND 799""")
+ARCHIVED = f"""u AS (SELECT DISTINCT user_id FROM events), g AS (SELECT *, user_id % {len(OPENINGS)} AS opening FROM u WHERE user_id % 7 < 5 AND user_id % 11 <> 3 AND user_id % 13 <> 4), o(opening, ply, move, position) AS (VALUES {_PLIES}),
+c AS (SELECT *, CASE WHEN ply % 2 = 0 THEN 'w' ELSE 'b' END || CAST(user_id AS VARCHAR) AS player, CAST(CASE WHEN ply % 2 = 0 THEN 350 + user_id * 3 % 600 ELSE 400 + user_id * 7 % 400 END AS INTEGER) AS rating FROM g JOIN o USING (opening))"""
+
+
+@query(f"""WITH {ARCHIVED} SELECT CAST(user_id AS VARCHAR) || ':' || CAST(ply AS VARCHAR) AS decision_id, CAST(user_id AS VARCHAR) AS game_id, player, rating, CAST(ply AS INTEGER) AS ply, move, position, CAST(ply AS INTEGER) AS moves_before, {part_sql()} AS partition FROM c WHERE rating BETWEEN 400 AND 799""")
 def archive_files(spark, d):
     """A game for every user, written to an archive as text and read from it: some are
     casual, too quick, by programs, of another variant, or have an illegal move."""
+    return _archived(spark, d).select("decision_id", "game_id", "player", "rating", "ply", "move", "position", F.size("history").alias("moves_before"), "partition")
+
+
+def _archived(spark, d):
     from .session import shared_path
     from .sources import archive
 
@@ -514,8 +520,7 @@ def archive_files(spark, d):
     moves = F.get(F.array(*[F.lit(m) for m, _ in OPENINGS]), (i % len(OPENINGS)).cast("int"))
     path = shared_path(spark, "archive")
     users.select(F.concat(*heads, *odd, F.lit("\n"), moves, F.lit("\n")).alias("value")).write.text(path)
-    rows = archive.candidates(archive.scan(spark, path), seed=SEED)
-    return rows.select("decision_id", "game_id", "player", "rating", "ply", "move", "position", F.size("history").alias("moves_before"), "partition")
+    return archive.candidates(archive.scan(spark, path), seed=SEED)
 
 
 def _recorded(spark, d):
@@ -536,7 +541,7 @@ def relation_features(spark, d):
     return encoding.relation_features(_recorded(spark, d)).select("decision_id", F.aggregate("feats", F.lit(0), lambda a, x: a + x).alias("relations"), F.sha2(F.to_json("feats"), 256).alias("feats_sha256"))
 
 
-def _scored(spark, d):
+def _scored(recorded):
     """Continuations for each decision, as long as the default horizon: the played line goes
     on with the first legal moves, the preferred one begins with the first alternative."""
     from .kernel.board import uci
@@ -555,26 +560,37 @@ def _scored(spark, d):
         other = next((m for m in board.legal() if uci(m) != row["move"]), board.legal()[0])
         return {"before_pv": [uci(other), *onward(board.play(other), 5)], "after_pv": onward(after, 5)}
 
-    return encoding.kernel_map(_recorded(spark, d), lines, "before_pv array<string>, after_pv array<string>", (*encoding.PLACE, "move"))
+    return encoding.kernel_map(recorded, lines, "before_pv array<string>, after_pv array<string>", (*encoding.PLACE, "move"))
 
 
 @query()
 def trajectory_vectors(spark, d):
     from .operators import encoding
 
-    return encoding.encode_episodes(_scored(spark, d)).select("decision_id", "available", "informative", F.sha2(F.to_json("vector"), 256).alias("vector_sha256"))
+    return encoding.encode_episodes(_scored(_recorded(spark, d))).select("decision_id", "available", "informative", F.sha2(F.to_json("vector"), 256).alias("vector_sha256"))
 
 
-@query()
+#: What is made wrong with a decision's continuations, by user and ply.
+FAULT = "(user_id + ply) % 7"
+
+
+@query(f"""WITH {ARCHIVED} SELECT CAST(user_id AS VARCHAR) || ':' || CAST(ply AS VARCHAR) AS decision_id, CASE {FAULT} WHEN 0 THEN 'missing_deep_pv' WHEN 1 THEN 'illegal_before_pv' WHEN 2 THEN 'illegal_after_pv' WHEN 3 THEN 'missing_deep_pv' WHEN 4 THEN 'illegal_played_move' ELSE '' END AS pv_problem FROM c WHERE rating BETWEEN 400 AND 799""")
 def continuation_problems(spark, d):
     from .operators import encoding
 
-    return encoding.with_pv_problem(_scored(spark, d)).select("decision_id", F.coalesce("pv_problem", F.lit("")).alias("pv_problem"))
+    none, bad = F.array().cast("array<string>"), F.array(F.lit("a1h8"))
+    rows = _scored(_archived(spark, d)).withColumn("user_id", F.col("game_id").cast("long")).withColumn("fault", F.expr(FAULT))
+    fault = F.col("fault")
+    rows = rows.withColumns({"before_pv": F.when(fault == 0, none).when(fault == 1, F.concat("before_pv", bad)).otherwise(F.col("before_pv")), "after_pv": F.when(fault == 2, F.concat("after_pv", bad)).when(fault == 3, none).otherwise(F.col("after_pv")), "move": F.when(fault == 4, "a1h8").otherwise(F.col("move"))})
+    return encoding.with_pv_problem(rows).select("decision_id", F.coalesce("pv_problem", F.lit("")).alias("pv_problem"))
 
 
-@query()
+_PREFIXES = ", ".join(f"({k}, {n}, '{' '.join(m for m, _ in plies[:n])}')" for k, (_, plies) in enumerate(OPENINGS) for n in range(len(plies)))
+
+
+@query(f"""WITH {ARCHIVED}, x(opening, ply, prefix) AS (VALUES {_PREFIXES}), k AS (SELECT CAST(floor(rating / 200) * 200 AS INTEGER) AS band, prefix, count(*) AS n FROM c JOIN x USING (opening, ply) WHERE rating BETWEEN 400 AND 799 GROUP BY ALL) SELECT band, CAST(count(*) AS BIGINT) AS "distinct", round(max(n) / sum(n), 9) AS largest_share, max(n) / sum(n) > 0.5 AS concentrated FROM k GROUP BY band""")
 def context_concentration(spark, d):
     from .operators import encoding
 
-    rows = encoding.with_context(_recorded(spark, d))
-    return vectors.concentration(rows.withColumn("band", S.band_of(F.col("rating"))), "band", "opening_prefix")
+    rows = encoding.with_context(_archived(spark, d))
+    return _round(vectors.concentration(rows.withColumn("band", S.band_of(F.col("rating"))), "band", "opening_prefix"), "largest_share", digits=9)
