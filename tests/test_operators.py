@@ -127,6 +127,16 @@ def test_gate_reasons(spark):
         assert list(r["rejection_reasons"]) == ([reason] if reason else []) and r["stable"] == (reason is None)
 
 
+def test_weights_count_rows_of_a_key_together(spark):
+    docs = spark.createDataFrame([(1, "rook takes rook"), (2, "king"), (1, "takes rook king"), (3, None), (4, "")], "i int, t string")
+    model = spark.createDataFrame([("king", 0, 1.0), ("rook", 1, 2.0), ("takes rook", 2, 3.0)], "term string, idx int, idf double")
+    assert text._hits(docs.select("i", text.words_of(F.col("t")).alias("w")), model.collect()).count() == 5  # dealt by text, not by word
+    raw = {"king": 1.0, "rook": (1 + math.log(3)) * 2, "takes rook": (1 + math.log(2)) * 3}
+    length = math.sqrt(sum(x * x for x in raw.values()))
+    got = {(r["i"], r["term"]): r["weight"] for r in text.weights(docs, model, "i", "t").collect()}
+    assert got == pytest.approx({(1, t): x / length for t, x in raw.items()} | {(2, "king"): 1.0})
+
+
 def test_loss_gate_refuses_nan(spark):
     df = spark.createDataFrame([(0.1,), (0.5,)], "loss double")
     assert gates.loss_gate(df, 0.5).count() == 1
