@@ -137,6 +137,21 @@ def test_weights_count_rows_of_a_key_together(spark):
     assert got == pytest.approx({(1, t): x / length for t, x in raw.items()} | {(2, "king"): 1.0})
 
 
+@pytest.mark.parametrize("most", [1, 4, 9, 1000])
+def test_fit_counts_pairs_of_frequent_words_only(spark, most):
+    r = random.Random(most)
+    docs = [" ".join(r.choice(["aa", "bb", "cc", f"x{r.randrange(30)}"]) for _ in range(r.randrange(12))) for _ in range(40)] + [f"once{i} only{i}" for i in range(30)]
+    words = [d.split() for d in docs]
+    terms = [[*w, *map(" ".join, zip(w, w[1:], strict=False))] for w in words]
+    total, df = Counter(t for ts in terms for t in ts), Counter(t for ts in terms for t in set(ts))
+    top = sorted(sorted(total, key=lambda t: (-total[t], t))[:most])
+    frame = spark.createDataFrame(list(enumerate(docs)), "i int, t string")
+    got = {g["term"]: (g["idx"], g["idf"]) for g in text.fit(frame, "i", "t", max_terms=most).collect()}
+    assert got == {t: (k, pytest.approx(math.log((1 + len(docs)) / (1 + df[t])) + 1)) for k, t in enumerate(top)}
+    counted = text._frequent(frame.select(text.words_of(F.col("t")).alias("w")), ["aa", "bb"], ["aa"]).collect()
+    assert {c["term"] for c in counted} == {"aa", "bb", "aa aa", "bb aa"} and all((total[c["term"]], df[c["term"]]) == (c["total"], c["df"]) for c in counted)
+
+
 def test_loss_gate_refuses_nan(spark):
     df = spark.createDataFrame([(0.1,), (0.5,)], "loss double")
     assert gates.loss_gate(df, 0.5).count() == 1
