@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -34,6 +34,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{(root or '/tmp/checkpoints/plycraft').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys to three tasks a core, before work that costs far more than
+    its few bytes, by which Spark would put it into one or a few tasks."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 _shipped: set[str] = set()
 
 

@@ -20,6 +20,7 @@ from ..kernel.board import uci
 from ..kernel.notation import read_game
 from ..operators.partitioning import without_history
 from ..operators.sampling import arrival_key
+from ..session import spread
 
 GAME = "file string, block bigint, place bigint, text string"
 HEAD = "[Event "
@@ -122,12 +123,13 @@ def candidates(games: DataFrame, *, seed: int, rating_min: int = 400, rating_max
 
     Arrival is by game, then by a seeded hash of the decision: reproducible in any order of
     execution. A game without an id is an error, except in a fixture, which numbers it."""
-    rows = plies(eligible(games, fixture), fixture).where(F.col("rating").between(rating_min, rating_max) & (F.col("player") != "?"))
+    rows = plies(spread(eligible(games, fixture), "game_ordinal"), fixture).where(F.col("rating").between(rating_min, rating_max) & (F.col("player") != "?"))
     missing = F.concat(F.lit("fixture-"), "game_ordinal") if fixture else F.raise_error(F.lit("missing source game id")).cast("string")
     game_id = F.when(F.col("site") == "?", missing).otherwise(F.col("site"))
     rows = rows.withColumn("game_id", game_id).withColumn("partition", part_of(F.col("player"), seed)).withColumn("decision_id", F.concat("game_id", F.lit(":"), "ply"))
     if only_partition is not None:
         rows = rows.where(F.col("partition") == only_partition)
     rows = without_history(rows, prior_players, prior_positions)
+    rows = spread(rows, "game_ordinal")  # and so what is made of decisions, too
     within = F.row_number().over(Window.partitionBy("game_ordinal").orderBy(arrival_key(seed), "decision_id"))
     return rows.withColumn("ord", F.col("game_ordinal") * 100_000 + within).select("decision_id", "game_id", "player", "rating", "ply", "initial_fen", "history", "move", "position", F.col("ord").cast("long").alias("ord"), "game_ordinal", "partition")

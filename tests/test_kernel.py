@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from plycraft.kernel.board import START_FEN, Board, Move, parse_uci, perft, position_after, square, uci
@@ -181,3 +183,13 @@ def test_continuation_problems():
 def test_context():
     c = encoding.broad_context(row(START_FEN, "e2e4", [], [], ["a2a3", "a7a6"]))
     assert c == {"opening_prefix": "a2a3 a7a6", "material_configuration": "8,2,2,2,1,8,2,2,2,1"}
+
+
+def test_legal_moves_are_those_that_leave_the_king_safe():
+    r = random.Random(3)
+    for fen in (START_FEN, "r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", "8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1"):
+        for _ in range(4):
+            board = Board.from_fen(fen)
+            while board.number < 15 and board.legal():
+                assert board.legal() == tuple(m for m in board._pseudo() if board._safe(m))
+                board = board.play(r.choice(board.legal()))
