@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import sha256
 from itertools import combinations_with_replacement
 from typing import NamedTuple
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..kernel.board import Board, Move, parse_uci, position_after
+from ..kernel.board import Board, Move, parse_uci, played, position_after
 from ..kernel.notation import san
 from ..schemas import OUTCOMES, PHASES, RELATIONS
 
@@ -142,35 +143,54 @@ def pv_problem(row) -> str | None:
 
 ATTACK, PROTECT, ENEMY, CAPTURE = RELATIONS.index("attack"), RELATIONS.index("protect"), RELATIONS.index("enemy_attack"), RELATIONS.index("capture_own")
 PAIRS = list(combinations_with_replacement(range(len(RELATIONS)), 2))
+FIRST, SECOND = np.array(PAIRS).T
+SELF = FIRST == SECOND
+
+
+@lru_cache(maxsize=64)
+def _links(board: Board) -> tuple[np.ndarray, int]:
+    """Pairs of squares, one a row: who reaches whom, then who can take whom; and how many
+    are the former. The position after a move is that before the next one."""
+    cells, side = board.cells, board.turn
+    reach = [(s, t) for s, p in enumerate(cells) if p for t in board.attacks(s) if cells[t]]
+    takes = [(s, t) for s, t in reach if cells[s] * side > 0 > cells[t] * side and board.keeps_king(Move(s, t))]
+    passing = [(m.source, m.target - 8 * side) for m in board.passants()]
+    return np.array(reach + takes + passing, np.int64).reshape(-1, 2), len(reach)
 
 
 def relations(board: Board, color: int, own: np.ndarray) -> np.ndarray:
     """Distinct relations of a position as ``color`` sees it, each (relation * 64 + who) * 64
     + whom. ``own[s]``: the square on which the piece on s is known."""
     cells = np.array(board.cells)
-    reach = [(s, t) for s in np.flatnonzero(cells).tolist() for t in board.attacks(s) if board.cells[t]]
-    takes = [(m.source, m.target - 8 * board.turn if board.is_passant(m) else m.target) for m in board.legal() if board.is_capture(m)]
-    who, whom = np.array(reach + takes, np.int64).reshape(-1, 2).T
+    links, n = _links(board)
+    who, whom = links.T
     kind = np.where(cells[who] * cells[whom] > 0, PROTECT, ATTACK) + np.where(cells[who] * color > 0, 0, ENEMY)
-    kind[len(reach) :] = CAPTURE + (board.turn != color)
+    kind[n:] = CAPTURE + (board.turn != color)
     return np.unique((kind * 64 + own[who]) * 64 + own[whom])
 
 
-def _histograms(found: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by relation and kinds of both pieces; targets by pair of relations on them and
-    their kind (a relation pairs with itself where two pieces have it)."""
-    n = len(RELATIONS)
-    relation, who, whom = found >> 12, (found >> 6) & 63, found & 63
-    single = np.bincount((relation * 6 + piece[who] - 1) * 6 + piece[whom] - 1, minlength=n * 36)
-    on = np.bincount(relation * 64 + whom, minlength=n * 64).reshape(n, 64)
-    target = np.eye(7, dtype=np.int64)[piece][:, 1:]  # square, kind
-    shared = np.stack([(on[a] > 1) if a == b else (on[a] > 0) & (on[b] > 0) for a, b in PAIRS]) @ target
-    return single, shared.ravel()
+def _histograms(phases: list[np.ndarray], piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each phase, counts by relation and kinds of both pieces; targets by pair of
+    relations on them and their kind (a relation pairs with itself where two pieces have it)."""
+    m, n = len(phases), len(RELATIONS)
+    found, phase = np.concatenate(phases), np.repeat(np.arange(m), [len(p) for p in phases])
+    relation, who, whom = phase * n + (found >> 12), (found >> 6) & 63, found & 63
+    single = np.bincount((relation * 6 + piece[who] - 1) * 6 + piece[whom] - 1, minlength=m * n * 36)
+    on = np.bincount(relation * 64 + whom, minlength=m * n * 64).reshape(m, n, 64)
+    some, several = on > 0, on > 1
+    both = np.where(SELF[:, None], several[:, FIRST], some[:, FIRST] & some[:, SECOND])
+    target = np.eye(7)[piece][:, 1:]  # square, kind
+    return single, (both @ target).astype(np.int64).ravel()
 
 
 def relation_counts(row) -> list[int]:
     """Counts in the order of ``relation_names``. Pieces are known by the squares, and are of
     the kinds, that they have before the move; a castling rook stays itself."""
+    return relation_array(row).tolist()
+
+
+def relation_array(row) -> np.ndarray:
+    """``relation_counts`` as an array, which Arrow takes at once."""
     board, move = start_of(row), parse_uci(row["move"])
     piece, own = np.abs(np.array(board.cells)), np.arange(64)
     later = own.copy()
@@ -178,10 +198,12 @@ def relation_counts(row) -> list[int]:
     if board.is_castling(move):
         short, home = move.target > move.source, move.source & ~7
         later[home + (5 if short else 3)] = home + (7 if short else 0)
-    old, new = relations(board, board.turn, own), relations(board.play(move), board.turn, later)
-    phase = {"before": old, "after": new, "created": np.setdiff1d(new, old), "removed": np.setdiff1d(old, new), "retained": np.intersect1d(old, new)}
-    single, shared = zip(*(_histograms(phase[p], piece) for p in PHASES), strict=True)
-    return np.concatenate([*single, *shared]).tolist()
+    old, new = relations(board, board.turn, own), relations(played(board, move), board.turn, later)
+    seen = np.zeros((2, len(RELATIONS) * 64 * 64), bool)
+    seen[0, old] = seen[1, new] = True
+    stays, known = seen[1, old], seen[0, new]
+    phase = {"before": old, "after": new, "created": new[~known], "removed": old[~stays], "retained": old[stays]}
+    return np.concatenate(_histograms([phase[p] for p in PHASES], piece)).astype(np.int32)
 
 
 # ---------------------------------------------------------------- evidence and context
@@ -251,7 +273,7 @@ def encode_episodes(joined: DataFrame, horizon: int = 6) -> DataFrame:
 
 
 def relation_features(decisions: DataFrame) -> DataFrame:
-    return kernel_map(decisions.select("decision_id", *PLACE, "move"), lambda r: {"feats": relation_counts(r)}, "feats array<int>", (*PLACE, "move")).select("decision_id", "feats")
+    return kernel_map(decisions.select("decision_id", *PLACE, "move"), lambda r: {"feats": relation_array(r)}, "feats array<int>", (*PLACE, "move")).select("decision_id", "feats")
 
 
 def with_pv_problem(joined: DataFrame) -> DataFrame:

@@ -193,3 +193,28 @@ def test_legal_moves_are_those_that_leave_the_king_safe():
             while board.number < 15 and board.legal():
                 assert board.legal() == tuple(m for m in board._pseudo() if board._safe(m))
                 board = board.play(r.choice(board.legal()))
+
+
+def no_lists(monkeypatch):
+    """From here on, positions may be asked about moves, but not for the list of all."""
+    position_after.cache_clear()
+    monkeypatch.setattr(Board, "legal", lambda board: pytest.fail("a list of all moves"))
+
+
+def test_relations_and_notation_make_no_list_of_all_moves(monkeypatch):
+    r, games = random.Random(5), []
+    for fen in (START_FEN, "r3k2r/Pppp1ppp/1b3nbN/nP6/BBP1P3/q4N2/Pp1P2PP/R2Q1RK1 w kq - 0 1", "8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1"):
+        board, history = Board.from_fen(fen), ()
+        while len(history) < 12 and board.legal():
+            move = r.choice(board.legal())
+            takes = {(m.source, m.target - 8 * board.turn if board.is_passant(m) else m.target) for m in board.legal() if board.is_capture(m)}
+            games.append((fen, history, move, board.fen(), set(board.legal()), takes))
+            history, board = (*history, uci(move)), board.play(move)
+    no_lists(monkeypatch)
+    anything = [Move(s, t, k) for s in range(64) for t in range(64) for k in range(7)]
+    for fen, history, move, now, legal, takes in games:
+        board = Board.from_fen(now)
+        assert {m for m in anything if board.is_legal(m)} == legal == set(board.moves()) and parse_san(board, san(board, move)) == move
+        found = encoding.relations(board, board.turn, encoding.np.arange(64))
+        assert {(int(x) >> 6 & 63, int(x) & 63) for x in found if x >> 12 == encoding.CAPTURE} == takes
+        assert len(encoding.relation_counts(row(fen, uci(move), None, None, history))) == 1710
