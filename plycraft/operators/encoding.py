@@ -70,6 +70,8 @@ def start_of(row) -> Board:
 #: A step has 19 counts for each actor (material 6, checks, captures 6, promotions 6) and the outcomes.
 MATERIAL, CHECKS, CAPTURES, PROMOTIONS, ACTOR = slice(0, 6), 6, slice(7, 13), slice(13, 19), 19
 STEP = 2 * ACTOR + len(OUTCOMES)
+#: Pieces of the mover, pawn to king, and of the other side.
+KINDS = np.array([*range(1, 7), *range(-1, -7, -1)], np.int8)
 
 
 def result_slot(board: Board, mover: int) -> int | None:
@@ -85,16 +87,16 @@ def events(trail: Trail, horizon: int) -> tuple[np.ndarray, bool]:
     ends = ((i, s) for i, b in enumerate(trail.boards[: horizon + 1]) if (s := result_slot(b, mover)) is not None)
     end, slot = next(ends, (None, None))
     n = min(len(trail.moves), horizon) if end is None else end
-    pieces = np.array([[b.material(side) for side in (mover, -mover)] for b in trail.boards[: n + 1]])
+    cells = np.array([b.cells for b in trail.boards[: n + 1]], np.int8)
+    pieces = np.count_nonzero(cells[:, None] == (mover * KINDS)[:, None], axis=2).reshape(n + 1, 2, 6)
     change = np.diff(pieces, axis=0)  # step, side, kind
-    out = np.zeros((horizon, STEP))
-    for side in (0, 1):
-        acts = np.arange(n) % 2 == side
-        own = out[:, side * ACTOR : (side + 1) * ACTOR]
-        own[:n, MATERIAL] = change[:, side]
-        own[:n, CAPTURES] = np.where(acts[:, None], np.maximum(-change[:, 1 - side], 0), 0)
-        own[:n, PROMOTIONS] = np.where(acts[:, None], np.maximum(change[:, side], 0), 0)
-        own[:n, CHECKS] = acts & np.array([b.in_check() for b in trail.boards[1 : n + 1]], bool)
+    acts = np.arange(n)[:, None] % 2 == (0, 1)
+    out, own = np.zeros((horizon, STEP)), np.zeros((horizon, 2, ACTOR))
+    own[:n, :, MATERIAL] = change
+    own[:n, :, CAPTURES] = np.maximum(-change[:, ::-1], 0) * acts[:, :, None]
+    own[:n, :, PROMOTIONS] = np.maximum(change, 0) * acts[:, :, None]
+    own[:n, :, CHECKS] = acts & np.array([b.in_check() for b in trail.boards[1 : n + 1]], bool)[:, None]
+    out[:, : 2 * ACTOR] = own.reshape(horizon, 2 * ACTOR)
     if slot is not None:
         out[max(end - 1, 0), slot] = 1
     return out, slot is not None or len(trail.moves) >= horizon
@@ -104,6 +106,12 @@ def episode_vector(row, horizon: int = 6) -> dict:
     """vector, available, informative: events of the played line, of the preferred one, and
     their difference. An episode whose lines do not fill the horizon has no vector; one
     without lines, or with lines that cannot be played, is an error."""
+    found = episode_array(row, horizon)
+    return found | {"vector": found["vector"].tolist()}
+
+
+def episode_array(row, horizon: int = 6) -> dict:
+    """``episode_vector`` with its vector as an array, which Arrow takes at once."""
     if horizon < 1:
         raise ValueError("the horizon has at least one step")
     if row["before_pv"] is None or row["after_pv"] is None or not len(row["before_pv"]):
@@ -115,9 +123,9 @@ def episode_vector(row, horizon: int = 6) -> dict:
         raise ValueError("an episode needs an answer to the played move unless that ends the game")
     (mine, full), (best, both) = events(played, horizon), events(preferred, horizon)
     if not (full and both):
-        return {"vector": [], "available": False, "informative": False}
+        return {"vector": np.zeros(0), "available": False, "informative": False}
     vector = np.concatenate([mine, best, mine - best]).ravel()
-    return {"vector": vector.tolist(), "available": True, "informative": bool(vector.any())}
+    return {"vector": vector, "available": True, "informative": bool(vector.any())}
 
 
 #: The names of what can be wrong with continuations.
@@ -269,7 +277,7 @@ def kernel_map(rows: DataFrame, work: Callable[[dict], dict], columns: str, need
 
 
 def encode_episodes(joined: DataFrame, horizon: int = 6) -> DataFrame:
-    return kernel_map(joined, lambda r: episode_vector(r, horizon), "vector array<double>, available boolean, informative boolean")
+    return kernel_map(joined, lambda r: episode_array(r, horizon), "vector array<double>, available boolean, informative boolean")
 
 
 def relation_features(decisions: DataFrame) -> DataFrame:

@@ -218,3 +218,12 @@ def test_relations_and_notation_make_no_list_of_all_moves(monkeypatch):
         found = encoding.relations(board, board.turn, encoding.np.arange(64))
         assert {(int(x) >> 6 & 63, int(x) & 63) for x in found if x >> 12 == encoding.CAPTURE} == takes
         assert len(encoding.relation_counts(row(fen, uci(move), None, None, history))) == 1710
+
+
+def test_events_make_no_list_of_all_moves(monkeypatch):
+    no_lists(monkeypatch)
+    e = encoding.episode_vector(row(ROOKS, "d2d4", ["d2d5", "f7e6"], ["d5d4"]), 2)
+    assert e["available"] and value(e["vector"], "played_step_2_captures_opponent_rook", 2) == 1 and value(e["vector"], "difference_step_1_captures_mover_rook", 2) == -1
+    mate = encoding.episode_vector(row("6k1/5ppp/8/8/8/8/8/K3R3 w - - 0 1", "e1e8", ["e1e8"], []), 3)
+    assert mate["available"] and value(mate["vector"], "played_step_1_terminal_mover_win", 3) == 1
+    assert encoding.pv_problem(row(START_FEN, "g1f3", ["b1c3", "g8g5"], ["g8f6"])) == "illegal_before_pv"
